@@ -79,4 +79,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_TOP_K = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+    where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+  p as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::bigint as score from v q join v d on q.vec_id <> d.vec_id and len(q.v) = len(d.v) where q.vec_id % 50 = 0),
+  r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 5"""
+
+_WARC = """with p as (select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as hex from pages),
+  b as (select *, array_to_string(list_transform(range(40), lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', substr(hex, i::int + 1, 1))]), '') as bits from p),
+  f as (select hex, min(page_id) as first from p group by hex)
+select page_id, octet_length(body)::bigint as payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(5), lambda j: case when substr(bits, (5 * i + j + 1)::int, 1) = '1' then (16 >> j::int) else 0 end))::int, 1)), '') as payload_digest,
+  case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to
+from b join f on b.hex = f.hex"""
+
+_QUALITY = f"""with d as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_WORD}') as ws from documents),
+  w as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from d),
+  g as (select doc_id, i, concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o) as gram, lead(word, 4) over o as fifth from w window o as (partition by doc_id order by i)),
+  twice as (select doc_id, gram from g where fifth is not null group by 1, 2 having count(*) > 1),
+  covered as (select distinct g.doc_id, g.i + k as i from g join twice t on g.doc_id = t.doc_id and g.gram = t.gram, (select unnest(range(5)) as k) r where fifth is not null),
+  again as (select doc_id, count(*) as n from covered group by 1),
+  l as (select doc_id, source, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) as line from d),
+  dup as (select doc_id, count(*) - count(distinct line) as n from l group by 1),
+  norm as (select doc_id, source, translate(array_to_string(regexp_extract_all(line, '{_WORD}'), ' '), '{_UPPER}', '{_LOWER}') as line, len(regexp_extract_all(line, '{_WORD}')) as n from l),
+  held as (select source, line, count(distinct doc_id) as docs, min(doc_id) as keeper from norm group by 1, 2),
+  lost as (select n.doc_id, sum(n.n)::bigint as n from norm n join held h on n.source is not distinct from h.source and n.line = h.line where h.docs > 10 and h.keeper <> n.doc_id group by 1),
+  m as (select d.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    coalesce(dup.n, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words, coalesce(lost.n, 0) as n_removed_words from d left join dup using (doc_id) left join again using (doc_id) left join lost using (doc_id)),
+  v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
+select *, not base_failed and 100 * n_removed_words <= 70 * n_words as kept from v"""
+
+_NEAR = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as ws from documents),
+  s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i::int + 1 : i::int + 5], ' ')) end) as x from d),
+  e as (select doc_id, len(x) as n, unnest(x) as x from s),
+  p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as both_ from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+  links as (select a, b from p where 100 * both_ >= 85 * (na + nb - both_)),
+  step as (select a, b from links union all select b, a from links),
+  reach(doc_id, to_id) as (select doc_id, doc_id from d union select r.doc_id, s.b from reach r join step s on r.to_id = s.a),
+  c as (select doc_id, min(to_id) as component_id from reach group by 1)
+select s.doc_id, len(x)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join c on s.doc_id = c.doc_id"""
+
+#: Tokenization, trained models, span positions and Newton steps are beyond SQL.
+ORACLES: dict[str, str] = {"op2_top_k": _TOP_K, "op4_warc": _WARC, "op5_quality": _QUALITY, "op8_near_duplicates": _NEAR}
