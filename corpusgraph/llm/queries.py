@@ -56,9 +56,8 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null and doc_id is not null")
-    labelled = docs.where(remainder(5) != 0).select("doc_id", "text").join(labels, "doc_id")
-    found = toxicity.score(docs, toxicity.fit(labelled))
+    labels = table(spark, sf_dir, "labels").where(remainder(5) != 0)
+    found = toxicity.score(docs, toxicity.fit(docs, labels))
     return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 

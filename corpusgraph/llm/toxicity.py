@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .langid import sample
 from .letters import Letters
+from .scratch import small, written
 from .textnum import blocks, mix
 
 #: Fitted on at most about so many labelled texts of each class.
@@ -135,13 +136,20 @@ def _counts(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, most: dict[int, int] | None = None) -> Index:
-    """The index of ``labelled(doc_id, text, toxic)``, toxic being 0 or 1; other labels
-    are not used. A bounded sample, its term counts and vectors reach the driver."""
+def fit(docs: DataFrame, labels: DataFrame, most: dict[int, int] | None = None) -> Index:
+    """The index of ``docs(doc_id, text)`` with ``labels(doc_id, toxic)``, toxic being 0 or
+    1; other labels and null ids are not used. Labels are thinned before they meet texts, so
+    only the sampled ids travel; the sampled texts are written once, and their term counts
+    and vectors reach the driver."""
     most = most or MAX_TEXTS
-    rows = labelled.where("toxic in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    totals = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    parts = {y: sample(rows.where(F.col("toxic") == y), "toxic", most[y], {y: totals[y]}) if y in totals else rows.limit(0) for y in (0, 1)}
+    known = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    totals = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    picked = [sample(known.where(F.col("toxic") == y), "toxic", most[y], {y: totals[y]}) for y in totals]
+    chosen = picked[0].unionByName(picked[1]) if len(picked) == 2 else picked[0] if picked else known
+    chosen = written(chosen, "toxicity-ids")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(small(chosen, chosen.count()), "doc_id")
+    texts = written(texts.select("doc_id", "text", "toxic"), "toxicity-sample")
+    parts = {y: texts.where(F.col("toxic") == y) for y in (0, 1)}
     n = {y: parts[y].count() for y in (0, 1)}
     # each sampled text stands for so many labelled ones
     stand = {y: totals.get(y, 0) / n[y] if n[y] else 0.0 for y in (0, 1)}
@@ -179,7 +187,7 @@ def fit(labelled: DataFrame, most: dict[int, int] | None = None) -> Index:
                     out[block.first + i].append(t)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms"])
 
-    both_parts = parts[0].unionByName(parts[1]).select("doc_id", "toxic", "text")
+    both_parts = texts.select("doc_id", "toxic", "text")
     found: dict[bytes, list] = {}
     empty = {0: 0, 1: 0}
     for r in both_parts.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>").toPandas().sort_values("doc_id").itertuples():
