@@ -25,7 +25,11 @@ SCALE, TOP, QUERY_EVERY = 256, 5, 50
 #: Pivots (a fixed number whatever the data), vectors and queries in a block at most about.
 PIVOTS, BLOCK, QUERY_BLOCK = 256, 4096, 2048
 #: Points in a leaf; covering radii shrink by this factor from level to level.
-LEAF, SHRINK = 32, 0.5
+LEAF, SHRINK = 256, 0.5
+#: Groups of queries that a task keeps in memory.
+GROUPS = 16
+#: No score is smaller than this.
+_LEAST = -(1 << 63)
 #: Larger products than this lose bits as doubles and are computed in integers.
 _EXACT = float(1 << 52)
 
@@ -48,9 +52,11 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tree:
     """A cover tree of ``points``: node ``i`` covers ``order[lo[i]:hi[i]]`` within
     ``radius[i]`` of ``center[i]``; children of a node have about half its radius and
-    centres further apart than theirs."""
+    centres further apart than theirs. ``points`` and ``ids`` are in tree order."""
 
     order: np.ndarray
+    points: np.ndarray
+    ids: np.ndarray
     center: np.ndarray
     radius: np.ndarray
     norm: np.ndarray
@@ -59,7 +65,7 @@ class Tree:
     children: list[list[int]]
 
 
-def build(points: np.ndarray) -> Tree:
+def build(points: np.ndarray, ids: np.ndarray) -> Tree:
     """The tree of a block's points (at least one)."""
     values = points.astype(np.float64)
     order = np.arange(len(points))
@@ -100,7 +106,8 @@ def build(points: np.ndarray) -> Tree:
                 children[i].append(node(a + x, a + y))
         todo += children[i]
     center = np.array(center)
-    return Tree(order, center, np.array(radius), np.sqrt((center**2).sum(axis=1)), lo, hi, children)
+    exact = float(np.abs(values).max()) < float(1 << 20)  # then products are exact as doubles
+    return Tree(order, values[order] if exact else points[order], ids[order], center, np.array(radius), np.sqrt((center**2).sum(axis=1)), lo, hi, children)
 
 
 def bound(q: Tree, i: int, d: Tree, j: np.ndarray | list[int]) -> np.ndarray:
@@ -110,37 +117,43 @@ def bound(q: Tree, i: int, d: Tree, j: np.ndarray | list[int]) -> np.ndarray:
 
 
 class Best:
-    """The ``k`` best of each query: score and id, ties to smaller ids."""
+    """The ``k`` best of each query: scores and ids, ties to smaller ids; ``kth`` is the
+    score that a candidate must reach."""
 
     def __init__(self, kth: np.ndarray, k: int):
-        self.k, self.kth = k, kth.astype(np.float64).copy()
+        self.k, self.kth = k, kth.astype(np.int64).copy()
         self.score: list[np.ndarray] = [np.zeros(0, np.int64)] * len(kth)
         self.id: list[np.ndarray] = [np.zeros(0, np.int64)] * len(kth)
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
-        for x, row in enumerate(rows.tolist()):
-            hit = np.flatnonzero((scores[x] >= self.kth[row]) & (ids != own[row]))
-            if len(hit):
-                score, name = np.concatenate([self.score[row], scores[x][hit]]), np.concatenate([self.id[row], ids[hit]])
-                best = np.lexsort((name, -score))[: self.k]
-                self.score[row], self.id[row] = score[best], name[best]
-                if len(best) == self.k:
-                    self.kth[row] = max(self.kth[row], self.score[row][-1])
-
-
-def dual_search(q: Tree, queries: np.ndarray, q_ids: np.ndarray, d: Tree, vectors: np.ndarray, d_ids: np.ndarray, best: Best) -> int:
-    """Walk both trees; returns the number of products that were computed."""
+    def add(self, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Scores (rows x ids) of the queries ``rows``, whose own ids are ``own``."""
+        good = (scores >= self.kth[rows][:, None]) & (ids[None, :] != own[:, None])
+        for x in np.flatnonzero(good.any(axis=1)).tolist():
+            row, hit = rows[x], np.flatnonzero(good[x])
+            score, name = np.concatenate([self.score[row], scores[x][hit].astype(np.int64)]), np.concatenate([self.id[row], ids[hit]])
+            best = np.lexsort((name, -score))[: self.k]
+            self.score[row], self.id[row] = score[best], name[best]
+            if len(best) == self.k:
+                self.kth[row] = max(self.kth[row], self.score[row][-1])
+
+
+def dual_search(q: Tree, d: Tree, best: Best) -> int:
+    """Walk both trees, ``best`` being by row of the queries; returns the number of
+    products that were computed."""
     todo, done = [(0, 0)], 0
+    plain = q.points.dtype == d.points.dtype == np.float64
     while todo:
         i, j = todo.pop()
-        rows = q.order[q.lo[i] : q.hi[i]]
+        a, b = q.lo[i], q.hi[i]
+        rows = q.order[a:b]
         if bound(q, i, d, [j])[0] < best.kth[rows].min():
             continue
         if not q.children[i] and not d.children[j]:
-            own = d.order[d.lo[j] : d.hi[j]]
-            best.add(rows, d_ids[own], dots(queries[rows], vectors[own]), q_ids)
-            done += len(rows) * len(own)
-        elif d.children[j] and (not q.children[i] or d.hi[j] - d.lo[j] >= q.hi[i] - q.lo[i]):
+            c, e = d.lo[j], d.hi[j]
+            scores = q.points[a:b] @ d.points[c:e].T if plain else dots(q.points[a:b].astype(np.int64), d.points[c:e].astype(np.int64))
+            best.add(rows, q.ids[a:b], d.ids[c:e], scores)
+            done += (b - a) * (e - c)
+        elif d.children[j] and (not q.children[i] or d.hi[j] - d.lo[j] >= b - a):
             kids = d.children[j]
             todo += [(i, kids[x]) for x in np.argsort(bound(q, i, d, kids), kind="stable").tolist()]  # most promising on top
         else:
@@ -184,7 +197,7 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY, scale:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dim_of = batch.column(2).to_numpy()
-            near, kth = np.zeros(len(batch), dtype=np.int32), np.full(len(batch), -np.inf)
+            near, kth = np.zeros(len(batch), dtype=np.int32), np.full(len(batch), _LEAST, dtype=np.int64)
             for dim in np.unique(dim_of).tolist():
                 rows = np.flatnonzero(dim_of == dim)
                 own = _matrix(batch.column(1).take(pa.array(rows)))
@@ -195,13 +208,13 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY, scale:
                 names = batch.column(0).to_numpy()[rows]
                 asked = np.flatnonzero(names % every == 0)
                 if len(asked):
-                    score = dots(own[asked], centers).astype(np.float64)
-                    score[names[asked][:, None] == ids[None, :]] = -np.inf
+                    score = dots(own[asked], centers)
+                    score[names[asked][:, None] == ids[None, :]] = _LEAST
                     if score.shape[1] >= k:
                         kth[rows[asked]] = np.partition(score, -k, axis=1)[:, -k]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(near), pa.array(kth)], names=["vec_id", "v", "dim", "pivot", "kth"])
 
-    dealt = written(vectors.mapInArrow(deal, "vec_id long, v array<long>, dim int, pivot int, kth double"), "dealt")
+    dealt = written(vectors.mapInArrow(deal, "vec_id long, v array<long>, dim int, pivot int, kth long"), "dealt")
     sizes = dealt.groupBy("dim", "pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     data = dealt.join(F.broadcast(sizes), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     asked = dealt.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
@@ -219,8 +232,8 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY, scale:
             middle = own.mean(axis=0)
             radius = float(np.sqrt(((own - middle) ** 2).sum(axis=1)).max())
             kth = t["kth"].to_numpy()
-            row = [t["dim"][0].as_py(), t["a"][0].as_py(), t["b"][0].as_py(), len(t), middle.tolist(), radius, float(kth.min()), t["vec_id"].to_numpy().tobytes(), own.tobytes(), kth.tobytes()]
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+            row = [t["dim"][0].as_py(), t["a"][0].as_py(), t["b"][0].as_py(), len(t), middle.tolist(), radius, int(kth.min()), t["vec_id"].to_numpy().tobytes(), own.tobytes(), kth.tobytes()]
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -237,7 +250,7 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY, scale:
 
     def blocked(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
         keyed = rows.select("dim", F.col(a).alias("a"), F.col(b).alias("b"), "vec_id", "v", "kth")
-        packed = keyed.repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b").mapInArrow(pack, "dim int, a int, b int, n long, center array<double>, radius double, worst double, ids binary, flat binary, kth binary")
+        packed = keyed.repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b").mapInArrow(pack, "dim int, a int, b int, n long, center array<double>, radius double, worst long, ids binary, flat binary, kth binary")
         return written(packed, name)
 
     left = blocked(asked, "group", "groups", "query-blocks")
@@ -253,18 +266,27 @@ def search(embeddings: DataFrame, k: int = TOP, every: int = QUERY_EVERY, scale:
     )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, trees = None, None
+        # the groups of queries that this task has met, with their best so far
+        held: dict[tuple, tuple[Tree, np.ndarray, Best]] = {}
+
+        def out() -> pa.RecordBatch:
+            rows = [(ids, best) for _, ids, best in held.values()]
+            n = [np.array([len(x) for x in best.score]) for _, best in rows]
+            columns = [np.concatenate(x) for x in zip(*((np.repeat(ids, m), np.concatenate(best.id), np.concatenate(best.score)) for (ids, best), m in zip(rows, n, strict=True)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["query_id", "vec_id", "score"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                if last != (key := (r["dim"], r["group"])):
-                    own = np.frombuffer(r["q_flat"], dtype=np.int64).reshape(-1, r["dim"])
-                    last, trees = key, (own, np.frombuffer(r["q_ids"], dtype=np.int64), build(own), np.frombuffer(r["kth"], dtype=np.float64))
-                own, q_ids, tree, kth = trees
-                points = np.frombuffer(r["flat"], dtype=np.int64).reshape(-1, r["dim"])
-                best = Best(kth, k)
-                dual_search(tree, own, q_ids, build(points), points, np.frombuffer(r["ids"], dtype=np.int64), best)
-                n = np.array([len(x) for x in best.score])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)), pa.array(np.concatenate(best.id).astype(np.int64)), pa.array(np.concatenate(best.score).astype(np.int64))], names=["query_id", "vec_id", "score"])
+                if (key := (r["dim"], r["group"])) not in held:
+                    if len(held) >= GROUPS:
+                        yield out()
+                        held.clear()
+                    ids = np.frombuffer(r["q_ids"], dtype=np.int64)
+                    held[key] = build(np.frombuffer(r["q_flat"], dtype=np.int64).reshape(-1, r["dim"]), ids), ids, Best(np.frombuffer(r["kth"], dtype=np.int64), k)
+                tree, _, best = held[key]
+                dual_search(tree, build(np.frombuffer(r["flat"], dtype=np.int64).reshape(-1, r["dim"]), np.frombuffer(r["ids"], dtype=np.int64)), best)
+        if held:
+            yield out()
 
     found = work.select("dim", "group", "ids", "flat", "q_ids", "q_flat", "kth").mapInArrow(walk, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
