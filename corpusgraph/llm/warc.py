@@ -191,7 +191,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    archives = index.select("archive").distinct()
+    archives = written(index.select("archive").distinct(), "archives")
+    # an archive is a large piece of work behind a small row: one partition each
+    archives = archives.repartition(max(1, min(archives.count(), 100_000)), "archive")
     return archives.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
