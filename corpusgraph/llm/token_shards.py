@@ -22,13 +22,18 @@ from pyspark.sql import functions as F
 from . import files
 from .scratch import new_path, small, written
 from .textnum import mix
-from .tokens import documents
+from .tokens import documents, encoder
 
 #: Tokens in a record, records in a shard, rounds of the network.
 LENGTH, SHARD, ROUNDS = 512, 32768, 6
 KEY = 0x5EED
 
 
+def token_type(tokenizer: str | None) -> str:
+    """Two bytes a token where the vocabulary allows, else four (little-endian)."""
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
 class Permutation:
     """A keyed bijection of ``range(n)``."""
 
@@ -91,8 +96,8 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
     """Write the sequences of ``docs(doc_id, text)`` to shards in ``folder``; returns the
     written index ``slot, shard, file, doc_id, start, n_tokens, ids_crc32``.
 
-    A record is a little-endian uint32 token count and ``length`` uint32 ids, zeros
-    after the last. A null or empty text is one sequence of the end token. Repeated rows
+    A record is a little-endian uint32 token count and ``length`` ids of two bytes (four
+    for a larger vocabulary), zeros after the last. A null or empty text is one sequence of the end token. Repeated rows
     are materialised each; null ids are kept; further columns are ignored; an empty table
     gives no shards. Slots depend on the key and the numbering of the written count table;
     within one call they are fixed."""
@@ -101,7 +106,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
     places = written(places, "sequence-places").select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), "n", "copies", "base")
     joined = base.dropDuplicates(["doc_id", "text_key"]) if not places.where("copies > 1").isEmpty() else base
     joined = joined.join(small(places, places.count()), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("doc_id", "text", "n", "copies", "base")
-    order = Permutation(total, key)
+    order, width = Permutation(total, key), token_type(tokenizer)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +120,10 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
                 return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
             for row, ids in documents(batch.column(1), tokenizer):
-                raw = ids.astype("<u2").tobytes() if int(ids.max()) < 1 << 16 else b"\1" + ids.astype("<u4").tobytes()
-                wide = 2 if int(ids.max()) < 1 << 16 else 4
+                values = ids.astype(width)
                 for c in range(copies[row]):
                     for j in range(n[row]):
-                        own = raw[wide * j * length : wide * (j + 1) * length] if wide == 2 else b"\1" + raw[1 + 4 * j * length : 1 + 4 * (j + 1) * length]
+                        own = values[j * length : (j + 1) * length].tobytes()
                         rows.append(row)
                         starts.append(j * length)
                         numbers.append(first[row] + c * n[row] + j)
@@ -144,12 +148,11 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
                 if slot != place:
                     raise ValueError(f"slot {place} is missing")
                 raw = ids[k].as_py()
-                values = np.frombuffer(raw, "<u2").astype("<u4") if len(raw) % 2 == 0 else np.frombuffer(raw[1:], "<u4")
-                body = values.tobytes()
-                stream.write(struct.pack("<I", len(values)) + body + bytes(4 * (length - len(values))))
+                values = np.frombuffer(raw, width)
+                stream.write(struct.pack("<I", len(values)) + raw + bytes(values.itemsize * length - len(raw)))
                 names.append(name)
                 counts.append(len(values))
-                sums.append(zlib.crc32(body))
+                sums.append(zlib.crc32(values.astype("<u4").tobytes()))
                 place += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), batch.column(2), starts, pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["slot", "shard", "file", "doc_id", "start", "n_tokens", "ids_crc32"])
         if stream:
@@ -160,33 +163,40 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
     return written(dealt.mapInArrow(write, f"slot long, shard int, file string, doc_id {kind}, start long, n_tokens long, ids_crc32 long"), "shard-index")
 
 
-def read_slots(folder: str, name: str, first: int, n: int, length: int = LENGTH) -> Iterator[np.ndarray]:
+def _ids(record: bytes, width: str) -> np.ndarray:
+    return np.frombuffer(record, width, struct.unpack_from("<I", record)[0], 4).astype("<u4")
+
+
+def stride(length: int, width: str) -> int:
+    """Bytes of a record."""
+    return 4 + length * np.dtype(width).itemsize
+
+
+def read_slots(folder: str, name: str, first: int, n: int, length: int = LENGTH, width: str = "<u2") -> Iterator[np.ndarray]:
     """The ids of ``n`` records of a shard file from its record ``first`` on."""
-    stride = 4 + 4 * length
     with files.read(folder, name) as source:
-        source.seek(first * stride)
+        source.seek(first * stride(length, width))
         for _ in range(n):
-            raw = source.read(stride)
-            yield np.frombuffer(raw, "<u4", struct.unpack_from("<I", raw)[0], 4)
+            yield _ids(source.read(stride(length, width)), width)
 
 
-def verified(index: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+def verified(index: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:
     """``index`` with the byte offset of each record, each record having been read from
     its shard again; a record that differs from its digest is an error."""
-    stride = 4 + 4 * length
+    width = token_type(tokenizer)
+    size = stride(length, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, now = None, None
         for batch in batches:
             slots, names, sums = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(6).to_pylist()
-            offsets = (slots % shard) * stride
+            offsets = (slots % shard) * size
             for name, at, crc in zip(names, offsets.tolist(), sums, strict=True):
                 if name != now:
                     source, now = files.read(folder, name), name
                 if source.tell() != at:
                     source.seek(at)
-                raw = source.read(stride)
-                if zlib.crc32(raw[4 : 4 + 4 * struct.unpack_from("<I", raw)[0]]) != crc:
+                if zlib.crc32(_ids(source.read(size), width).tobytes()) != crc:
                     raise ValueError(f"a record of {name} differs from its digest")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offsets)], names=[*batch.schema.names, "byte_offset"])
 
