@@ -2,9 +2,13 @@
 
 Lines are normalised (runs of white space count as one, A-Z as a-z) and hashed; the
 distinct documents that hold a line are counted for each host. A line in more than
-``max_docs`` documents of its host is removed from all of them but the one with the
-smallest id, so one copy of any text stays; a document that loses more than
-``max_lost`` percent of its words this way is rejected as depleted.
+``max_docs`` documents of its host is common.
+
+The verdicts of the query (``quality``, the rule of its SQL) take the document with the
+smallest id as the keeper of a common line, whatever becomes of it. The corpus
+(``apply_quality``) elects keepers that stay (``keepers``), so one copy of any text of the
+documents that pass the base rules stays; in both, a document that loses more than
+``max_lost`` percent of its words is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -13,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import written
+from .scratch import small, written
 from .textnum import Block, _powers, blocks, mix
 
 #: A line in more documents of a host than this is boilerplate.
@@ -78,10 +82,20 @@ def measures(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     return out, hashes, line_words, line_first
 
 
+def unit(id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> Column:
+    """A digest of id, host and text: rows of one unit are copies and share a verdict."""
+    plain = lambda x: F.coalesce(F.concat(F.lit("+"), F.col(x).cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat_ws("\0", plain(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), plain(host_col))))
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``doc_id, host``, the five numbers, ``lines`` (hashes) and ``line_words``."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
-    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, host string, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", lines array<long>, line_words array<int>"
+    """``doc_id, host, unit``, the five numbers, ``lines`` (hashes) and ``line_words``."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), unit(id_col, text_col, host_col).alias("unit"))
+    schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, host string, unit binary, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", lines array<long>, line_words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,9 +104,9 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 rows = batch.slice(block.first, block.n)
                 offsets = pa.array(first, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), *(pa.array(numbers[x], pa.int64()) for x in _NUMBERS)]
+                    [rows.column(0), rows.column(1), rows.column(3), *(pa.array(numbers[x], pa.int64()) for x in _NUMBERS)]
                     + [pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(words, pa.int32()))],
-                    names=["doc_id", "host", *_NUMBERS, "lines", "line_words"],
+                    names=["doc_id", "host", "unit", *_NUMBERS, "lines", "line_words"],
                 )
 
     return base.mapInArrow(run, schema)
@@ -108,10 +122,41 @@ def line_rules(profiles: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return held.join(common, "key").where("doc_id <> keeper").groupBy("doc_id", "host").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("n_removed_words"))
 
 
+def keepers(profiles: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
+    """``(unit, removed, n_removed_words, keeps)`` of the rows that pass the base rules and
+    hold a common line, with one keeper for each of these lines.
+
+    First the smallest id among those rows keeps a line. Where its row is depleted, the
+    smallest id among rows that aren't does; that only gives them lines back. Where all are
+    depleted, the smallest id keeps the line and its row is exempt from depletion
+    (``keeps``). A null id takes no part."""
+    key = F.xxhash64(F.col("host").isNull(), F.col("host"), F.col("x.line"))
+    zipped = F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))
+    lines = profiles.where("doc_id is not null").select("doc_id", "host", "unit", "n_words", base_failed().alias("failed"), F.explode(zipped).alias("x")).where("x.words > 0")
+    lines = lines.select("doc_id", "unit", "n_words", "failed", key.alias("key"), "x.line", "x.words")
+    common = written(lines.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("key"), "common-lines")
+    n_common = common.count()
+    copies = profiles.groupBy("unit").agg(F.count("*").alias("copies"))
+    held = lines.where("not failed").join(small(common, n_common), "key").groupBy("unit", "doc_id", "n_words", "key", "line").agg(F.sum("words").alias("words"))
+    held = written(held.join(copies, "unit").withColumn("words", F.expr("words div copies")).drop("copies"), "holders")
+    gone = F.col("keeper") != F.col("unit")
+
+    first = held.groupBy("key").agg(F.min(F.struct("doc_id", "unit"))["unit"].alias("keeper"))
+    lost = held.join(small(first, n_common), "key").groupBy("unit", "n_words").agg(F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("lost"))
+    lost = lost.select("unit", (100 * F.col("lost") > max_lost * F.col("n_words")).alias("depleted"))
+    final = held.join(lost, "unit").groupBy("key").agg(F.min(F.struct("depleted", "doc_id", "unit"))["unit"].alias("keeper"))
+    return (
+        held.join(small(final, n_common), "key")
+        .groupBy("unit")
+        .agg(F.collect_list(F.when(gone, F.col("line"))).alias("removed"), F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("n_removed_words"), F.max(~gone).alias("keeps"))
+    )
+
+
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """One row per document: ``doc_id, host``, the five numbers, ``base_failed, removed,
     n_removed_words, kept``.
 
+    Keepers are the smallest ids, as in the query's SQL; the corpus has those of ``keepers``.
     ``docs`` needs ``doc_id, text, source``; other columns are ignored. A null or
     empty text has zeros and fails the base rules. A null source is a host of its own.
     Repeated ids of one host count as one document, and a null id takes no part in
@@ -123,7 +168,7 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST)
         "doc_id",
         "host",
         *_NUMBERS,
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))).alias("base_failed"),
+        base_failed().alias("base_failed"),
         "removed",
         F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"),
     ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= max_lost * F.col("n_words")))
@@ -131,9 +176,14 @@ def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST)
 
 def apply_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged but ``text``, which has lost
-    its common lines (and ``n_chars``, if there, which follows it)."""
-    verdict = quality(docs, max_docs, max_lost).where("kept").select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), "removed").dropDuplicates(["__id", "__host"])
-    joined = docs.join(verdict, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__host"))).drop("__id", "__host")
+    its common lines but those that it keeps (and ``n_chars``, if there, which follows
+    it). Verdicts are by id, host and text: rows that share an id, or have none, are
+    judged each by its own text."""
+    profiles = written(profile(docs), "profiles")
+    rules = keepers(profiles, max_docs, max_lost)
+    good = ~base_failed() & (F.coalesce("keeps", F.lit(False)) | (100 * F.coalesce("n_removed_words", F.lit(0)) <= max_lost * F.col("n_words")))
+    verdict = profiles.drop("lines", "line_words").join(rules, "unit", "left").where(good).select(F.col("unit").alias("__unit"), "removed").dropDuplicates(["__unit"])
+    joined = docs.withColumn("__own", unit()).join(verdict, F.col("__own") == F.col("__unit")).drop("__own", "__unit")
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
