@@ -134,16 +134,16 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
 
     A null html is an empty payload, a null url an empty one. Records are settled first:
     of equal payloads (SHA-1 and size) of at least ``min_revisit`` bytes, the smallest
-    ``page_id`` is the response. Rows that repeat an id are archived each; if an id
-    repeats, each of its rows that would be the response is one. A null id can't be
+    ``page_id`` is the response. Rows that repeat an id are archived each, by their own
+    payloads; if an id repeats, each of its rows that would be the response is one. A null id can't be
     referred to and is archived as a response with id -1. Further columns are ignored; an
     empty table gives no archives and no rows."""
     base = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     sha1 = F.sha1(F.encode("html", "UTF-8"))
     keyed = base.select("page_id", "url", "html", sha1.alias("sha1"), F.octet_length("html").cast("long").alias("size"))
     first = keyed.where((F.col("size") >= min_revisit) & (F.col("page_id") >= 0)).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "first")
-    rows = written(keyed.select("page_id", "sha1", "size").join(first, ["sha1", "size"]).where("page_id <> first and page_id >= 0").select("page_id", "first").distinct(), "revisits")
-    settled = base.join(rows, "page_id", "left")
+    rows = written(keyed.select("page_id", "sha1", "size").join(first, ["sha1", "size"]).where("page_id <> first and page_id >= 0").distinct(), "revisits")
+    settled = keyed.join(rows, ["page_id", "sha1", "size"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import quality
+from corpusgraph.llm import quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,3 +22,10 @@ def test_a_common_line_stays_where_its_first_holder_goes(spark):
     got = {r.doc_id: r.text for r in quality.apply_quality(frame).collect()}
     assert set(got) == {1, *range(3, 15), 20}
     assert {x: [i for i in sorted(got) if x in got[i].split("\n")] for x in (a, b, c)} == {a: [3], b: [1], c: [20]}
+
+
+def test_a_page_that_was_crawled_twice(spark):
+    rows = [(1, "u", "one"), (2, "u", "two"), (5, "u", "one"), (5, "u", "five"), (6, "u", "one"), (6, "u", "two")]
+    got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    expect = [(1, "one", None), (2, "two", None), (5, "five", None), (5, "one", 1), (6, "one", 1), (6, "two", 2)]
+    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0, r.record_type) for r in got) == sorted((i, warc.digest(x.encode()), f or 0, "revisit" if f else "response") for i, x, f in expect)
