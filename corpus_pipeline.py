@@ -22,9 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return apply_quality(docs)
 
 
+#: Two texts are near copies from this percentage of common word shingles on.
+NEAR_PERCENT = 85
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return deduplicate(docs)
+    return deduplicate(docs, percent=NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

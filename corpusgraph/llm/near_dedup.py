@@ -18,7 +18,9 @@ maximum and agree with a probability close to the sets' Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,8 @@ from .graphs import components
 from .scratch import small, written
 from .textnum import SHINGLE, blocks, mix, shingle_hashes
 
-#: Bands of registers: a link at the threshold 0.85 meets in none of them with a probability of 4e-8.
-BANDS, ROWS = 36, 6
-REGISTERS = BANDS * ROWS
+#: Registers in a band; a link at the threshold meets in no band with a probability of at most MISS.
+ROWS, MISS = 6, 4.1e-8
 #: SetSketch parameters for two-byte registers.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors of the likelihood estimate below the threshold that are still verified.
@@ -39,16 +40,26 @@ MARGIN = 5.5
 #: A chunk of a family holds about so many bytes of text and documents.
 CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 192
 
-_rng = np.random.default_rng(7)
-_MUL = _rng.integers(0, 1 << 63, size=REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, size=REGISTERS, dtype=np.uint64) * np.uint64(2)
 
+def bands_for(percent: int) -> int:
+    """Bands that a threshold needs: 36 at 0.85, 56 at 0.80."""
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-((min(percent, 99) / 100) ** ROWS))))
 
-def registers(shingles: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """SetSketch registers (texts x REGISTERS, uint16) of nonempty runs of shingles."""
-    least = np.empty((REGISTERS, len(begin)), dtype=np.uint64)
-    for k in range(REGISTERS):
-        np.minimum.reduceat(shingles * _MUL[k] + _ADD[k], begin, out=least[k])
+
+@lru_cache(maxsize=8)
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of ``n`` hash functions."""
+    rng = np.random.default_rng(7)
+    mul = rng.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return mul, rng.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2)
+
+
+def registers(shingles: np.ndarray, begin: np.ndarray, n: int = 36 * ROWS) -> np.ndarray:
+    """SetSketch registers (texts x n, uint16) of nonempty runs of shingles."""
+    mul, add = _functions(n)
+    least = np.empty((n, len(begin)), dtype=np.uint64)
+    for k in range(n):
+        np.minimum.reduceat(shingles * mul[k] + add[k], begin, out=least[k])
     uniform = (least.T.astype(np.float64) + 0.5) / 2.0**64
     return np.clip(np.floor(1 - np.log(-np.log1p(-uniform) / RATE) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
@@ -58,12 +69,12 @@ def merge(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.maximum(left, right)
 
 
-def joint_estimate(above: np.ndarray, below: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+def joint_estimate(above: np.ndarray, below: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, n: int = 36 * ROWS) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity from the numbers of registers in which
-    the left sketch is above or below the right one, given both set sizes."""
+    the left sketch is above or below the right one, of ``n``, given both set sizes."""
     u = n_left / (n_left + n_right)
     v = 1 - u
-    equal = REGISTERS - above - below
+    equal = n - above - below
     chance = lambda x: -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
     slope = lambda x: (BASE - 1) / BASE / (1 - x * (BASE - 1) / BASE) / np.log(BASE)
     lo, hi = np.zeros(len(u)), np.minimum(u / v, v / u)
@@ -87,7 +98,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
             yield block.first + i, np.unique(hashes[begin[i] : begin[i + 1]])
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, n: int = 36 * ROWS) -> DataFrame:
     """``(doc_id, n_shingles, n_bytes, digest, sketch)`` of every text; texts without
     words have size 0 and null digest and sketch."""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_shingles long, n_bytes long, digest binary, sketch binary"
@@ -100,7 +111,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             def flush():
                 if held:
                     begin = np.concatenate([[0], np.cumsum([len(x) for x in held])])[:-1]
-                    for row, sketch in zip(rows, registers(np.concatenate(held), begin), strict=True):
+                    for row, sketch in zip(rows, registers(np.concatenate(held), begin, n), strict=True):
                         sketches[row] = sketch.tobytes()
 
             for row, own in shingle_sets(batch.column(1), width):
@@ -120,9 +131,9 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def band_hashes(sketch: Column) -> Column:
+def band_hashes(sketch: Column, bands: int) -> Column:
     """One 64-bit hash for each band of a sketch."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(sketch, i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring(sketch, i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
 
 
 def block_links(ids: np.ndarray, sides: np.ndarray, sketches: np.ndarray, sets: list[np.ndarray], same: bool, percent: int) -> list[tuple[int, int]]:
@@ -130,10 +141,11 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sketches: np.ndarray, sets:
     within one chunk (``same``)."""
     n = len(ids)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
-    bands = sketches.reshape(n, BANDS, ROWS).copy().view("V12")[:, :, 0]
-    codes = np.stack([np.unique(bands[:, k], return_inverse=True)[1] for k in range(BANDS)])
+    n_registers = sketches.shape[1]
+    bands = sketches.reshape(n, n_registers // ROWS, ROWS).copy().view("V12")[:, :, 0]
+    codes = np.stack([np.unique(bands[:, k], return_inverse=True)[1] for k in range(bands.shape[1])])
     meet = np.zeros((n, n), dtype=bool)
-    for k in range(BANDS):
+    for k in range(len(codes)):
         meet |= codes[k][:, None] == codes[k][None, :]
     meet &= np.triu(np.ones((n, n), dtype=bool), 1)
     if not same:
@@ -147,9 +159,9 @@ def block_links(ids: np.ndarray, sides: np.ndarray, sketches: np.ndarray, sets:
         a, b = sketches[left[at : at + 4096]], sketches[right[at : at + 4096]]
         above[at : at + 4096] = (a > b).sum(axis=1)
         below[at : at + 4096] = (a < b).sum(axis=1)
-    guess = joint_estimate(above, below, sizes[left].astype(float), sizes[right].astype(float))
+    guess = joint_estimate(above, below, sizes[left].astype(float), sizes[right].astype(float), n_registers)
     limit = percent / 100
-    likely = guess >= limit - MARGIN * np.sqrt(limit * (1 - limit) / REGISTERS)
+    likely = guess >= limit - MARGIN * np.sqrt(limit * (1 - limit) / n_registers)
     left, right, guess = left[likely], right[likely], guess[likely]
     parent = list(range(n))
 
@@ -184,13 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies of one document; a null id is kept as it is, with a null component. An
     empty table gives no rows."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = written(signatures(base, width=width), "signatures")
+    bands = bands_for(percent)
+    signed = written(signatures(base, width=width, n=bands * ROWS), "signatures")
     copies = signed.where("digest is not null and doc_id is not null")
     classes = copies.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = written(copies.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "classes")
     reps = member.where("doc_id = rep").select("doc_id").distinct()
     heads = copies.join(reps, "doc_id", "left_semi")
-    banded = written(heads.select("doc_id", F.explode(band_hashes(F.col("sketch"))).alias("bucket")), "bands")
+    banded = written(heads.select("doc_id", F.explode(band_hashes(F.col("sketch"), bands)).alias("bucket")), "bands")
     met = banded.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("bucket", "hub")
     stars = banded.join(met, "bucket").where("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct()
     family = written(components(stars), "families")
@@ -215,7 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             t = pa.Table.from_batches([b for b, _ in held])
             same = held[0][1][1] == held[0][1][2]
             sets = [own for _, own in sorted(shingle_sets(t["text"], width), key=lambda x: x[0])]
-            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(len(t), REGISTERS)
+            sketches = np.frombuffer(b"".join(t["sketch"].to_pylist()), dtype=np.uint16).reshape(len(t), bands * ROWS)
             found = block_links(t["doc_id"].to_numpy(), t["own"].to_numpy(), sketches, sets, same, percent)
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.llm import quality, warc
+from corpusgraph.llm import near_dedup, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,3 +29,19 @@ def test_a_page_that_was_crawled_twice(spark):
     got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     expect = [(1, "one", None), (2, "two", None), (5, "five", None), (5, "one", 1), (6, "one", 1), (6, "two", 2)]
     assert sorted((r.page_id, r.payload_digest, r.refers_to or 0, r.record_type) for r in got) == sorted((i, warc.digest(x.encode()), f or 0, "revisit" if f else "response") for i, x, f in expect)
+
+
+def test_links_from_80_percent_on(spark):
+    held = [f"w{k}" for k in range(204)]  # 200 shingles
+    texts = []
+    for g, changed in enumerate((3, 4, 5)):  # 5 shingles each: 185, 180 and 175 of 200 shared, so 0.86, 0.82 and 0.78
+        texts += [[f"g{g}{w}" for w in held], [f"g{g}x{i}" if i % 40 == 20 and i < 40 * changed else f"g{g}{w}" for i, w in enumerate(held)]]
+    frame = spark.createDataFrame([(i, " ".join(t), "en", "h", 1) for i, t in enumerate(texts)], DOCS)
+    kept = lambda x: {r.doc_id for r in x.collect()}
+    assert kept(near_dedup.deduplicate(frame, percent=80)) == {0, 2, 4, 5}
+    assert kept(near_dedup.near_duplicates(frame).where("kept")) == {0, 2, 3, 4, 5}
+
+
+def test_enough_bands_for_each_threshold():
+    assert [near_dedup.bands_for(x) for x in (85, 80)] == [36, 56]
+    assert all((1 - (x / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(x) <= near_dedup.MISS for x in (50, 70, 80, 85, 95))
