@@ -255,8 +255,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def one_of_each_id(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that have an id, one of each: of a repeated id the row of the
+    smallest text digest, then the smallest digest of the row."""
+    named = docs.where("doc_id is not null")
+    repeated = written(named.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    n = repeated.count()
+    if not n:
+        return named
+    again = small(repeated, n)
+    row = F.struct(*(F.col(f"`{x}`") for x in docs.columns))
+    place = F.struct(F.md5(F.coalesce("text", F.lit(""))), F.sha2(F.to_json(row), 256))
+    picked = named.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, place).alias("row")).select("row.*")
+    return named.join(again, "doc_id", "left_anti").unionByName(picked)
+
+
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` (by ``doc_id``) that stay: one document of each component,
-    and a single row of an id that is repeated. All columns come back unchanged."""
-    labels = near_duplicates(docs, percent=percent).where("kept or doc_id is null").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(labels, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """The rows of ``docs`` that stay, all columns unchanged: one document of each
+    component, and every row without an id. An id that is repeated is first reduced to one
+    of its rows, whatever their order (``one_of_each_id``)."""
+    once = one_of_each_id(docs)
+    labels = near_duplicates(once, percent=percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    stay = once.join(labels, F.col("doc_id") == F.col("__kept"), "left_semi")
+    return stay.unionByName(docs.where("doc_id is null"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from corpusgraph.llm import near_dedup, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -45,3 +47,16 @@ def test_links_from_80_percent_on(spark):
 def test_enough_bands_for_each_threshold():
     assert [near_dedup.bands_for(x) for x in (85, 80)] == [36, 56]
     assert all((1 - (x / 100) ** near_dedup.ROWS) ** near_dedup.bands_for(x) <= near_dedup.MISS for x in (50, 70, 80, 85, 95))
+
+
+def test_rows_without_an_id_and_with_the_same(spark):
+    rows = [(None, own(1)), (None, own(2)), (None, "few words"), (4, own(3)), (4, own(4)), (5, own(3)), (6, own(5)), (6, "short")]
+    frame = spark.createDataFrame([(i, t, "en", "h", 1) for i, t in rows], DOCS)
+    plain = lambda x: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in x.collect())
+    passed = quality.apply_quality(frame)
+    assert plain(passed) == sorted((-1 if i is None else i, t) for i, t in rows if len(t.split()) > 9)
+    text4 = min((own(3), own(4)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    text6 = min((own(5), "short"), key=lambda x: hashlib.md5(x.encode()).hexdigest())
+    expect = [(-1, own(1)), (-1, own(2)), (-1, "few words"), (4, text4), (6, text6), *([(5, own(3))] if text4 != own(3) else [])]
+    for parts in (1, 3):
+        assert plain(near_dedup.deduplicate(frame.repartition(parts))) == sorted(expect)
