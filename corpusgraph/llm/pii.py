@@ -3,7 +3,7 @@
 One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes and
 identifier cues. Local parsers expand each anchor to the span it belongs to and
 validate its boundary (domain labels, IBAN check digits, digit counts). Numeric
-kinds (IP address, card, phone) are anchored at their first character.
+kinds (IP address, card, phone) have no anchors: regular expressions scan the whole text.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?[\x20\t]{0,3}(?:[:=#]|is\b)?[\x20\t]{0,3}[\"']?")
 _ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9](?:[\x20./-]?[0-9A-Z]){5,33}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"[A-Za-z0-9+/_=.~!$-]{8,512}")
+_SECRET = re.compile(r"[A-Za-z0-9+/_=.~!$-]{8,}")
 _URL = re.compile(r"[^\s\"'<>|\\^`{}]+")
 
 
@@ -126,6 +126,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     out["email"] = list(_emails(text, marks))
     out["ip"] = list(_addresses(text))
     out["card"], out["phone"] = _numbers(text)
+    run = (0, 0)  # the last token after a secret's cue: one that starts inside it is its rest
     for end, cue in cues:
         if end - len(cue) > 0 and text[end - len(cue) - 1].isalnum():
             continue
@@ -134,7 +135,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             value = _ACCOUNT.match(text, lead.end())
             if value and (cue != "iban" or iban(value.group())) and sum(map(str.isdigit, value.group())) >= 6:
                 out["account"].append(value.span())
-        elif value := _SECRET.match(text, lead.end()):
+        elif not run[0] <= lead.end() < run[1] and (value := _SECRET.match(text, lead.end())):
+            run = value.span()
             if any(map(str.isdigit, value.group())) and not value.group().isdigit():
                 out["secret"].append(value.span())
     for at, cue in schemes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from corpusgraph.llm import near_dedup, quality, warc
+from corpusgraph.llm import near_dedup, pii, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -60,3 +60,11 @@ def test_rows_without_an_id_and_with_the_same(spark):
     expect = [(-1, own(1)), (-1, own(2)), (-1, "few words"), (4, text4), (6, text6), *([(5, own(3))] if text4 != own(3) else [])]
     for parts in (1, 3):
         assert plain(near_dedup.deduplicate(frame.repartition(parts))) == sorted(expect)
+
+
+def test_a_long_secret_is_redacted_whole(spark):
+    secret = "".join("aB3-_x9Z"[k % 8] for k in range(2000))
+    frame = spark.createDataFrame([(1, f"the token: {secret} and more", "en", "h", 1)], DOCS)
+    assert pii.redact(frame).first().text == "the token: [SECRET] and more"
+    text = "token=" * 50000 + "1"  # each cue's value runs to the end: one span
+    assert pii.find(text)["secret"] == [(6, len(text))]
