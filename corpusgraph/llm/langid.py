@@ -3,7 +3,7 @@
 The model has the trigram distribution of each language. Every word of a text is an
 observation whose likelihood in a language is the product over its trigrams; EM finds
 the text's language proportions. The language set is the one of largest penalised
-likelihood among the leading ones: each language beyond the first costs
+likelihood among the sets of the k leading ones, for every k: each language beyond the first costs
 ``PENALTY * log(words)``. The prediction is the language of largest proportion.
 """
 
@@ -26,7 +26,7 @@ BITS, SMOOTH = 16, 0.05
 MAX_TEXTS = 4000
 #: More labels than this are an error: the model would outgrow a broadcast.
 MAX_LANGUAGES = 512
-EM_STEPS, PENALTY, MAX_SET = 10, 2.0, 3
+EM_STEPS, PENALTY = 10, 2.0
 UNKNOWN = "und"
 
 
@@ -113,7 +113,7 @@ def infer(model: Model, letters: Letters) -> np.ndarray:
     chosen = np.zeros_like(share)
     chosen[np.arange(len(filled)), order[:, 0]] = 1
     # a set of k languages gains no more than the full mixture does
-    for k in range(2, min(MAX_SET, lik.shape[1]) + 1):
+    for k in range(2, lik.shape[1] + 1):
         open_ = np.flatnonzero(full - (k - 1) * cost > best)
         if not len(open_):
             break

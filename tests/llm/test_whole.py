@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from corpusgraph.llm import near_dedup, pii, quality, warc
+from corpusgraph.llm import langid, near_dedup, pii, quality, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,3 +68,12 @@ def test_a_long_secret_is_redacted_whole(spark):
     assert pii.redact(frame).first().text == "the token: [SECRET] and more"
     text = "token=" * 50000 + "1"  # each cue's value runs to the end: one span
     assert pii.find(text)["secret"] == [(6, len(text))]
+
+
+def test_a_text_of_all_four_languages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").where("lang is not null").collect()
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 4
+    text = "\n".join(next(r.text for r in rows if r.lang == x and 2000 < len(r.text) < 4000 and "|" not in r.text)[:2000] for x in model.languages)
+    r = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert set(r.languages) == set(model.languages) and all(abs(x - 0.25) < 0.1 for x in r.shares)
