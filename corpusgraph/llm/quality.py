@@ -4,11 +4,10 @@ Lines are normalised (runs of white space count as one, A-Z as a-z) and hashed;
 distinct documents that hold a line are counted for each host. A line in more than
 ``max_docs`` documents of its host is common.
 
-The verdicts of the query (``quality``, the rule of its SQL) take the document with the
-smallest id as the keeper of a common line, whatever becomes of it. The corpus
-(``apply_quality``) elects keepers that stay (``keepers``), so one copy of any text of the
-documents that pass the base rules stays; in both, a document that loses more than
-``max_lost`` percent of its words is rejected as depleted.
+Common lines are removed from all documents but one keeper each (``keepers``), so that one
+copy of any text of the documents that pass the base rules stays; a document that loses
+more than ``max_lost`` percent of its words is rejected as depleted. Verdicts are by row:
+rows that share an id, or have none, are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, written
+from .scratch import private, small, unit, written
 from .textnum import Block, _powers, blocks, mix
 
 #: A line in more documents of a host than this is boilerplate.
@@ -82,19 +81,14 @@ def measures(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     return out, hashes, line_words, line_first
 
 
-def unit(id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> Column:
-    """A digest of id, host and text: rows of one unit are copies and share a verdict."""
-    plain = lambda x: F.coalesce(F.concat(F.lit("+"), F.col(x).cast("string")), F.lit("-"))
-    return F.unhex(F.md5(F.concat_ws("\0", plain(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))), plain(host_col))))
-
-
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
 def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """``doc_id, host, unit``, the five numbers, ``lines`` (hashes) and ``line_words``."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"), unit(id_col, text_col, host_col).alias("unit"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    base = base.withColumn("unit", unit("doc_id", "host", "text"))
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, host string, unit binary, " + ", ".join(f"{x} long" for x in _NUMBERS) + ", lines array<long>, line_words array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,39 +106,33 @@ def profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return base.mapInArrow(run, schema)
 
 
-def line_rules(profiles: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """``(doc_id, host, removed, n_removed_words)``: the hashes of a document's lines
-    that are above the limit of its host and that another document keeps."""
-    key = F.xxhash64(F.col("host").isNull(), F.col("host"), F.col("line"))
-    held = profiles.where("doc_id is not null").select("doc_id", "host", F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))).alias("x")).select("doc_id", "host", "x.line", "x.words").where("words > 0")
-    held = held.groupBy("doc_id", "host", "line").agg(F.sum("words").alias("words")).withColumn("key", key)
-    common = held.groupBy("key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper")).where(F.col("n_docs") > max_docs).select("key", "keeper")
-    return held.join(common, "key").where("doc_id <> keeper").groupBy("doc_id", "host").agg(F.collect_list("line").alias("removed"), F.sum("words").alias("n_removed_words"))
-
-
 def keepers(profiles: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """``(unit, removed, n_removed_words, keeps)`` of the rows that pass the base rules and
     hold a common line, with one keeper for each of these lines.
 
-    First the smallest id among those rows keeps a line. Where its row is depleted, the
-    smallest id among rows that aren't does; that only gives them lines back. Where all are
-    depleted, the smallest id keeps the line and its row is exempt from depletion
-    (``keeps``). A null id takes no part."""
+    A line is common if more than ``max_docs`` distinct ids of its host hold it (a row
+    without an id counts as a document of its own). First the smallest id (null last) among the
+    rows that pass keeps a line. Where its row is depleted, the smallest id among rows that
+    aren't does; that only gives them lines back. Where all are depleted, the smallest
+    id keeps the line and its row is exempt from depletion (``keeps``)."""
     key = F.xxhash64(F.col("host").isNull(), F.col("host"), F.col("x.line"))
     zipped = F.arrays_zip(F.col("lines").alias("line"), F.col("line_words").alias("words"))
-    lines = profiles.where("doc_id is not null").select("doc_id", "host", "unit", "n_words", base_failed().alias("failed"), F.explode(zipped).alias("x")).where("x.words > 0")
+    lines = profiles.select("doc_id", "unit", "n_words", base_failed().alias("failed"), "host", F.explode(zipped).alias("x")).where("x.words > 0")
     lines = lines.select("doc_id", "unit", "n_words", "failed", key.alias("key"), "x.line", "x.words")
-    common = written(lines.select("key", "doc_id").distinct().groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("key"), "common-lines")
+    who = F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.col("unit")).alias("who")
+    common = written(lines.select("key", who).distinct().groupBy("key").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("key"), "common-lines")
     n_common = common.count()
+    # rows that are copies of one another are one unit, and its words count once
     copies = profiles.groupBy("unit").agg(F.count("*").alias("copies"))
     held = lines.where("not failed").join(small(common, n_common), "key").groupBy("unit", "doc_id", "n_words", "key", "line").agg(F.sum("words").alias("words"))
     held = written(held.join(copies, "unit").withColumn("words", F.expr("words div copies")).drop("copies"), "holders")
     gone = F.col("keeper") != F.col("unit")
+    place = [F.col("doc_id").isNull().alias("none"), "doc_id", "unit"]
 
-    first = held.groupBy("key").agg(F.min(F.struct("doc_id", "unit"))["unit"].alias("keeper"))
+    first = held.groupBy("key").agg(F.min(F.struct(*place))["unit"].alias("keeper"))
     lost = held.join(small(first, n_common), "key").groupBy("unit", "n_words").agg(F.sum(F.when(gone, F.col("words")).otherwise(0)).alias("lost"))
     lost = lost.select("unit", (100 * F.col("lost") > max_lost * F.col("n_words")).alias("depleted"))
-    final = held.join(lost, "unit").groupBy("key").agg(F.min(F.struct("depleted", "doc_id", "unit"))["unit"].alias("keeper"))
+    final = held.join(lost, "unit").groupBy("key").agg(F.min(F.struct("depleted", *place))["unit"].alias("keeper"))
     return (
         held.join(small(final, n_common), "key")
         .groupBy("unit")
@@ -152,38 +140,33 @@ def keepers(profiles: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_L
     )
 
 
+def judged(docs: DataFrame, max_docs: int, max_lost: int, columns: tuple[str, str, str] = ("doc_id", "text", "source")) -> DataFrame:
+    """``profile`` of each row with ``base_failed, removed, n_removed_words, kept``."""
+    profiles = written(profile(docs, *columns), "profiles")
+    joined = profiles.join(keepers(profiles, max_docs, max_lost), "unit", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long"))
+    fit = F.coalesce("keeps", F.lit(False)) | (100 * F.col("n_removed_words") <= max_lost * F.col("n_words"))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fit)
+
+
 def quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """One row per document: ``doc_id, host``, the five numbers, ``base_failed, removed,
     n_removed_words, kept``.
 
-    Keepers are the smallest ids, as in the query's SQL; the corpus has those of ``keepers``.
     ``docs`` needs ``doc_id, text, source``; other columns are ignored. A null or
     empty text has zeros and fails the base rules. A null source is a host of its own.
-    Repeated ids of one host count as one document, and a null id takes no part in
-    line counts. An empty table gives no rows."""
-    profiles = written(profile(docs), "profiles")
-    rules = line_rules(profiles, max_docs).select(F.col("doc_id").alias("__id"), F.col("host").alias("__host"), "removed", "n_removed_words")
-    out = profiles.join(rules, (F.col("doc_id") == F.col("__id")) & F.col("host").eqNullSafe(F.col("__host")), "left")
-    return out.select(
-        "doc_id",
-        "host",
-        *_NUMBERS,
-        base_failed().alias("base_failed"),
-        "removed",
-        F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"),
-    ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_removed_words") <= max_lost * F.col("n_words")))
+    ``n_removed_words`` is 0 where the base rules fail. Repeated rows have the same verdict
+    each. An empty table gives no rows."""
+    return judged(docs, max_docs, max_lost).select("doc_id", "host", *_NUMBERS, "base_failed", "removed", "n_removed_words", "kept")
 
 
 def apply_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX_LOST) -> DataFrame:
     """The kept rows of ``docs``, all columns unchanged but ``text``, which has lost
     its common lines but those that it keeps (and ``n_chars``, if there, which follows
-    it). Verdicts are by id, host and text: rows that share an id, or have none, are
-    judged each by its own text."""
-    profiles = written(profile(docs), "profiles")
-    rules = keepers(profiles, max_docs, max_lost)
-    good = ~base_failed() & (F.coalesce("keeps", F.lit(False)) | (100 * F.coalesce("n_removed_words", F.lit(0)) <= max_lost * F.col("n_words")))
-    verdict = profiles.drop("lines", "line_words").join(rules, "unit", "left").where(good).select(F.col("unit").alias("__unit"), "removed").dropDuplicates(["__unit"])
-    joined = docs.withColumn("__own", unit()).join(verdict, F.col("__own") == F.col("__unit")).drop("__own", "__unit")
+    it)."""
+    own, key, gone = private(docs, "unit", "key", "removed")
+    verdict = judged(docs, max_docs, max_lost).where("kept").groupBy("unit").agg(F.first("removed").alias(gone)).withColumnRenamed("unit", key)
+    keyed = docs.withColumn(own, unit("doc_id", "source", "text"))
+    joined = keyed.join(verdict, F.col(own) == F.col(key)).select(*(F.col(f"`{x}`") for x in docs.columns), gone)
     names, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,5 +186,5 @@ def apply_quality(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: int = MAX
                 texts = pa.array(values, batch.schema.field(text).type)
             yield pa.RecordBatch.from_arrays([texts if k == text else batch.column(k) for k in range(len(names))], names=names)
 
-    out = joined.select(*docs.columns, "removed").mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -104,12 +104,17 @@ _QUALITY = f"""with d as (select doc_id, source, coalesce(text, '') as text, reg
   l as (select doc_id, source, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))) as line from d),
   dup as (select doc_id, count(*) - count(distinct line) as n from l group by 1),
   norm as (select doc_id, source, translate(array_to_string(regexp_extract_all(line, '{_WORD}'), ' '), '{_UPPER}', '{_LOWER}') as line, len(regexp_extract_all(line, '{_WORD}')) as n from l),
-  held as (select source, line, count(distinct doc_id) as docs, min(doc_id) as keeper from norm group by 1, 2),
-  lost as (select n.doc_id, sum(n.n)::bigint as n from norm n join held h on n.source is not distinct from h.source and n.line = h.line where h.docs > 10 and h.keeper <> n.doc_id group by 1),
-  m as (select d.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-    coalesce(dup.n, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words, coalesce(lost.n, 0) as n_removed_words from d left join dup using (doc_id) left join again using (doc_id) left join lost using (doc_id)),
-  v as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m)
-select *, not base_failed and 100 * n_removed_words <= 70 * n_words as kept from v"""
+  lw as (select doc_id, source, line, sum(n) as n from norm group by 1, 2, 3),
+  m0 as (select d.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    coalesce(dup.n, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words from d left join dup using (doc_id) left join again using (doc_id)),
+  m as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from m0),
+  common as (select source, line from lw group by 1, 2 having count(*) > 10),
+  held as (select lw.*, m.n_words from lw join common c on lw.source is not distinct from c.source and lw.line = c.line join m on m.doc_id = lw.doc_id where not base_failed),
+  k1 as (select *, min(doc_id) over (partition by source, line) as keeper from held),
+  d1 as (select doc_id, 100 * sum(case when keeper <> doc_id then n else 0 end) > 70 * any_value(n_words) as depleted from k1 group by 1),
+  k2 as (select h.*, first_value(h.doc_id) over (partition by h.source, h.line order by depleted, h.doc_id) as keeper from held h join d1 using (doc_id)),
+  lost as (select doc_id, sum(case when keeper <> doc_id then n else 0 end)::bigint as n, bool_or(keeper = doc_id) as keeps from k2 group by 1)
+select m.*, coalesce(lost.n, 0) as n_removed_words, not base_failed and (coalesce(keeps, false) or 100 * coalesce(lost.n, 0) <= 70 * n_words) as kept from m left join lost using (doc_id)"""
 
 _NEAR = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') as ws from documents),
   s as (select doc_id, list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(len(ws) - 4), lambda i: array_to_string(ws[i::int + 1 : i::int + 5], ' ')) end) as x from d),

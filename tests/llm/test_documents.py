@@ -45,17 +45,21 @@ def brute_measures(text):
 
 def brute_quality(rows, max_docs, max_lost):
     norm = lambda x: tuple(w.translate({k: k + 32 for k in range(65, 91)}) for w in words(x))
-    held = collections.defaultdict(set)
-    for i, text, host in rows:
-        for x in (text or "").split("\n"):
-            if words(x):
-                held[host, norm(x)].add(i)
-    out = {}
+    out, lines, holders = {}, {}, collections.defaultdict(set)
     for i, text, host in rows:
         m = brute_measures(text)
-        lost = sum(len(words(x)) for x in (text or "").split("\n") if words(x) and len(held[host, norm(x)]) > max_docs and min(held[host, norm(x)]) != i)
-        failed = m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]
-        out[i] = m | {"base_failed": failed, "n_removed_words": lost, "kept": not failed and 100 * lost <= max_lost * m["n_words"]}
+        out[i] = m | {"base_failed": m["n_words"] < 10 or 100 * m["n_repeat_words"] > 20 * m["n_words"]}
+        lines[i] = [(host, norm(x)) for x in (text or "").split("\n") if words(x)]
+        for x in lines[i]:
+            holders[x].add(i)
+    common = {x: {i for i in v if not out[i]["base_failed"]} for x, v in holders.items() if len(v) > max_docs}
+    lost = lambda i, keeper: sum(len(x[1]) for x in lines[i] if x in common and keeper.get(x) != i)
+    first = {x: min(v) for x, v in common.items() if v}
+    depleted = {i: 100 * lost(i, first) > max_lost * out[i]["n_words"] for i in out}
+    keeper = {x: min(v, key=lambda i: (depleted[i], i)) for x, v in common.items() if v}
+    for i, m in out.items():
+        m["n_removed_words"] = 0 if m["base_failed"] else lost(i, keeper)
+        m["kept"] = not m["base_failed"] and (i in keeper.values() or 100 * m["n_removed_words"] <= max_lost * m["n_words"])
     return out
 
 
