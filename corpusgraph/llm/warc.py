@@ -2,12 +2,14 @@
 
 An archive starts with a skippable frame that holds a Zstandard dictionary built from
 its own records; every record follows as a frame of its own, so any one can be read by
-its offset. Records with equal payloads are revisits of the one with the smallest id.
+its offset. Records with equal payloads are revisits of the one with the smallest id. A
+record's id is made of page id and payload digest, so a revisit names exactly one payload.
 """
 
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import io
 import struct
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .scratch import new_path, written
+from .scratch import new_path, spread_join, unit, written
 
 #: Magic of the skippable frame that holds a WARC dictionary.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -39,20 +41,30 @@ def _clean(value: str) -> str:
     return "".join(" " if c in "\r\n\0" else c for c in value)
 
 
-def record(page_id: int, url: str | None, payload: bytes, sha1: str, refers_to: int | None) -> bytes:
+def record_id(page_id: int | None, sha1: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{sha1}>"
+
+
+def _page(value: str) -> int | None:
+    number = value.split(":")[2]
+    return int(number) if number else None
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC/1.1 record; a revisit has no body and names the payload's digest and size."""
     kind = "response" if refers_to is None else "revisit"
     body = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, sha1)}",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url or '')}",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"WARC-Payload-Length: {len(payload)}",
     ]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, sha1)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -128,25 +140,28 @@ def read_archive(source) -> Iterator[bytes]:
         yield out.getvalue()
 
 
-def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT, date: str | None = None) -> DataFrame:
     """Archive ``pages(page_id, url, html)`` in ``folder``; returns the written index
     ``(archive, position, offset, length, page_id)``.
 
     A null html is an empty payload, a null url an empty one. Records are settled first:
     of equal payloads (SHA-1 and size) of at least ``min_revisit`` bytes, the smallest
     ``page_id`` is the response. Rows that repeat an id are archived each, by their own
-    payloads; if an id repeats, each of its rows that would be the response is one. A null id can't be
-    referred to and is archived as a response with id -1. Further columns are ignored; an
-    empty table gives no archives and no rows."""
-    base = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(-1)).alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    sha1 = F.sha1(F.encode("html", "UTF-8"))
-    keyed = base.select("page_id", "url", "html", sha1.alias("sha1"), F.octet_length("html").cast("long").alias("size"))
-    first = keyed.where((F.col("size") >= min_revisit) & (F.col("page_id") >= 0)).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha1", "size", "first")
-    rows = written(keyed.select("page_id", "sha1", "size").join(first, ["sha1", "size"]).where("page_id <> first and page_id >= 0").distinct(), "revisits")
-    settled = keyed.join(rows, ["page_id", "sha1", "size"], "left")
+    payloads; rows that repeat id and payload of a response are responses. A page without
+    an id is a revisit if a page with an id has its payload, else a response. ``date``
+    is the records' WARC-Date (pages carry no time of their own; by default the time of
+    this call). Further columns are ignored; an empty table gives no archives and no rows."""
+    date = date or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    keyed = base.withColumn("sha1", F.sha1(F.encode("html", "UTF-8"))).withColumn("size", F.octet_length("html").cast("long")).withColumn("payload", unit("sha1", "size")).withColumn("own", unit("page_id", "sha1", "size"))
+    rows = keyed.where(F.col("size") >= min_revisit).groupBy("own", "page_id", "payload").agg(F.count("*").alias("copies"))
+    rows = written(rows.select("own", "page_id", "payload"), "payloads")
+    first = written(rows.groupBy("payload").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "first-pages")
+    again = written(spread_join(rows, first, "payload").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("own", "first"), "revisits")
+    settled = keyed.join(again, "own", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int | None, bytes]] = []
 
         def out() -> pa.RecordBatch:
             name, places = write_archive(folder, [x for _, x in held])
@@ -159,7 +174,7 @@ def write(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT) -> Data
         for batch in batches:
             for page_id, url, html, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 payload = html.encode("utf-8")
-                held.append((page_id, record(page_id, url, payload, digest(payload), refers)))
+                held.append((page_id, record(page_id, url, payload, digest(payload), refers, date)))
                 size += len(held[-1][1])
                 if size > ARCHIVE_BYTES:
                     yield out()
@@ -186,8 +201,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
                         sha1 = fields["warc-payload-digest"].removeprefix("sha1:")
                         if fields["warc-type"] == "response" and (digest(body) != sha1 or len(body) != int(fields["warc-payload-length"])):
                             raise ValueError(f"a payload in {name} differs from its digest")
-                        number = lambda x: int(x.removeprefix("<urn:page:").removesuffix(">"))
-                        rows.append((number(fields["warc-record-id"]), int(fields["warc-payload-length"]), sha1, fields["warc-type"], number(fields["warc-refers-to"]) if "warc-refers-to" in fields else None))
+                        rows.append((_page(fields["warc-record-id"]), int(fields["warc-payload-length"]), sha1, fields["warc-type"], _page(fields["warc-refers-to"]) if "warc-refers-to" in fields else None))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 

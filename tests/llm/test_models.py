@@ -156,7 +156,7 @@ def test_archives_round_trip(spark):
         first.setdefault(payload, i)
     assert len(got) == len(plain)
     for i, payload in plain:
-        r = got[-1 if i is None else i]
+        r = got[i]
         assert (r.payload_bytes, r.payload_digest) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
         if i is not None:
             assert (r.record_type, r.refers_to) == (("response", None) if first[payload] == i else ("revisit", first[payload]))
