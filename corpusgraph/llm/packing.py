@@ -66,13 +66,13 @@ def pieces(docs: DataFrame, longest: int = LENGTH, tokenizer: str | None = None,
 def pack(docs: DataFrame, longest: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True) -> DataFrame:
     """The pieces of all ``docs(doc_id, text)`` with ``sequence_id, offset``.
 
-    The pieces are written to the shared folder in a partition for each bucket, so
-    equal lengths lie together; ids number the rows of that table, which no longer
-    changes. A null or empty text is its end token alone: one piece of length 1.
-    Repeated and null ids are packed row by row; further columns are ignored; an empty
-    table gives no rows."""
-    table = written(pieces(docs, longest, tokenizer, with_ids), "pieces", partition_by=["bucket"])
-    return table.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    Each piece is numbered as it is written to the shared folder, so its number stays what it
+    is when the table is read again; within a file, pieces lie by bucket, so equal
+    lengths are read together. A null or empty text is its end token alone: one piece of
+    length 1. Repeated and null ids are packed row by row; further columns are ignored; an
+    empty table gives no rows."""
+    made = pieces(docs, longest, tokenizer, with_ids).withColumn("sequence_id", F.monotonically_increasing_id())
+    return written(made.sortWithinPartitions("bucket"), "pieces").withColumn("offset", F.lit(0).cast("long"))
 
 
 def write_sequences(packed: DataFrame, path: str) -> None:

@@ -1,7 +1,8 @@
 """Training-order materialisation of token sequences.
 
-Documents are cut into sequences of at most ``length`` tokens, and all sequences are
-numbered densely. A keyed Feistel network over the next even power of two, walked until
+Documents are tokenized once, into a written table, and cut into sequences of at most
+``length`` tokens. All sequences are numbered densely in the order of a digest of id and
+text, so numbers depend on the rows alone: not on partitions, files or lost executors. A keyed Feistel network over the next even power of two, walked until
 it lands below the number of sequences, permutes the numbers into global slots. Slots
 are dealt by range to shards; a shard is a binary file of fixed-stride records in slot
 order, so a reader resumes at any slot by seeking.
@@ -15,18 +16,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .scratch import new_path, small, written
+from .scratch import new_path, unit, written
 from .textnum import mix
 from .tokens import documents, encoder
 
 #: Tokens in a record, records in a shard, rounds of the network.
 LENGTH, SHARD, ROUNDS = 512, 32768, 6
 KEY = 0x5EED
+#: The numbering sums up this many ranges of the digest (one number each reaches the driver).
+RANGES = 1 << 16
 
 
 def token_type(tokenizer: str | None) -> str:
@@ -63,33 +65,41 @@ class Permutation:
         return self._walk(slot, self.keys[:ROUNDS][::-1])
 
 
-def numbered(docs: DataFrame, length: int, tokenizer: str | None) -> tuple[DataFrame, int]:
-    """Distinct ``(doc_id, text_key, copies, n, base)`` of ``docs`` and the number of all
-    sequences: those of a document are ``base`` and the ones that follow."""
-    counted = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, n long"
+def tokenized(docs: DataFrame, length: int, tokenizer: str | None) -> DataFrame:
+    """``(range, unit, doc_id, ids, n, copies)`` of ``docs(doc_id, text)``: the ids of each
+    text as bytes and its number of sequences. Copies in id and text that meet in a batch are
+    one row."""
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    base = base.select("doc_id", "text", unit("doc_id", "text").alias("unit"))
+    width = token_type(tokenizer)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [-(-len(ids) // length) for _, ids in documents(batch.column(1), tokenizer)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["doc_id", "text_key", "n"])
-
-    counts = docs.mapInArrow(count, counted).groupBy("doc_id", "text_key").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
-    counts = written(counts, "sequence-counts")
-    # one number for each partition of the written table, whose partitions stay as they are
-    totals = {r.p: r.s for r in counts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.col("n") * F.col("copies")).alias("s")).collect()}
-    first, total = {}, 0
-    for p in sorted(totals):
-        first[p], total = total, total + totals[p]
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = first.get(TaskContext.get().partitionId(), 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(2).to_numpy() * batch.column(3).to_numpy()
-            base = at + np.cumsum(own) - own
-            at += int(own.sum())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base)], names=["doc_id", "text_key", "n", "copies", "base"])
+            first: dict[bytes, int] = {}
+            copies: list[int] = []
+            for row, own in enumerate(batch.column(2).to_pylist()):
+                if own not in first:
+                    first[own] = row
+                    copies.append(0)
+            place = {own: k for k, own in enumerate(first)}
+            for own in batch.column(2).to_pylist():
+                copies[place[own]] += 1
+            some = batch.take(pa.array(list(first.values())))
+            held, at, many = [], 0, 0
+            for row, ids in documents(some.column(1), tokenizer):
+                held.append(ids.astype(width).tobytes())
+                many += len(held[-1])
+                if many > 1 << 23 or row == len(some) - 1:
+                    part = some.slice(at, len(held))
+                    n = [max(1, -(-len(x) // (length * np.dtype(width).itemsize))) for x in held]
+                    ranges = [int.from_bytes(x[:2], "big") for x in part.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ranges, pa.int32()), part.column(2), part.column(0), pa.array(held, pa.binary()), pa.array(n, pa.int64()), pa.array(copies[at : at + len(held)], pa.int64())], names=["range", "unit", "doc_id", "ids", "n", "copies"]
+                    )
+                    held, at, many = [], row + 1, 0
 
-    return counts.mapInArrow(place, f"{counted}, copies long, base long"), total
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return base.mapInArrow(run, f"range int, unit binary, doc_id {kind}, ids binary, n long, copies long")
 
 
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
@@ -99,39 +109,44 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
     A record is a little-endian uint32 token count and ``length`` ids of two bytes (four
     for a larger vocabulary), zeros after the last. A null or empty text is one sequence of the end token. Repeated rows
     are materialised each; null ids are kept; further columns are ignored; an empty table
-    gives no shards. Slots depend on the key and the numbering of the written count table;
-    within one call they are fixed."""
-    base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    places, total = numbered(base, length, tokenizer)
-    places = written(places, "sequence-places").select(F.col("doc_id").alias("p_id"), F.col("text_key").alias("p_key"), "n", "copies", "base")
-    joined = base.dropDuplicates(["doc_id", "text_key"]) if not places.where("copies > 1").isEmpty() else base
-    joined = joined.join(small(places, places.count()), F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_key") == F.col("p_key"))).select("doc_id", "text", "n", "copies", "base")
+    gives no shards. Slots depend on the key, the length and the rows alone, so a rerun, or one
+    that lost executors, gives every sequence the same slot."""
+    table = written(tokenized(docs, length, tokenizer), "tokens")
+    sums = np.zeros(RANGES + 1, dtype=np.int64)
+    for r in table.groupBy("range").agg(F.sum(F.col("n") * F.col("copies")).alias("s")).collect():
+        sums[r.range + 1] = r.s
+    base, total = np.cumsum(sums), int(sums.sum())
+    sorted_ = table.repartition("range").sortWithinPartitions("range", "unit")
     order, width = Permutation(total, key), token_type(tokenizer)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["slot", "shard", "doc_id", "start", "ids"]
+        step = length * np.dtype(width).itemsize
+        now, number = -1, 0
         for batch in batches:
-            n, copies, first = (batch.column(k).to_pylist() for k in (2, 3, 4))
+            ranges, n, copies = (batch.column(k).to_pylist() for k in (0, 4, 5))
             rows, starts, numbers, parts, many = [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 slot = order.slot(np.array(numbers, dtype=np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=names)
+                return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), batch.column(2).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=names)
 
-            for row, ids in documents(batch.column(1), tokenizer):
-                values = ids.astype(width)
-                for c in range(copies[row]):
+            for row, ids in enumerate(batch.column(3)):
+                if ranges[row] != now:
+                    now, number = ranges[row], int(base[ranges[row]])
+                raw = ids.as_py()
+                for _ in range(copies[row]):
                     for j in range(n[row]):
-                        own = values[j * length : (j + 1) * length].tobytes()
                         rows.append(row)
                         starts.append(j * length)
-                        numbers.append(first[row] + c * n[row] + j)
-                        parts.append(own)
-                        many += len(own)
-                if many > 1 << 22:
-                    yield out()
-                    rows, starts, numbers, parts, many = [], [], [], [], 0
+                        numbers.append(number)
+                        parts.append(raw[j * step : (j + 1) * step])
+                        number += 1
+                        many += len(parts[-1]) + 64
+                        if many > 1 << 22:
+                            yield out()
+                            rows, starts, numbers, parts, many = [], [], [], [], 0
             if rows:
                 yield out()
 
@@ -159,7 +174,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
             stream.close()
 
     shards = max(1, -(-total // shard))
-    dealt = joined.mapInArrow(cut, f"slot long, shard int, doc_id {kind}, start long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = sorted_.mapInArrow(cut, f"slot long, shard int, doc_id {kind}, start long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     return written(dealt.mapInArrow(write, f"slot long, shard int, file string, doc_id {kind}, start long, n_tokens long, ids_crc32 long"), "shard-index")
 
 

@@ -3,7 +3,8 @@
 White space never reaches the model and nothing merges across the tokenizer's own
 split, so texts of Latin-1 characters are lower-cased and cut by that split as byte
 arrays, and each distinct piece is encoded once per worker. A text with any other
-character, or with a special token's string, goes through the tokenizer whole.
+character, or with a special token's string, goes through the tokenizer itself, a
+long one in cuts at spaces.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 #: Distinct pieces that a worker remembers before it starts afresh.
 REMEMBER = 600_000
+#: Pieces that are looked up at a time; with those remembered, at most half of the slots fill.
+STEP = 400_000
 _SLOTS = 1 << 21
+#: Texts that go through the tokenizer are cut at a space after about so many bytes.
+CUT = 1 << 20
 
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
 #: Classes of single bytes (ASCII, lower case) and of what follows the lead bytes C2 and C3.
@@ -162,22 +167,38 @@ class Encoder:
                 if plain[i]:
                     parts.append(self._fast(Block(own, np.array([0, len(own)]), 0))[0])
                 else:
-                    parts.append(np.array(self.tokenizer.encode(own.tobytes().decode(), add_special_tokens=False).ids, dtype=np.uint32))
+                    parts.append(self._slow(own.tobytes()))
             yield block.first, np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
+    def _slow(self, raw: bytes, cut: int = CUT) -> np.ndarray:
+        """Ids by the tokenizer itself. A space between words belongs to no piece and to no special
+        token, so cuts there change nothing."""
+        out, at = [], 0
+        while at < len(raw):
+            to = raw.find(b" ", at + cut)
+            to = len(raw) if to < 0 else to + 1
+            out.append(np.array(self.tokenizer.encode(raw[at:to].decode(), add_special_tokens=False).ids, dtype=np.uint32))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
     def _fast(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         low, starts, ends, first = pieces(block)
-        if self.known > REMEMBER:
-            self.forget()
-        keys = low.hashes(starts, ends, fold=False) | np.uint64(1)
-        at, there = self._find(keys)
-        if not there.all():
-            self._learn(keys[~there], low, starts[~there], ends[~there])
-            at[~there] = self._find(keys[~there])[0]
-        begin, size = self.span[at].T.astype(np.int64)
-        offset = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.arange(offset[-1]) + np.repeat(begin - offset[:-1], size)]
-        return ids, offset[first]
+        every = low.hashes(starts, ends, fold=False) | np.uint64(1)
+        found, sizes = [], []
+        for a in range(0, len(every), STEP):
+            if self.known > REMEMBER:
+                self.forget()
+            keys = every[a : a + STEP]
+            at, there = self._find(keys)
+            if not there.all():
+                self._learn(keys[~there], low, starts[a : a + STEP][~there], ends[a : a + STEP][~there])
+                at[~there] = self._find(keys[~there])[0]
+            begin, size = self.span[at].T.astype(np.int64)
+            offset = np.cumsum(size)
+            found.append(self.pool[np.arange(offset[-1]) + np.repeat(begin - (offset - size), size)])
+            sizes.append(size)
+        offset = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64)
+        return np.concatenate(found) if found else np.zeros(0, np.uint32), offset[first]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import hashlib
 
-from corpusgraph.llm import langid, near_dedup, pii, quality, warc
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+
+from corpusgraph.llm import langid, near_dedup, pii, quality, token_shards, tokens, warc
+from corpusgraph.llm.scratch import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,10 +32,10 @@ def test_a_common_line_stays_where_its_first_holder_goes(spark):
 
 
 def test_a_page_that_was_crawled_twice(spark):
-    rows = [(1, "u", "one"), (2, "u", "two"), (5, "u", "one"), (5, "u", "five"), (6, "u", "one"), (6, "u", "two")]
+    rows = [(1, "u", "one"), (2, "u", "two"), (5, "u", "one"), (5, "u", "five"), (6, "u", "one"), (6, "u", "two"), (-1, "u", "six"), (-5, "u", "six"), (9, "u", "six"), (None, "u", "six"), (None, "u", "seven"), (None, "u", "seven")]
     got = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    expect = [(1, "one", None), (2, "two", None), (5, "five", None), (5, "one", 1), (6, "one", 1), (6, "two", 2)]
-    assert sorted((r.page_id, r.payload_digest, r.refers_to or 0, r.record_type) for r in got) == sorted((i, warc.digest(x.encode()), f or 0, "revisit" if f else "response") for i, x, f in expect)
+    expect = [(1, "one", None), (2, "two", None), (5, "five", None), (5, "one", 1), (6, "one", 1), (6, "two", 2), (-1, "six", -5), (-5, "six", None), (9, "six", -5), (None, "six", -5), (None, "seven", None), (None, "seven", None)]
+    assert sorted((str(r.page_id), r.payload_digest, r.refers_to or 0, r.record_type) for r in got) == sorted((str(i), warc.digest(x.encode()), f or 0, "revisit" if f else "response") for i, x, f in expect)
 
 
 def test_links_from_80_percent_on(spark):
@@ -77,3 +82,31 @@ def test_a_text_of_all_four_languages(spark):
     text = "\n".join(next(r.text for r in rows if r.lang == x and 2000 < len(r.text) < 4000 and "|" not in r.text)[:2000] for x in model.languages)
     r = langid.predict(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
     assert set(r.languages) == set(model.languages) and all(abs(x - 0.25) < 0.1 for x in r.shares)
+
+
+def test_long_texts_of_many_words_are_tokenized(spark):
+    rng = np.random.default_rng(1)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)
+    text = b" ".join(x.tobytes() for x in letters[rng.integers(0, 26, (3_000_000, 6))]).decode()
+    e = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    ((first, ids, offset),) = e.encode(pa.array([text]))
+    cut = text.rfind(" ", 0, 2_000_000)
+    whole = e.tokenizer.encode(text[:cut], add_special_tokens=False).ids
+    assert (first, offset[-1]) == (0, len(ids)) and ids[: len(whole)].tolist() == whole and len(ids) > 3_000_000
+
+
+def test_cuts_change_no_token():
+    e = tokens.encoder()
+    text = "Ｗide œuvre Σίσυφος ΣΑΣ don't  <|endoftext|> l'été … 12 345 " * 40
+    assert e._slow(text.encode(), 50).tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_slots_depend_on_rows_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "same"), (None, "same"), (7, None), (7, None)], "doc_id long, text string"))
+    found = []
+    for parts in (3, 17):
+        folder = new_path(spark, "shards")
+        index = token_shards.materialise(docs.repartition(parts), folder, length=32, shard=40)
+        found.append(sorted(map(str, index.drop("file").collect())))
+    assert found[0] == found[1] and len(found[0]) > 200
