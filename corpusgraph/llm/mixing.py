@@ -4,9 +4,10 @@ Among all document rates ``0 < w <= cap`` whose words meet each source's target,
 one nearest to 1 in relative entropy is an exponential tilt ``w = min(cap,
 exp(lambda * size / scale))`` with one multiplier per source. The convex dual is
 solved by distributed, safeguarded Newton steps on the table of (source, size, count),
-and the rates are rounded to whole copies: a hash decides each fraction, and the
-threshold of each source is set, through a histogram of the hashes, where its words
-meet the target.
+and the rates are rounded to whole copies: a digest of the row decides each fraction, and
+the threshold of each source is set, through two levels of histograms of the digests, where
+its words meet the target. Sums are exact decimals, so reruns agree whatever the order of
+tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import small, written
+from .scratch import private, small, unit, written
 
 #: Source weights repeat in this pattern over the sources in code-point order.
 WEIGHTS = (5, 2, 1)
@@ -22,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Newton steps at most; a step that leaves the bracket of the root is a bisection.
 STEPS = 40
-#: Cells of the rounding histogram over [0, 2).
+#: Cells of each level of the rounding histograms (the first over [0, 2)).
 CELLS = 4096
 
 
@@ -31,6 +32,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def exact(x: Column) -> Column:
+    """``x`` for a sum that doesn't depend on the order of rows."""
+    return x.cast("decimal(38,9)")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``(source, source_size, target)`` from ``(source, source_size)``.
 
@@ -55,8 +61,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
 
 def multipliers(histogram: DataFrame, goals: DataFrame, cap: int = CAP, steps: int = STEPS) -> DataFrame:
     """``(source, scale, lam)`` solving each source's dual on ``histogram(source, size,
-    n)``. A target at the cap has the multiplier +infinity, one of 0 words -infinity."""
-    spread = histogram.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"), F.min("size").alias("least"))
+    n)``. A target at the cap has the multiplier +infinity, one of 0 words -infinity. A source
+    that hasn't converged after ``steps`` keeps its last multiplier; the rounding meets its
+    target all the same."""
+    spread = histogram.where("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).cast("double").alias("scale"), F.min("size").alias("least"))
     state = goals.where("source_size > 0").alias("g").join(spread.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select("g.source", "g.source_size", "target", "scale", "least")
     full, none = F.col("target") >= F.col("source_size") * float(cap), F.col("target") <= 0
     limit = F.log(F.lit(float(cap))) * F.col("scale") / F.col("least")  # there every document is at the cap
@@ -76,7 +84,7 @@ def multipliers(histogram: DataFrame, goals: DataFrame, cap: int = CAP, steps: i
         found = (
             rows.join(small(open_, open_.count(), 100_000), F.col("source").eqNullSafe(F.col("h_source")))
             .groupBy("source")
-            .agg(F.sum(mass).alias("words"), F.sum(F.when(F.col("lam") * x < F.log(F.lit(float(cap))), mass * x).otherwise(0.0)).alias("slope"))
+            .agg(F.sum(exact(mass)).cast("double").alias("words"), F.sum(exact(F.when(F.col("lam") * x < F.log(F.lit(float(cap))), mass * x).otherwise(0.0))).cast("double").alias("slope"))
         )
         over = F.col("words") > F.col("target")
         lo, hi = F.when(over, F.col("lo")).otherwise(F.col("lam")), F.when(over, F.col("lam")).otherwise(F.col("hi"))
@@ -94,53 +102,66 @@ def multipliers(histogram: DataFrame, goals: DataFrame, cap: int = CAP, steps: i
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, rate, copies, taken``.
+    """One row per input row: ``doc_id, unit, size, source_size, target, rate, copies, taken``.
 
     Only the three named columns are read. A null or wordless text has size 0, rate and
     copies of 1 and takes nothing. A null source is one source. Repeated rows count
-    each. If all sources are empty, targets are 0. An empty table gives no rows. The
+    each and, where id, source and text agree, are taken alike. If all sources are empty, targets are 0. An empty table gives no rows. The
     result depends on the rows alone, so reruns agree."""
-    base = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
+    base = written(base.select("doc_id", "source", unit("doc_id", "source", "text").alias("unit"), n_words(F.col("text")).alias("size")), "sizes")
     histogram = written(base.groupBy("source", "size").agg(F.count("*").alias("n")), "histogram")
     goals = written(targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, cap), "targets")
     duals = multipliers(histogram, goals, cap).withColumnRenamed("source", "d_source")
-    table = written(goals.join(duals, F.col("source").eqNullSafe(F.col("d_source")), "left").select(F.col("source").alias("t_source"), "source_size", "target", "scale", "lam"), "tilts")
+    table = written(goals.join(duals, F.col("source").eqNullSafe(F.col("d_source")), "left").select(F.col("source").alias("t_source"), "source_size", F.col("target").cast("double").alias("target"), "scale", "lam"), "tilts")
+    n_sources = table.count()
     rate = F.when(F.col("lam").isNull() | (F.col("size") == 0), 1.0).when(F.col("lam") == float("inf"), float(cap)).when(F.col("lam") == float("-inf"), 0.0).otherwise(F.least(F.lit(float(cap)), F.exp(F.col("lam") * F.col("size") / F.col("scale"))))
-    rated = base.join(small(table, table.count(), 100_000), F.col("source").eqNullSafe(F.col("t_source"))).withColumn("rate", rate)
+    rated = base.join(small(table, n_sources, 100_000), F.col("source").eqNullSafe(F.col("t_source"))).withColumn("rate", rate)
     part = F.col("rate") - F.floor("rate")
-    draw = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("copies")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    rated = rated.withColumn("part", part).withColumn("v", F.when(part > 0, draw / part)).withColumn("cell", F.least(F.floor(F.col("v") * (CELLS // 2)), F.lit(CELLS - 1)))
+    draw = (F.pmod(F.xxhash64("unit", F.lit("copies")), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    rated = rated.withColumn("part", part).withColumn("v", F.when(part > 0, draw / part))
+    # v is compared with its source's threshold; up to it, a fraction counts as a copy
+    level = F.least(F.floor(F.col("v") * (CELLS // 2)), F.lit(CELLS - 1))
+    fine = F.least(F.floor((F.col("v") * (CELLS // 2) - level) * CELLS), F.lit((1 << 40) - 1))
+    rated = rated.withColumn("cell", level).withColumn("fine", fine)
+
+    def edge(sums: DataFrame, at: str) -> DataFrame:
+        """Per source (with what it still ``need``s) the step at which the running words reach
+        the need, and the need that is left before it."""
+        running = Window.partitionBy("t_source").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+        stepped = sums.withColumn("below", F.sum("extra").over(running) - F.col("extra")).where("below < need and below + extra >= need")
+        return stepped.groupBy("t_source").agg(F.min(at).alias(f"{at}_edge"), F.min_by(F.col("need") - F.col("below"), at).alias("need"))
 
     whole = rated.groupBy("t_source", "cell").agg(F.sum("size").alias("extra"), F.sum(F.col("size") * F.floor("rate")).alias("sure"), F.first("target").alias("target"))
-    by_source = Window.partitionBy("t_source")
-    running = by_source.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        whole.withColumn("need", F.col("target") - F.sum("sure").over(by_source))
-        .where("cell is not null")
-        .withColumn("below", F.sum("extra").over(running) - F.col("extra"))
-        .where("below < need and below + extra >= need")
-        .groupBy("t_source")
-        .agg(F.min("cell").alias("edge"), F.min_by("need", "cell").alias("need"), F.min_by("below", "cell").alias("below"))
-    )
-    edges = written(cells.withColumnRenamed("t_source", "e_source"), "edges")
-    totals = whole.groupBy("t_source").agg((F.first("target") - F.sum("sure")).alias("left")).withColumnRenamed("t_source", "l_source")
-    totals = written(totals, "needs")
-    bound = rated.join(small(edges, edges.count(), 100_000), F.col("t_source").eqNullSafe(F.col("e_source")), "left").join(small(totals, totals.count(), 100_000), F.col("t_source").eqNullSafe(F.col("l_source")), "left")
+    whole = written(whole, "cells")
+    needs = written(whole.groupBy("t_source").agg((F.first("target") - F.sum("sure")).alias("need")), "needs")
+    same = lambda x: F.col("t_source").eqNullSafe(F.col(x))
+    renamed = lambda x: x.withColumnRenamed("t_source", "o_source")
+    first = written(edge(whole.where("cell is not null").select("t_source", "cell", "extra").join(renamed(needs), same("o_source")).drop("o_source"), "cell"), "edges")
+    inner = rated.join(small(renamed(first), n_sources, 100_000), same("o_source")).where("cell = cell_edge")
+    second = written(edge(inner.groupBy("t_source", "fine").agg(F.sum("size").alias("extra"), F.first("need").alias("need")), "fine"), "edges")
+    # what is left of a need lies in one cell of the second level: a few documents
+    last = inner.drop("need", "o_source").join(small(renamed(second), n_sources, 100_000), same("o_source")).where("fine = fine_edge")
+    groups = last.groupBy("t_source", "v", "unit").agg(F.sum("size").alias("extra"), F.first("need").alias("need"))
+    in_cell = Window.partitionBy("t_source").orderBy("v", "unit").rowsBetween(Window.unboundedPreceding, 0)
+    inside = groups.withColumn("inside", F.sum("extra").over(in_cell) - F.col("extra") / 2 <= F.col("need"))
+    threshold = inside.groupBy("t_source").agg(F.max(F.when(F.col("inside"), F.struct("v", "unit"))).alias("limit"))
+
+    bound = needs.select("t_source", "need").join(renamed(first.drop("need")), same("o_source"), "left").drop("o_source")
+    bound = bound.join(renamed(second.drop("need")), same("o_source"), "left").drop("o_source")
+    bound = written(bound.join(renamed(threshold), same("o_source"), "left").select(F.col("t_source").alias("b_source"), "need", "cell_edge", "fine_edge", "limit"), "thresholds")
+    ready = rated.join(small(bound, n_sources, 100_000), same("b_source"))
     # without an edge the target lies beyond all fractions (take them) or below the sure copies (take none)
-    inside = F.when(F.col("edge").isNull(), F.col("left") > 0).otherwise(F.col("cell") < F.col("edge"))
-    marked = bound.withColumn("inside", inside)
-    at_edge = F.col("cell") == F.col("edge")
-    in_cell = Window.partitionBy("t_source").orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fine = marked.where(at_edge).withColumn("inside", F.col("below") + F.sum("size").over(in_cell) - F.col("size") / 2 <= F.col("need"))
-    chosen = marked.where(F.coalesce(~at_edge, F.lit(True))).unionByName(fine)
-    copies = (F.floor("rate") + F.when((F.col("part") > 0) & F.col("inside"), 1).otherwise(0)).cast("int")
-    return chosen.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    place, stop = F.struct("cell", "fine"), F.struct(F.col("cell_edge").alias("cell"), F.col("fine_edge").alias("fine"))
+    taken = F.when(F.col("cell_edge").isNull(), F.col("need") > 0).when(place == stop, F.coalesce(F.struct("v", "unit") <= F.col("limit"), F.lit(False))).otherwise(place < stop)
+    copies = (F.floor("rate") + F.when((F.col("part") > 0) & taken, 1).otherwise(0)).cast("int")
+    return ready.withColumn("copies", copies).select("doc_id", "unit", "source", "size", "source_size", "target", "rate", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with each row repeated as often as the mixture takes it, all columns
-    unchanged. Rows that agree in ``doc_id``, ``source`` and size take equal turns."""
-    plan = mixture(docs, weights, cap)
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (n_words(F.col("text")) == F.col("__size")))
-    return joined.where("__copies > 0").withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    unchanged. Rows that agree in id, source and text are taken alike."""
+    own, key, copies, turn = private(docs, "unit", "key", "copies", "turn")
+    plan = mixture(docs, weights, cap).where("copies > 0").groupBy("unit").agg(F.max("copies").alias(copies)).withColumnRenamed("unit", key)
+    joined = docs.withColumn(own, unit("doc_id", "source", "text")).join(plan, F.col(own) == F.col(key))
+    return joined.withColumn(turn, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(F.col(f"`{x}`") for x in docs.columns))
