@@ -1,9 +1,10 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes and
-identifier cues. Local parsers expand each anchor to the span it belongs to and
-validate its boundary (domain labels, IBAN check digits, digit counts). Numeric
-kinds (IP address, card, phone) have no anchors: regular expressions scan the whole text.
+One Aho-Corasick pass over a text finds anchors: at-signs, URL schemes, identifier cues,
+and the two or three characters that any number of a numeric kind must hold (a dot or
+plus before a digit, two digits side by side or with one separator between). Local parsers expand
+each anchor to the span it belongs to and validate its boundary (domain labels, IBAN
+check digits, Luhn, part ranges, digit counts). Text without anchors is never parsed.
 """
 
 from __future__ import annotations
@@ -27,8 +28,7 @@ SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apike
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_DOTTED = re.compile(r"[0-9][0-9.]*")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_DIGITS = "0123456789"
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?[\x20\t]{0,3}(?:[:=#]|is\b)?[\x20\t]{0,3}[\"']?")
 _ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9](?:[\x20./-]?[0-9A-Z]){5,33}(?![0-9A-Za-z])")
@@ -43,6 +43,12 @@ def _anchors():
     found = ahocorasick.Automaton()
     for cue in ("@", "://", "tel:", *ACCOUNT_CUES, *SECRET_CUES):
         found.add_word(cue, cue)
+    for d in _DIGITS:
+        found.add_word(f".{d}", ".")
+        found.add_word(f"+{d}", "+")
+        for gap in ("", " ", "-"):
+            for e in _DIGITS:
+                found.add_word(f"{d}{gap}{e}", "0")
     found.make_automaton()
     return found
 
@@ -80,33 +86,65 @@ def _emails(text: str, marks: list[int]) -> Iterator[tuple[int, int]]:
             yield start, done
 
 
-def _addresses(text: str) -> Iterator[tuple[int, int]]:
-    for run in _DOTTED.finditer(text):
-        if run.group().count(".") < 3:
+def _addresses(text: str, marks: list[int]) -> Iterator[tuple[int, int]]:
+    """IP addresses; ``marks`` are the digits after a dot."""
+    done = 0  # end of the run of digits and dots that was parsed last
+    for at in marks:
+        if at < done:
             continue
+        start = at
+        while start > done and (text[start - 1] in _DIGITS or text[start - 1] == "."):
+            start -= 1
+        done = at + 1
+        while done < len(text) and (text[done] in _DIGITS or text[done] == "."):
+            done += 1
         chain: list[tuple[int, int]] = []
-        for part in re.finditer(r"[0-9]+", run.group()):
+        for part in re.finditer(r"[0-9]+", text[start:done]):
             if chain and part.start() != chain[-1][1] + 1:
                 chain = []
             chain.append(part.span())
             if len(chain) == 4:
-                if all(int(run.group()[a:b].lstrip("0")[:4] or 0) <= 255 for a, b in chain):
-                    yield run.start() + chain[0][0], run.start() + chain[3][1]
+                if all(int(text[start + a : start + b].lstrip("0")[:4] or 0) <= 255 for a, b in chain):
+                    yield start + chain[0][0], start + chain[3][1]
                 chain = []  # the next address starts after this one, whether it is valid or not
 
 
-def _numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    cards, phones = [], []
-    for found in _CARD.finditer(text):
-        if found.end() - found.start() >= 13:
-            digits = found.group().replace(" ", "").replace("-", "")
+def _cards(text: str, marks: list[int]) -> Iterator[tuple[int, int]]:
+    """Card numbers; ``marks`` are digits with another one before them."""
+    done = 0
+    for at in marks:
+        if at < done:
+            continue
+        start = at
+        while True:  # to the left end of the run of digits with single separators
+            if start > done and text[start - 1] in _DIGITS:
+                start -= 1
+            elif start > done + 1 and text[start - 1] in " -" and text[start - 2] in _DIGITS:
+                start -= 2
+            else:
+                break
+        done = at + 1
+        while done < len(text):
+            if text[done] in _DIGITS:
+                done += 1
+            elif text[done] in " -" and done + 1 < len(text) and text[done + 1] in _DIGITS:
+                done += 2
+            else:
+                break
+        if done - start >= 13:
+            digits = text[start:done].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
-                cards.append(found.span())
-    if "+" in text:
-        for found in _PHONE.finditer(text):
+                yield start, done
+
+
+def _phones(text: str, marks: list[int]) -> Iterator[tuple[int, int]]:
+    """Phone numbers; ``marks`` are plus signs before a digit."""
+    done = 0
+    for at in marks:
+        if at >= done and (found := _PHONE.match(text, at)):
+            done = found.end()
             if 9 <= sum(map(str.isdigit, found.group())) <= 15:
-                phones.append(found.span())
-    return cards, phones
+                yield found.span()
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -115,17 +153,22 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     if not text:
         return out
-    marks, schemes, cues = [], [], []
+    marks, dots, digits, pluses, schemes, cues = [], [], [], [], [], []
     for last, cue in _anchors().iter(_folded(text)):
         if cue == "@":
             marks.append(last)
+        elif cue == "0":
+            digits.append(last)
+        elif cue == ".":
+            dots.append(last)
+        elif cue == "+":
+            pluses.append(last - 1)
         elif cue in ("://", "tel:"):
             schemes.append((last + 1 - len(cue), cue))
         else:
             cues.append((last + 1, cue))
     out["email"] = list(_emails(text, marks))
-    out["ip"] = list(_addresses(text))
-    out["card"], out["phone"] = _numbers(text)
+    out["ip"], out["card"], out["phone"] = list(_addresses(text, dots)), list(_cards(text, digits)), list(_phones(text, pluses))
     run = (0, 0)  # the last token after a secret's cue: one that starts inside it is its rest
     for end, cue in cues:
         if end - len(cue) > 0 and text[end - len(cue) - 1].isalnum():
@@ -133,8 +176,13 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         lead = _AFTER_CUE.match(text, end)
         if cue in ACCOUNT_CUES:
             value = _ACCOUNT.match(text, lead.end())
-            if value and (cue != "iban" or iban(value.group())) and sum(map(str.isdigit, value.group())) >= 6:
-                out["account"].append(value.span())
+            if value:
+                start, stop = value.span()
+                if cue == "iban":  # the longest beginning that ends a token and has valid check digits
+                    ends = [stop, *(k for k in range(stop - 1, start, -1) if text[k] in " ./-")]
+                    stop = next((k for k in ends if iban(text[start:k])), start)
+                if sum(map(str.isdigit, text[start:stop])) >= 6:
+                    out["account"].append((start, stop))
         elif not run[0] <= lead.end() < run[1] and (value := _SECRET.match(text, lead.end())):
             run = value.span()
             if any(map(str.isdigit, value.group())) and not value.group().isdigit():
@@ -174,11 +222,12 @@ def redacted(text: str | None) -> str | None:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256,
-    spans``. Only the two named columns are read. A null text counts as empty: zeros,
-    the digest of nothing, no spans. Repeated and null ids are kept as they are; an
+    """One row per input row: ``doc_id``, the number of spans of each kind (``n_email``, ...),
+    ``base_sha256, spans``. Only the two named columns are read. A null text counts as empty:
+    zeros, the digest of nothing, no spans. Repeated and null ids are kept as they are; an
     empty table gives no rows."""
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    counts = [f"n_{k}" for k in KINDS]
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in counts) + ", base_sha256 string, spans string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +235,11 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    *(pa.array([len(x[k]) for x in found], pa.int64()) for k in BASE_KINDS),
+                    *(pa.array([len(x[k]) for x in found], pa.int64()) for k in KINDS),
                     pa.array([hashlib.sha256(spans_text(x, BASE_KINDS).encode()).hexdigest() for x in found], pa.string()),
                     pa.array([spans_text(x) for x in found], pa.string()),
                 ],
-                names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                names=["doc_id", *counts, "base_sha256", "spans"],
             )
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
