@@ -1,7 +1,7 @@
 """Language identification by multilingual mixture inference.
 
-The model has the trigram distribution of each language. Every word of a text is an
-observation whose likelihood in a language is the product over its trigrams; EM finds
+The model has the trigram distribution of each language. Every word of a text (every
+``LONGEST`` letters of a longer run, as in scripts without spaces) is an observation whose likelihood in a language is the product over its trigrams; EM finds
 the text's language proportions. The language set is the one of largest penalised
 likelihood among the sets of the k leading ones, for every k: each language beyond the first costs
 ``PENALTY * log(words)``. The prediction is the language of largest proportion.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .letters import Letters
-from .textnum import blocks
+from .textnum import Block, blocks
 
 #: Trigrams are hashed to so many bits; counts are smoothed by so much.
 BITS, SMOOTH = 16, 0.05
@@ -28,6 +28,10 @@ MAX_TEXTS = 4000
 MAX_LANGUAGES = 512
 EM_STEPS, PENALTY = 10, 2.0
 UNKNOWN = "und"
+#: Letters in an observation, at most; longer texts are read in parts of about so many bytes.
+LONGEST, PART = 24, 1 << 19
+#: Observations whose EM terms are held as doubles at a time.
+ROWS = 1 << 17
 
 
 @dataclass
@@ -59,12 +63,13 @@ def fit(labelled: DataFrame, most: int = MAX_TEXTS) -> Model:
         for batch in batches:
             langs = batch.column(1).to_pylist()
             for block in blocks(batch.column(0)):
-                letters = Letters(block)
-                grams = letters.trigrams(BITS)
-                cut = np.searchsorted(np.flatnonzero(letters.letter), letters.bounds)
-                for i in range(block.n):
-                    own = sums.setdefault(langs[block.first + i], np.zeros(1 << BITS, dtype=np.int64))
-                    own += np.bincount(grams[cut[i] : cut[i + 1]], minlength=1 << BITS)
+                for part in parts(block):
+                    letters = Letters(part)
+                    grams = letters.trigrams(BITS)
+                    cut = np.searchsorted(np.flatnonzero(letters.letter), letters.bounds)
+                    for i in range(part.n):
+                        own = sums.setdefault(langs[block.first + i], np.zeros(1 << BITS, dtype=np.int64))
+                        own += np.bincount(grams[cut[i] : cut[i + 1]], minlength=1 << BITS)
         for lang, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(own[at])], names=["lang", "gram", "n"])
@@ -78,37 +83,88 @@ def fit(labelled: DataFrame, most: int = MAX_TEXTS) -> Model:
     return Model(names, np.log(dense / dense.sum(axis=0)).astype(np.float32))
 
 
+def parts(block: Block) -> Iterator[Block]:
+    """A block, or a single long text of it in parts: cut at white space or, where there
+    is none for long, between characters."""
+    if len(block.buf) <= 2 * PART or block.n > 1:
+        yield block
+        return
+    raw, at = block.buf, 0
+    while at < len(raw):
+        to = min(at + PART, len(raw))
+        if to < len(raw):
+            space = np.flatnonzero(raw[to : to + PART] <= 0x20)
+            to += int(space[0]) if len(space) else 0
+            while to < len(raw) and raw[to] & 0xC0 == 0x80:
+                to += 1
+        yield Block(raw[at:to], np.array([0, to - at]), block.first)
+        at = to
+
+
+def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, begin, axis=0)
+
+
 def proportions(lik: np.ndarray, text: np.ndarray, n_words: np.ndarray, allowed: np.ndarray, steps: int = EM_STEPS) -> tuple[np.ndarray, np.ndarray]:
     """EM: shares of each language in each text (``allowed``: texts x languages), and
-    each text's log likelihood relative to ``lik``'s scale. Every text has words."""
-    begin = np.concatenate([[0], np.cumsum(n_words)])[:-1]
+    each text's log likelihood relative to ``lik``'s scale. Every text has words; they are
+    worked through in slices, so memory beside ``lik`` is bounded."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    cuts = [(a, min(a + ROWS, len(lik))) for a in range(0, len(lik), ROWS)]
+
+    def over_words(f, width: tuple) -> np.ndarray:
+        out = np.zeros((len(n_words), *width))
+        for a, b in cuts:
+            own = text[a:b]
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[begin]] += _sums(f(lik[a:b].astype(np.float64), own), begin)
+        return out
+
+    def expected(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        part = x * share[own]
+        return part / part.sum(axis=1, keepdims=True)
+
     for _ in range(steps):
-        part = lik * share[text]
-        part /= part.sum(axis=1, keepdims=True)
-        share = np.add.reduceat(part, begin, axis=0) / n_words[:, None]
+        share = over_words(expected, lik.shape[1:]) / n_words[:, None]
         share = np.where(allowed, np.maximum(share, 1e-6), 0)
         share /= share.sum(axis=1, keepdims=True)
-    total = (lik * share[text]).sum(axis=1)
-    return share, np.add.reduceat(np.log(total), begin)
+    return share, over_words(lambda x, own: np.log((x * share[own]).sum(axis=1)), ())
+
+
+def likelihoods(model: Model, block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Likelihoods (observations x languages, the largest of a row being 1) and the number
+    of observations of each text of a block."""
+    letters = Letters(block)
+    starts, lengths = letters.starts, letters.ends - letters.starts
+    many = np.maximum(1, -(-lengths // LONGEST))
+    word = np.repeat(np.arange(len(starts)), many)
+    turn = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
+    at = np.searchsorted(np.flatnonzero(letters.letter), starts[word] + turn * LONGEST)
+    n_words = np.diff(np.searchsorted(starts[word], letters.bounds))
+    if not len(at):
+        return np.zeros((0, len(model.languages)), np.float32), n_words
+    score = np.add.reduceat(model.logp[letters.trigrams(BITS)], at, axis=0)
+    return np.maximum(np.exp(score - score.max(axis=1, keepdims=True)), 1e-12), n_words
 
 
-def infer(model: Model, letters: Letters) -> np.ndarray:
-    """Language shares (texts x languages) of a block; a row of zeros has no letter."""
-    out = np.zeros((letters.n, len(model.languages)))
-    n_words = np.diff(letters.first)
+def infer(model: Model, block: Block) -> np.ndarray:
+    """Language shares (texts x languages) of a block; a row of zeros has no letter. A long
+    text is read in parts; 4 bytes a word and language of it are kept."""
+    out = np.zeros((block.n, len(model.languages)))
+    if not model.languages:
+        return out
+    held = [likelihoods(model, part) for part in parts(block)]
+    lik = np.concatenate([x for x, _ in held]) if len(held) > 1 else held[0][0]
+    n_words = sum(n for _, n in held)
     filled = np.flatnonzero(n_words)
-    if not len(filled) or not model.languages:
+    if not len(filled):
         return out
-    at = np.searchsorted(np.flatnonzero(letters.letter), letters.starts)
-    score = np.add.reduceat(model.logp[letters.trigrams(BITS)], at, axis=0)
-    lik = np.maximum(np.exp(score - score.max(axis=1, keepdims=True)), 1e-12).astype(np.float64)
     n_words = n_words[filled]
     text = np.repeat(np.arange(len(filled)), n_words)
     every = np.ones((len(filled), lik.shape[1]), dtype=bool)
     share, full = proportions(lik, text, n_words, every)
     order = np.argsort(-share, axis=1, kind="stable")
-    best = np.add.reduceat(np.log(lik[np.arange(len(lik)), order[text, 0]]), np.concatenate([[0], np.cumsum(n_words)])[:-1])
+    best = _sums(np.log(lik[np.arange(len(lik)), order[text, 0]].astype(np.float64)), np.concatenate([[0], np.cumsum(n_words)])[:-1])
     cost = PENALTY * np.log(n_words + 1.0)
     chosen = np.zeros_like(share)
     chosen[np.arange(len(filled)), order[:, 0]] = 1
@@ -119,7 +175,7 @@ def infer(model: Model, letters: Letters) -> np.ndarray:
             break
         allowed = np.zeros((len(open_), lik.shape[1]), dtype=bool)
         np.put_along_axis(allowed, order[open_, :k], True, axis=1)
-        rows = np.flatnonzero(np.isin(text, open_))
+        rows = np.flatnonzero(np.isin(text, open_)) if len(open_) < len(filled) else slice(None)
         own, value = proportions(lik[rows], np.searchsorted(open_, text[rows]), n_words[open_], allowed)
         better = value - (k - 1) * cost[open_] > best[open_]
         chosen[open_[better]] = own[better]
@@ -143,7 +199,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         for batch in batches:
             pred, score, langs, shares = [], [], [], []
             for block in blocks(batch.column(1)):
-                for row in infer(own, Letters(block)):
+                for row in infer(own, block):
                     at = [k for k in np.argsort(-row, kind="stable").tolist() if row[k] > 0]
                     pred.append(own.languages[at[0]] if at else UNKNOWN)
                     score.append(min(1.0, float(row[at[0]])) if at else 0.0)

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from corpusgraph.llm import langid, near_dedup, pii, quality, token_shards, tokens, warc
+from corpusgraph.llm import langid, near_dedup, pii, quality, textnum, token_shards, tokens, warc
 from corpusgraph.llm.scratch import new_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -110,3 +111,30 @@ def test_slots_depend_on_rows_alone(spark):
         index = token_shards.materialise(docs.repartition(parts), folder, length=32, shard=40)
         found.append(sorted(map(str, index.drop("file").collect())))
     assert found[0] == found[1] and len(found[0]) > 200
+
+
+def test_a_text_of_50_mb_is_read_in_parts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("lang is not null").collect()
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    some = "\n".join(r.text for r in rows if r.lang == "fr")
+    text = (some * (50_000_000 // len(some.encode()) + 1)).encode()
+    block = textnum.Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 0)
+    one = langid.infer(model, textnum.Block(block.buf[: len(some.encode())], np.array([0, len(some.encode())]), 0))
+    tracemalloc.start()
+    shares = langid.infer(model, block)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+    assert model.languages[int(shares[0].argmax())] == "fr" and abs(shares - one).max() < 0.02
+
+
+def test_runs_without_spaces_are_many_observations(spark):
+    model = langid.Model(["a", "b"], np.log(np.full((1 << langid.BITS, 2), 0.5, dtype=np.float32)))
+    raw = ("語" * 1000 + " x").encode()
+    lik, n = langid.likelihoods(model, textnum.Block(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 0))
+    assert n.tolist() == [-(-1000 // langid.LONGEST) + 1] and len(lik) == n[0]
+
+
+def test_counts_of_all_kinds(spark):
+    frame = spark.createDataFrame([(1, "password=b7db7aa4a5 http://me:pw@h.org/x IBAN DE89370400440532013000 1.2.3.4")], "doc_id long, text string")
+    r = pii.detect(frame).first()
+    assert (r.n_secret, r.n_url, r.n_account, r.n_ip, r.n_email) == (1, 1, 1, 1, 1)
