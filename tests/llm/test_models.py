@@ -67,7 +67,7 @@ def brute_top(rows, k, every, scale=256):
     held = []
     for i, v in rows:
         if i is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            held.append((i, [int(np.floor(scale * float(np.float32(x)))) for x in v]))
+            held.append((i, [max(-(2**63), min(2**63 - 1, int(np.floor(scale * float(np.float32(x)))))) for x in v]))
     out = {}
     for i, v in held:
         if i % every == 0 and i not in out:
@@ -98,18 +98,37 @@ def test_trees_prune_and_stay_exact():
     rng = np.random.default_rng(3)
     points = np.concatenate([rng.normal(c, 0.05, size=(400, 6)) for c in np.eye(6) * 3]) * 256
     points = np.floor(points).astype(np.int64)
-    tree = topk.build(points, np.arange(len(points)))
+    tree = topk.Tree.load(topk.build(points, np.arange(len(points))).dump())
+    assert (tree.points == points[tree.ids]).all() and len(tree.lo) > 50
+    away = lambda a, b: np.sqrt(((a - b) ** 2).sum(axis=-1))
     for i in range(len(tree.lo)):
-        own = points[tree.order[tree.lo[i] : tree.hi[i]]]
-        assert (np.sqrt(((own - tree.center[i]) ** 2).sum(axis=1)) <= tree.radius[i] + 1e-6).all()
-    asked = points[::5]  # some leaves of queries
-    best = topk.Best(np.full(len(asked), -(1 << 63)), 3)
-    done = topk.dual_search(topk.build(asked, np.arange(len(asked)) + 10_000), tree, best)
+        assert (away(tree.flat[tree.lo[i] : tree.hi[i]], tree.center[i]) <= tree.radius[i] + 1e-6).all()
+        if tree.n_child[i]:  # nesting, separation, covering
+            kids = np.arange(tree.child[i], tree.child[i] + tree.n_child[i])
+            assert tree.middle[i] == tree.middle[kids[0]] and tree.hi[kids[-1]] == tree.hi[i]
+            apart = away(tree.center[kids][:, None], tree.center[kids][None]) + np.eye(len(kids)) * 1e9
+            assert apart.min() > tree.radius[i] * topk.SHRINK and tree.radius[kids].max() <= tree.radius[i] * topk.SHRINK + 1e-6
+    asked = points[::5]
+    asking = topk.build(asked, np.arange(len(asked)) + 10_000)
+    best = topk.Best(asking.kth, 3)
+    done = topk.dual_search(asking, tree, best)
     scores = asked @ points.T
-    for r in range(len(asked)):
-        order = np.lexsort((np.arange(len(points)), -scores[r]))[:3]
+    for r, name in enumerate(asking.ids.tolist()):
+        order = np.lexsort((np.arange(len(points)), -scores[name - 10_000]))[:3]
         assert best.id[r].tolist() == order.tolist()
-    assert done < 0.6 * scores.size
+    assert done < 0.25 * scores.size
+
+
+def test_search_of_many_lengths_and_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "PIVOT_ROWS", 50)
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=8) * 0.1 + np.eye(8)[i % 8]).astype(np.float32).tolist()) for i in range(1500)]
+    rows += [(i, rng.normal(size=1 + i % 90).astype(np.float32).tolist()) for i in range(2000, 2400)]
+    rows += [(3000 + i, [s * 1e17, s * 1e17]) for i, s in enumerate((1.0, -1.0, 1.0, -1.0, 1.0, 1.0, 1.0))]
+    rows += [(3050, [1.0] * 8)] * 7 + [(3050, [0.5] * 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(7)
+    assert {tuple(r) for r in topk.search(frame).collect()} == brute_top(sorted(rows), 5, 50)
 
 
 def test_permutation_is_a_bijection():
