@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -207,17 +208,52 @@ def test_toxicity_held_out(spark):
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert len(rows) == 10000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     caught = [labels[r.doc_id] for r in held if r.predicted]
-    assert sum(caught) >= 0.9 * len(caught) and sum(caught) >= 0.6 * sum(labels[r.doc_id] for r in held)
-
-
-def test_nearest_is_exact():
+    assert sum(caught) >= 0.9 * len(caught) and sum(caught) >= 0.9 * sum(labels[r.doc_id] for r in held)
+    for low, high in ((0, 0.1), (0.1, 0.9), (0.9, 1.01)):  # calibration, by bins of score
+        own = [(r.score, labels[r.doc_id]) for r in held if low <= r.score < high]
+        assert len(own) > 20 and abs(sum(s - y for s, y in own)) <= 0.1 * len(own) + 2
+
+
+def test_scores_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    index = toxicity.fit(docs, labels)
+    texts, toxic = {r.doc_id: r.text or "" for r in docs.collect()}, {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None}
+    split = lambda t: collections.Counter(x for w in re.findall(r"[^\W\d_]+", t.lower()) for x in ([w, ("begin", w[:5])] if len(w) > 5 else [w]))
+    held = {i: split(texts[i]) for i in toxic if i in texts}
+    n = [sum(toxic[i] == y for i in held) for y in (0, 1)]
+    df = [collections.Counter(w for i in held if toxic[i] == y for w in held[i]) for y in (0, 1)]
+    weigh = lambda w: np.log(1 + sum(n) / (1 + df[0][w] + df[1][w])) * abs(np.log((df[1][w] + 0.5) / (n[1] + 1)) - np.log((df[0][w] + 0.5) / (n[0] + 1)))
+
+    def unit(counts):
+        own = {w: (1 + np.log(c)) * weigh(w) for w, c in counts.items() if df[0][w] + df[1][w]}
+        norm = np.sqrt(sum(x * x for x in own.values()))
+        return {w: x / norm for w, x in own.items()} if norm else own
+
+    vectors = {i: unit(c) for i, c in held.items() if c}
+    for r in toxicity.score(docs, index).collect():
+        own = unit(split(texts[r.doc_id]))
+        if not own:
+            continue
+        near = sorted(((sum(x * v.get(w, 0) for w, x in own.items()), i) for i, v in vectors.items()), key=lambda x: (-x[0], x[1]))
+        near = [x for x in near if x[0] > 0][: toxicity.NEAREST]
+        by = [1 / (1.001 - min(c, 1)) for c, _ in near]
+        rate = n[1] / sum(n)
+        vote = (sum(b * toxic[i] for b, (_, i) in zip(by, near, strict=True)) + 0.5 * rate) / (sum(by) + 0.5)
+        assert abs(index.calibrated(vote) - r.score) < 0.02
+
+
+def test_nearest_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", 15)  # so that some terms have lists and some have none
     rng = np.random.default_rng(8)
     dense = rng.random((900, 40)) * (rng.random((900, 40)) < 0.1)
     dense = dense[dense.sum(axis=1) > 0]
     dense /= np.sqrt((dense**2).sum(axis=1, keepdims=True))
     begin = np.concatenate([[0], np.cumsum((dense > 0).sum(axis=1))])
     n = len(dense)
-    index = toxicity.Index(np.arange(40, dtype=np.uint64), np.ones(40), begin, np.nonzero(dense)[1], dense[dense > 0], np.zeros(n), np.ones(n), [[i] for i in range(n)], 0.1, 0.1)
+    held = (dense > 0).sum(axis=0)
+    index = toxicity.Index(np.arange(40, dtype=np.uint64), np.ones(40), held, begin, np.nonzero(dense)[1], dense[dense > 0], np.zeros(n), np.ones(n), np.arange(n), 0.1, 0.1).ready()
+    assert (index.column >= 0).sum() == 15
     for _ in range(60):
         terms = np.sort(rng.choice(40, 4, replace=False))
         weight = rng.random(4)
@@ -226,6 +262,8 @@ def test_nearest_is_exact():
         order = np.lexsort((np.arange(n), -np.round(scores, 12)))[:10]
         order = order[scores[order] > 0]
         assert found.tolist() == order.tolist() and np.allclose(cosine, scores[order])
+        rest = order[order != order[0]]
+        assert index.nearest(terms, weight, 9, without=int(order[0]))[0].tolist() == rest.tolist()
 
 
 @pytest.mark.parametrize("labels", [[0, 1, None, 1, 0, 1, 0], [1] * 7, [None] * 7])
