@@ -9,9 +9,11 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from corpusgraph.llm import langid, near_dedup, pii, quality, textnum, token_shards, tokens, warc
+from corpusgraph.llm import langid, mixing, near_dedup, packing, pii, quality, scratch, textnum, token_shards, tokens, warc
 from corpusgraph.llm.scratch import new_path
 
+from test_documents import brute_components
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -61,9 +63,8 @@ def test_rows_without_an_id_and_with_the_same(spark):
     plain = lambda x: sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in x.collect())
     passed = quality.apply_quality(frame)
     assert plain(passed) == sorted((-1 if i is None else i, t) for i, t in rows if len(t.split()) > 9)
-    text4 = min((own(3), own(4)), key=lambda x: hashlib.md5(x.encode()).hexdigest())
-    text6 = min((own(5), "short"), key=lambda x: hashlib.md5(x.encode()).hexdigest())
-    expect = [(-1, own(1)), (-1, own(2)), (-1, "few words"), (4, text4), (6, text6), *([(5, own(3))] if text4 != own(3) else [])]
+    # each row is judged by its own text: only the copy of own(3) under the larger id goes
+    expect = [(-1 if i is None else i, t) for i, t in rows if i != 5]
     for parts in (1, 3):
         assert plain(near_dedup.deduplicate(frame.repartition(parts))) == sorted(expect)
 
@@ -138,3 +139,77 @@ def test_counts_of_all_kinds(spark):
     frame = spark.createDataFrame([(1, "password=b7db7aa4a5 http://me:pw@h.org/x IBAN DE89370400440532013000 1.2.3.4")], "doc_id long, text string")
     r = pii.detect(frame).first()
     assert (r.n_secret, r.n_url, r.n_account, r.n_ip, r.n_email) == (1, 1, 1, 1, 1)
+
+
+def test_near_copies_by_row(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = own(1, 40), own(2, 40), own(3, 40)
+    rows = [(3, a), (5, a), (5, b), (5, b), (9, None), (9, ""), (None, b), (None, c), (None, c), (None, "w"), (-7, "w"), (2, None)]
+    rows = [rows[k] for k in rng.permutation(len(rows))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_dedup.near_duplicates(frame).collect())
+    reach = {a: 3, b: 5, c: None, "w": -7}
+    size = lambda t: 0 if not t else 36 if t != "w" else 1
+    comp = lambda i, t: reach[t] if t else i
+    assert got == sorted((str(i), size(t), str(comp(i, t)), i is not None and comp(i, t) == i) for i, t in rows)
+    full = frame.selectExpr("*", "'en' as lang", "'h' as source", "1L as n_chars")
+    stay = sorted((str(r.doc_id), r.text or "") for r in near_dedup.deduplicate(full).collect())
+    assert stay == sorted([("3", a), ("5", b), ("None", c), ("-7", "w"), ("9", ""), ("9", ""), ("2", "")])
+
+
+def test_chains_of_half_similar_texts_stay_linear(spark):
+    words, texts = [f"w{k}" for k in range(4000)], []
+    for i in range(300):  # each shares half of its words with the next
+        texts.append(" ".join(words[i * 10 : i * 10 + 20] * 1))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(frame).collect()} == set(range(300))
+
+
+def test_blocks_of_a_bucket(spark, monkeypatch):
+    # one band only, so all texts with the same registers meet in one bucket and must be compared in blocks
+    monkeypatch.setattr(near_dedup, "ROWS", 1)
+    monkeypatch.setattr(near_dedup, "CHUNK", 16)
+    rng, rows = np.random.default_rng(3), []
+    for g in range(4):
+        base = [f"g{g}w{k}" for k in range(90)] + [f"s{k}" for k in range(110)]
+        for _ in range(20):
+            text = list(base)
+            text[int(rng.integers(0, 90))] = f"x{len(rows)}"
+            rows.append((len(rows), " ".join(text)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame).collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_large_tables_are_joined_by_shuffle(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plain = lambda: [sorted(map(str, x.collect())) for x in (near_dedup.near_duplicates(docs), quality.quality(docs).drop("removed"), mixing.mixture(docs).select("doc_id", "taken"))]
+    before = plain()
+    monkeypatch.setattr(scratch, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(scratch, "HEAVY", 1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plain() == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_columns_of_any_name(spark):
+    rows = [(i, f"some words of a text that is long enough to stay {i} {own(i)}", "en", "s", 1, *range(11)) for i in range(12)]
+    extra = "removed long, unit long, key long, copies long, turn long, row long, gone long, keeper long, __id long, __kept long, host long"
+    frame = spark.createDataFrame(rows, f"{DOCS}, {extra}")
+    for f in (quality.apply_quality, near_dedup.deduplicate, pii.redact, mixing.mix):
+        assert f(frame).columns == frame.columns and f(frame).count() >= 12
+    for f in (quality.quality, near_dedup.near_duplicates, pii.detect, mixing.mixture, packing.pack):
+        assert f(frame).count() >= 12
+    assert scratch.clear(spark) > 0
+
+
+def test_a_repeated_row_loses_its_words_once(spark):
+    line = "a common line of eight words in all"
+    rows = [(i, f"{line}\n{own(i, 5)}", "en", "h", 1) for i in range(12)]
+    got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality.quality(spark.createDataFrame([*rows, rows[3], rows[3]], DOCS)).collect()}
+    assert got[3] == (8, True) and got[4] == (8, True) and got[0] == (0, True)
+    without = [(None, *x[1:]) for x in rows]  # documents of their own
+    got = quality.quality(spark.createDataFrame(without, DOCS)).collect()
+    assert sorted(r.n_removed_words for r in got) == [0] + [8] * 11
