@@ -22,12 +22,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return apply_quality(docs)
 
 
-#: Two texts are near copies from this percentage of common word shingles on.
-NEAR_PERCENT = 85
+#: Two texts are near copies from this percentage of common five-word shingles on.
+NEAR_PERCENT = 80
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
+    """One row of each near-duplicate group, rows being judged by their own texts."""
     return deduplicate(docs, percent=NEAR_PERCENT)
 
 
