@@ -80,7 +80,7 @@ def citation_coverage(answer: Column, sources: Column) -> Column:
 
 def normalize_relation_type(col: Column) -> Column:
     """One of the relation types, by name or synonym; else RELATED_TO."""
-    known = F.create_map(*[F.lit(x) for target, names in vocab.RELATION_SYNONYMS.items() for name in names for x in (name, target)])
+    known = F.create_map(*[F.lit(x) for pair in vocab.RELATION_SYNONYMS.items() for x in pair])
     label = strip(F.coalesce(col, F.lit("")))
     upper = F.upper(label)
     return F.when(upper.isin(*vocab.RELATION_TYPES), upper).otherwise(F.coalesce(F.try_element_at(known, F.regexp_replace(F.lower(label), "[ -]", "_")), F.lit("RELATED_TO")))
@@ -90,7 +90,7 @@ def category(type_: Column) -> Column:
     """First category with a keyword that the lower-cased type contains, else other."""
     low, out = F.lower(F.coalesce(type_, F.lit("ENTITY"))), None
     for name, words in vocab.CATEGORIES.items():
-        hit = F.exists(F.array(*[F.lit(w) for w in words.split()]), lambda w: F.contains(low, w))
+        hit = F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("other")
 

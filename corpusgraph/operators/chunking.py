@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import vocab
 from ..functions.text import strip
@@ -54,39 +50,24 @@ def sections(docs: DataFrame) -> DataFrame:
     return own.unionByName(intro).unionByName(whole).where("content <> ''")
 
 
-def pack_text(text: str, most: int = vocab.CHUNK_CHARS) -> list[str]:
-    """Greedy parts of at most ``most`` characters: paragraphs, then sentences of a long
-    paragraph, whose last part packs on with the next paragraph. A sentence that is too
-    long stays whole."""
-    if len(text) <= most:
-        return [text]
-    parts: list[str] = []
-    open_ = ""
-
-    def add(piece: str, joiner: str) -> None:
-        nonlocal open_
-        if len(open_) + len(piece) + len(joiner) <= most:
-            open_ = open_ + joiner + piece if open_ else piece
-        else:
-            if open_:
-                parts.append(open_)
-            open_ = piece
-
-    for paragraph in re.split(r"\n\s*\n", text):
-        if len(paragraph) > most:
-            if open_:
-                parts.append(open_)
-            open_ = ""
-            for sentence in re.split(r"(?<=[.!?。！？])\s+", paragraph):
-                add(sentence, " ")
-        else:
-            add(paragraph, "\n\n")
-    return [*parts, open_] if open_ else parts
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def split_text(content: pd.Series) -> pd.Series:
-    return content.map(lambda x: pack_text(x) if x else [])
+def split_text(content: Column | str, most: int = vocab.CHUNK_CHARS) -> Column:
+    """Parts of at most ``most`` characters: paragraphs are joined while they fit; a longer
+    paragraph starts anew and is joined by sentences, the last of which goes on with the
+    next paragraph. A sentence that is too long stays whole; no text has no parts."""
+    content = F.col(content) if isinstance(content, str) else content
+    piece = lambda x, gap, fresh: F.struct(x.alias("text"), F.lit(gap).alias("gap"), fresh.alias("fresh"))
+    by_sentence = lambda p: F.transform(F.split(p, r"(?U)(?<=[.!?。！？])\s+"), lambda x, i: piece(x, " ", i == 0))
+    pieces = F.flatten(F.transform(F.split(content, r"(?U)\n\s*\n"), lambda p: F.when(F.length(p) > most, by_sentence(p)).otherwise(F.array(piece(p, "\n\n", F.lit(False))))))
+    closed = lambda s: F.when(s["open"] != "", F.concat(s["parts"], F.array(s["open"]))).otherwise(s["parts"])
+    state = lambda parts, open_: F.struct(parts.alias("parts"), open_.alias("open"))
+
+    def step(s: Column, x: Column) -> Column:
+        joined = F.when(s["open"] != "", F.concat(s["open"], x["gap"], x["text"])).otherwise(x["text"])
+        fits = ~x["fresh"] & (F.length(s["open"]) + F.length(x["gap"]) + F.length(x["text"]) <= most)
+        return F.when(fits, state(s["parts"], joined)).otherwise(state(closed(s), x["text"]))
+
+    folded = F.aggregate(pieces, state(F.array().cast("array<string>"), F.lit("")), step, closed)
+    return F.when(F.coalesce(content, F.lit("")) == "", F.array().cast("array<string>")).when(F.length(content) <= most, F.array(content)).otherwise(folded)
 
 
 def add_overlap(parts, n: int = vocab.OVERLAP_CHARS):

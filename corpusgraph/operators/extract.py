@@ -19,7 +19,7 @@ def rule_entities(chunks: DataFrame, patterns=vocab.ENTITY_PATTERNS) -> DataFram
         matches = F.regexp_extract_all("content", F.lit("(?U)" + pattern), F.lit(0))
         return F.transform(matches, lambda x: F.struct(x.alias("name"), F.lit(type_).alias("type"), F.lit(i).cast("long").alias("pattern_no")))
 
-    hits = F.flatten(F.array(*[found(i, t, p) for i, (t, p) in enumerate(patterns)]))
+    hits = F.flatten(F.array(*[found(i, t, p) for i, (t, p) in enumerate((t, p) for t, own in patterns.items() for p in own)]))
     rows = chunks.where("content is not null").select("user_id", "chunk_id", F.explode(hits).alias("x")).select("user_id", "chunk_id", "x.*")
     return rows.groupBy("user_id", "chunk_id", "name").agg(F.min_by("type", "pattern_no").alias("type"), F.min("pattern_no").alias("pattern_no"))
 

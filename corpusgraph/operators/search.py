@@ -6,10 +6,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..functions import text, vocab
@@ -18,25 +16,60 @@ from .ranking import ranked, top
 
 @dataclass
 class Bm25Index:
-    """``postings(user_id, term, chunk_id, tf, dl)``, ``terms(user_id, term, df, idf)`` and
-    ``corpus(user_id, n, avgdl)``."""
+    """``postings(user_id, term, chunk_id, tf, dl)``, ``lengths(user_id, chunk_id, dl)`` of all
+    chunks, and what follows from them: ``terms(user_id, term, df, idf)`` and ``corpus(user_id,
+    n, avgdl)``."""
 
     postings: DataFrame
+    lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
 
+    def written(self, folder: str) -> Bm25Index:
+        """The index as tables in ``folder``, made once and read by every search."""
+        for name in ("postings", "lengths"):
+            getattr(self, name).write.parquet(f"{folder}/{name}")
+        spark = self.postings.sparkSession
+        base = _indexed(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths")))
+        for name in ("terms", "corpus"):
+            getattr(base, name).write.parquet(f"{folder}/{name}")
+        return Bm25Index(base.postings, base.lengths, *(spark.read.parquet(f"{folder}/{name}") for name in ("terms", "corpus")))
+
+
+def _indexed(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
+    """With the statistics of the postings; texts are not read again."""
+    corpus = lengths.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    raw = postings.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(corpus, "user_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.groupBy("user_id").agg(F.avg("raw").alias("mean_idf"))
+    terms = raw.join(mean, "user_id").select("user_id", "term", "df", F.when(F.col("raw") < 0, vocab.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return Bm25Index(postings, lengths, terms, corpus)
+
+
+def _counted(chunks: DataFrame, tokenizer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
+    tokens = chunks.select("user_id", "chunk_id", tokenizer(F.col("content")).alias("tokens")).withColumn("dl", F.size("tokens"))
+    postings = tokens.select("user_id", "chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("user_id", "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
+    return postings, tokens.select("user_id", "chunk_id", "dl")
+
 
 def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens) -> Bm25Index:
     """Index of ``chunks(user_id, chunk_id, content)``. Chunks without tokens count in N
     and the mean length. Raw idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is
     replaced by epsilon times the user's mean raw idf."""
-    counted = chunks.select("user_id", "chunk_id", tokenizer(F.col("content")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    corpus = counted.groupBy("user_id").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.select("user_id", "chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("user_id", "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    raw = postings.groupBy("user_id", "term").agg(F.count("*").alias("df")).join(corpus, "user_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy("user_id").agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.join(mean, "user_id").select("user_id", "term", "df", F.when(F.col("raw") < 0, vocab.BM25_EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(postings, terms, corpus)
+    return _indexed(*_counted(chunks, tokenizer))
+
+
+def remove_from_index(index: Bm25Index, ids: DataFrame) -> Bm25Index:
+    """``index`` without the chunks ``ids(user_id, chunk_id)``; unknown ones change nothing."""
+    gone = ids.select("user_id", "chunk_id").distinct()
+    return _indexed(*(x.join(gone, ["user_id", "chunk_id"], "left_anti") for x in (index.postings, index.lengths)))
+
+
+def add_to_index(index: Bm25Index, chunks: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens) -> Bm25Index:
+    """``index`` with ``chunks`` added; a chunk that it has already is replaced. Only the new
+    chunks are tokenized."""
+    kept = remove_from_index(index, chunks)
+    postings, lengths = _counted(chunks, tokenizer)
+    return _indexed(kept.postings.unionByName(postings), kept.lengths.unionByName(lengths))
 
 
 def bm25_search(queries: DataFrame, index: Bm25Index, k: int = vocab.RECALL, keys: tuple[str, ...] = ("query_id",), tokenizer: Callable[[Column], Column] = text.tokens) -> DataFrame:
@@ -92,14 +125,10 @@ def rrf_fuse(hits: DataFrame, top_k: int = vocab.FUSED, k: int = vocab.RRF_K) ->
     return cut.drop("first")
 
 
-@F.pandas_udf(T.DoubleType())
-def overlap_scorer(query: pd.Series, content: pd.Series) -> pd.Series:
+def overlap_scorer(query: Column, content: Column) -> Column:
     """Default scorer: share of the query's words that the content has."""
-    out = []
-    for q, c in zip(query.fillna(""), content.fillna(""), strict=True):
-        words = set(q.lower().split())
-        out.append(len(words & set(c.lower().split())) / len(words) if words else 0.0)
-    return pd.Series(out, dtype=float)
+    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), r"(?U)\s+"), lambda w: w != ""))
+    return F.when(F.size(words(query)) > 0, F.size(F.array_intersect(words(query), words(content))) / F.size(words(query))).otherwise(0.0)
 
 
 def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, top_k: int = 5, scorer=overlap_scorer) -> DataFrame:

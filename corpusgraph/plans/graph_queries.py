@@ -82,6 +82,16 @@ def parse_answers(t: Tables):
     return t.g_chunks.select("chunk_id", F.array_join(extract.parse_names(names, 3), "|").alias("names"), extract.parse_intent(intent).alias("intent"), found["faithfulness"].alias("faithfulness"), found["correctness"].alias("correctness"))
 
 
+def _rows(tables: dict, columns: dict):
+    """The rows of several tables as ``what, user_id, a, b, c``."""
+    out = None
+    for what, own in columns.items():
+        held = [F.col(x) for x in own] + [F.lit(None).cast("string")] * (3 - len(own))
+        part = tables[what].select(F.lit(what).alias("what"), "user_id", *(x.alias(y) for x, y in zip(held, "abc", strict=True)))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # -- graph -----------------------------------------------------------------------------
 
 
@@ -93,18 +103,14 @@ def _chunk_entities(t: Tables):
 
 @query(
     "grf1_build_graph",
-    """select 'owns' as what, count(*) as n from g_documents union all select 'contains', count(*) from g_chunks union all select 'next', count(*) from g_chunks where next_chunk_id is not null
-       union all select 'mentions', count(*) from (select distinct chunk_id, entity_name from g_mentions) x union all select 'entities', count(*) from (select distinct user_id, entity_name from g_mentions) y
-       union all select 'typed', count(*) from (select distinct user_id, entity_name from g_mentions where entity_name::bigint % 2 = 0) z union all select 'relations', count(*) from g_relations""",
+    """select 'owns' as what, user_id, id as a, null as b, null as c from g_documents union all select 'contains', user_id, document_id, chunk_id, null from g_chunks
+       union all select 'next', user_id, chunk_id, next_chunk_id, null from g_chunks where next_chunk_id is not null union all select distinct 'mentions', user_id, chunk_id, entity_name, null from g_mentions
+       union all select 'entities', user_id, entity_name, case when entity_name::bigint % 2 = 0 then concat('T', entity_name) end, null from (select distinct user_id, entity_name from g_mentions) y
+       union all select 'relations', user_id, source, relation_type, target from g_relations""",
 )
 def build_graph(t: Tables):
     g = graph.build_graph(t.g_documents, t.g_chunks, _chunk_entities(t), t.g_relations)
-    g["typed"] = g["entities"].where("type is not null")
-    out = None
-    for name in ("owns", "contains", "next", "mentions", "entities", "typed", "relations"):
-        n = g[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-        out = n if out is None else out.unionByName(n)
-    return out
+    return _rows(g, {"owns": ("document_id",), "contains": ("document_id", "chunk_id"), "next": ("from_chunk", "to_chunk"), "mentions": ("chunk_id", "entity_name"), "entities": ("name", "type"), "relations": ("source", "relation_type", "target")})
 
 
 _TERMS = "terms as (select distinct user_id, substring(name, 1, 2) as term from g_entities)"
@@ -187,7 +193,7 @@ def graph_view(t: Tables):
     return graph.graph_view(t.g_entities, t.g_relations)[1]
 
 
-_CATEGORY = "case " + " ".join("when " + " or ".join(f"contains(lower(type), '{w}')" for w in words.split()) + f" then '{name}'" for name, words in vocab.CATEGORIES.items()) + " else 'other' end"
+_CATEGORY = "case " + " ".join("when " + " or ".join(f"contains(lower(type), '{w}')" for w in words) + f" then '{name}'" for name, words in vocab.CATEGORIES.items()) + " else 'other' end"
 
 
 @query(
@@ -221,13 +227,16 @@ def rejected_edits(t: Tables):
     return graph.update_entities(t.g_entities, _patches(t))[1]
 
 
-@query("grf12_delete_entities", "select 'mentions' as what, count(*) as n from g_mentions where entity_name not like '%7' union all select 'relations', count(*) from g_relations where source not like '%7' and target not like '%7' union all select 'entities', count(*) from g_entities where name not like '%7' union all select 'deleted', count(*) from g_entities where name like '%7'")
+@query(
+    "grf12_delete_entities",
+    """select 'mentions' as what, user_id, chunk_id as a, entity_name as b, null as c from g_mentions where entity_name not like '%7' union all select 'relations', user_id, source, relation_type, target from g_relations where source not like '%7' and target not like '%7'
+       union all select 'entities', user_id, name, type, null from g_entities where name not like '%7' union all select 'deleted', user_id, name, '1', null from g_entities where name like '%7' union all select distinct 'deleted', user_id, 'nobody', '0', null from g_documents""",
+)
 def delete_entities(t: Tables):
     keys = t.g_entities.where("name like '%7'").select("user_id", "name").unionByName(t.g_documents.select("user_id", F.lit("nobody").alias("name")).distinct())
     out = graph.delete_entities(keys, t.g_entities, t.g_mentions, t.g_relations)
-    out["deleted"] = out["deleted"].where("deleted = 1")
-    parts = [out[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k in ("mentions", "relations", "entities", "deleted")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    out["deleted"] = out["deleted"].withColumn("deleted", F.col("deleted").cast("string"))
+    return _rows(out, {"mentions": ("chunk_id", "entity_name"), "relations": ("source", "relation_type", "target"), "entities": ("name", "type"), "deleted": ("name", "deleted")})
 
 
 _MERGE = """pairs as (select e.user_id, e.name as source, cast(e.name::bigint + 1 as varchar) as target from g_entities e where e.name like '%5' and (e.user_id, cast(e.name::bigint + 1 as varchar)) in (select (user_id, name) from g_entities)),
@@ -254,18 +263,15 @@ _DELETE = "gone as (select id from g_documents where file_type = 'P' or id like
 
 @query(
     "grf14_delete_documents",
-    f"""with {_DELETE} select 'documents' as what, count(*) as n from g_documents where id not in (select id from gone) union all select 'chunks', count(*) from g_chunks where document_id not in (select id from gone) union all select 'mentions', count(*) from kept
-        union all select 'orphans', count(*) from orphans union all select 'entities', count(*) from g_entities where (user_id, name) not in (select (user_id, entity_name) from orphans)
-        union all select 'relations', count(*) from g_relations where (user_id, source) not in (select (user_id, entity_name) from orphans) and (user_id, target) not in (select (user_id, entity_name) from orphans)""",
+    f"""with {_DELETE} select 'documents' as what, user_id, id as a, null as b, null as c from g_documents where id not in (select id from gone) union all select 'chunks', user_id, document_id, chunk_id, null from g_chunks where document_id not in (select id from gone)
+        union all select 'mentions', user_id, chunk_id, entity_name, null from kept union all select 'orphans', user_id, entity_name, null, null from orphans
+        union all select 'entities', user_id, name, type, null from g_entities where (user_id, name) not in (select (user_id, entity_name) from orphans)
+        union all select 'relations', user_id, source, relation_type, target from g_relations where (user_id, source) not in (select (user_id, entity_name) from orphans) and (user_id, target) not in (select (user_id, entity_name) from orphans)""",
 )
 def delete_documents(t: Tables):
     ids = t.g_documents.where("file_type = 'P' or id like '%3'").select("user_id", F.col("id").alias("document_id"))
     out = graph.delete_documents(ids, t.g_documents, t.g_chunks, t.g_mentions, t.g_entities, t.g_relations)
-    found = None
-    for k in ("documents", "chunks", "mentions", "orphans", "entities", "relations"):
-        n = out[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n")
-        found = n if found is None else found.unionByName(n)
-    return found
+    return _rows(out, {"documents": ("id",), "chunks": ("document_id", "chunk_id"), "mentions": ("chunk_id", "entity_name"), "orphans": ("name",), "entities": ("name", "type"), "relations": ("source", "relation_type", "target")})
 
 
 @query("grf15_purge_users", "select what, user_id, n from (select 'documents' as what, user_id, count(*) as n from g_documents group by 2 union all select 'mentions', user_id, count(*) from g_mentions group by 2 union all select 'relations', user_id, count(*) from g_relations group by 2) x where user_id in (select c_nationkey from customer where c_acctbal < 0)")

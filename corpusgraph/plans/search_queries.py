@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, search, vectors
+from ..sources import scratch
 from .registry import Tables, query
 
 _TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
@@ -27,6 +28,17 @@ def _chunks(t: Tables):
     return t.t_documents.withColumnRenamed("id", "chunk_id")
 
 
+_written: dict[tuple[str, str], search.Bm25Index] = {}
+
+
+def _index(t: Tables) -> search.Bm25Index:
+    """The keyword index of the documents, made once for an application and a folder."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _written:
+        _written[key] = search.bm25_index(_chunks(t)).written(scratch.new_path(t.spark, "index"))
+    return _written[key]
+
+
 @query("emb1_cached_embedding")
 def cached_embedding(t: Tables):
     cache = t.spark.createDataFrame([], "text_hash string, embedding array<float>, model string")
@@ -72,9 +84,24 @@ def bm25_index(t: Tables):
     return search.bm25_index(_chunks(t)).terms.withColumn("idf", F.round("idf", 6))
 
 
+_LATE = "length(content) % 4 = 0"
+_SOME = _INDEX.replace("from t_documents)", f"from t_documents where not ({_LATE}))")
+
+
+@query("ret1_add_to_index", f"with {_INDEX} select user_id, term, df, round(idf, 6) as idf from terms")
+def add_to_index(t: Tables):
+    early = search.bm25_index(_chunks(t).where(f"not ({_LATE})").unionByName(_chunks(t).where(f"{_LATE} and doc_id % 2 = 0").withColumn("content", F.lit("an older text"))))
+    return search.add_to_index(early, _chunks(t).where(_LATE)).terms.withColumn("idf", F.round("idf", 6))
+
+
+@query("ret1_remove_from_index", f"with {_SOME} select user_id, term, df, round(idf, 6) as idf from terms")
+def remove_from_index(t: Tables):
+    return search.remove_from_index(_index(t), _chunks(t).where(_LATE)).terms.withColumn("idf", F.round("idf", 6))
+
+
 @query("ret2_bm25_search", f"with {_BM25} select user_id, query_id, chunk_id, score, rank from bm25 where rank <= 25")
 def bm25_search(t: Tables):
-    return search.bm25_search(t.q_queries, search.bm25_index(_chunks(t))).select("user_id", "query_id", "chunk_id", "score", "rank")
+    return search.bm25_search(t.q_queries, _index(t)).select("user_id", "query_id", "chunk_id", "score", "rank")
 
 
 _VARIANTS = """variants as (select user_id, query_id, unnest([0, 1, 2, 3, 4]) as variant_no, unnest([query_text, concat(' ', query_text), concat(query_text, '!'), '  ', lower(query_text)]) as query_text from q_queries)"""
@@ -116,7 +143,7 @@ _LISTS = f"""{_BM25}, b as (select user_id, query_id, rank, chunk_id from bm25 w
 
 
 def _lists(t: Tables):
-    b = search.bm25_search(t.q_queries, search.bm25_index(_chunks(t)))
+    b = search.bm25_search(t.q_queries, _index(t))
     one = lambda no, label, weight, rank: b.select("user_id", "query_id", F.lit(no).alias("list_no"), F.lit(label).alias("label"), F.lit(weight).alias("weight"), rank.alias("rank"), "chunk_id")
     return one(0, "bm25", 1.0, F.col("rank")).unionByName(one(1, "reverse", 0.5, 26 - F.col("rank")))
 
@@ -130,10 +157,21 @@ def rrf_fuse(t: Tables):
     return search.rrf_fuse(_lists(t)).withColumn("sources", F.array_join("sources", ","))
 
 
-@query("ret6_rerank")
+_BAG = "list_distinct(list_filter(string_split_regex(lower({0}), '\\s+'), lambda w: w <> ''))"
+
+
+@query(
+    "ret6_rerank",
+    f"""with {_LISTS}, f as (select user_id, query_id, chunk_id, round(sum(weight / (60 + rank)), 9) as score, min(list_no * 1000 + rank) as o from lists group by 1, 2, 3),
+        z as (select *, row_number() over (partition by user_id, query_id order by score desc, o, chunk_id) as fused from f),
+        s as (select z.user_id, z.query_id, z.chunk_id, fused, len(list_intersect({_BAG.format("query_text")}, {_BAG.format("content")})) / len({_BAG.format("query_text")})::double as relevance_score
+          from z join q_queries q on z.user_id = q.user_id and z.query_id = q.query_id join t_documents d on d.id = z.chunk_id where fused <= 25),
+        r as (select *, row_number() over (partition by user_id, query_id order by relevance_score desc, fused) as rank from s)
+        select user_id, query_id, chunk_id, round(relevance_score, 9) as relevance_score, rank from r where rank <= 5""",
+)
 def rerank(t: Tables):
     fused = search.rrf_fuse(_lists(t))
-    return search.rerank(fused, t.q_queries, _chunks(t)).select("user_id", "query_id", "chunk_id", "relevance_score", "rank")
+    return search.rerank(fused, t.q_queries, _chunks(t)).select("user_id", "query_id", "chunk_id", F.round("relevance_score", 9).alias("relevance_score"), "rank")
 
 
 @query(
@@ -198,7 +236,7 @@ _RUNS = f"{_BM25}, runs as (select query_id as case_id, rank, chunk_id from bm25
 
 
 def _runs(t: Tables):
-    return search.bm25_search(t.q_queries, search.bm25_index(_chunks(t))).select(F.col("query_id").alias("case_id"), "rank", "chunk_id")
+    return search.bm25_search(t.q_queries, _index(t)).select(F.col("query_id").alias("case_id"), "rank", "chunk_id")
 
 
 def _metric(t: Tables, *names: str):
@@ -229,13 +267,18 @@ def ndcg(t: Tables):
     return _metric(t, *[f"ndcg@{k}" for k in evaluation.KS])
 
 
-_WORDS = "string_split(query_text, ' ')[1:3]"
+_KEYWORDS = "list_filter(string_split_regex(query_text, '\\s+'), lambda w: trim(w) <> '')"
 
 
-@query("evl4_keyword_coverage", f"select query_id, d.id, round(len(list_filter(list_filter({_WORDS}, lambda w: trim(w) <> ''), lambda w: contains(lower(content), lower(trim(w))))) / greatest(len(list_filter({_WORDS}, lambda w: trim(w) <> '')), 1)::double, 6) as coverage from q_queries q join t_documents d on q.user_id = d.user_id")
+@query(
+    "evl4_keyword_coverage",
+    f"""with {_BM25} select b.query_id, b.chunk_id, round(len(list_filter({_KEYWORDS}, lambda w: contains(lower(content), lower(trim(w))))) / greatest(len({_KEYWORDS}), 1)::double, 6) as coverage
+        from bm25 b join q_queries q on b.query_id = q.query_id join t_documents d on d.id = b.chunk_id where rank <= 25""",
+)
 def keyword_coverage(t: Tables):
-    joined = t.q_queries.join(t.t_documents, "user_id")
-    return joined.select("query_id", "id", F.round(evaluation.keyword_coverage(F.col("content"), F.slice(F.split("query_text", " "), 1, 3)), 6).alias("coverage"))
+    """Of the passages that a run found, as answers, all the question's words as keywords."""
+    said = _runs(t).join(t.q_queries.select(F.col("query_id").alias("case_id"), "query_text"), "case_id").join(_chunks(t).select("chunk_id", "content"), "chunk_id")
+    return said.select(F.col("case_id").alias("query_id"), "chunk_id", F.round(evaluation.keyword_coverage(F.col("content"), F.split("query_text", r"\s+")), 6).alias("coverage"))
 
 
 _ALL = f"with {_RUNS}, m as ({_EVL1} union all {_EVL2} union all {_EVL3})"

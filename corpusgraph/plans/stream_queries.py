@@ -106,7 +106,8 @@ def upload_volume(t: Tables):
     return found.select("user_id", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "documents")
 
 
-@query("str6_upload_volume_stream")
+@query("str6_upload_volume_stream", "select user_id, <day:ts> as day, count(*) as documents from events group by 1, 2")
 def upload_volume_stream(t: Tables):
     rows = _stream(t).select(F.col("doc_id").alias("user_id"), F.col("ts").cast("timestamp").alias("created_at"))
-    return jobs.run_once(jobs.upload_volume(rows), scratch.new_path(t.spark, "volume"))
+    found = jobs.run_once(jobs.upload_volume(rows), scratch.new_path(t.spark, "volume"), "update", ["user_id", "window_start"])
+    return found.select("user_id", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "documents")

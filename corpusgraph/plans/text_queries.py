@@ -41,16 +41,21 @@ def load_tables(t: Tables):
     return docs.select("id", "user_id", "title", "status", stamp("created_at"), stamp("updated_at"))
 
 
-@query("src4_read_gold", "select cast(item_id as varchar) as id, text as query, 1::bigint as expected, concat('from ', cast(item_id as varchar)) as comment from benchmark where item_id % 3 <> 0")
+@query(
+    "src4_read_gold",
+    """select cast(item_id as varchar) as id, text as query, case when item_id % 3 = 0 then 'REPLACE_WITH_ID' else concat('c', cast(item_id as varchar)) end as expected,
+       concat('from ', cast(item_id as varchar)) as comment, item_id % 3 = 0 as skipped from benchmark""",
+)
 def read_gold(t: Tables):
     folder = scratch.new_path(t.spark, "gold")
     name = F.when(F.col("item_id") % 3 == 0, F.lit("REPLACE_WITH_ID")).otherwise(F.concat(F.lit("c"), F.col("item_id").cast("string")))
     case = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("query"), F.array(name).alias("expected_chunk_ids"), F.array(F.lit("from"), F.col("item_id").cast("string")).alias("_comment"))
-    t.benchmark.select(F.to_json(case).alias("value")).repartition(8).write.text(folder)
-    cases = t.spark.read.schema(tables.GOLD).json(folder)
-    held = F.array_join(F.from_json("_comment", "array<string>"), " ")
-    good = cases.where(~F.exists("expected_chunk_ids", lambda x: x.startswith("REPLACE_WITH")))
-    return good.select("id", "query", F.size("expected_chunk_ids").cast("long").alias("expected"), held.alias("comment"))
+    # a file for every 32 cases, as an array
+    files = t.benchmark.groupBy(F.floor(F.col("item_id") / 32).alias("file")).agg(F.to_json(F.collect_list(case)).alias("value"))
+    files.write.partitionBy("file").text(folder)
+    cases, skipped = tables.read_gold(t.spark, folder)
+    rows = cases.withColumn("skipped", F.lit(False)).unionByName(skipped.withColumn("skipped", F.lit(True)))
+    return rows.select("id", "query", F.array_join("expected_chunk_ids", ",").alias("expected"), F.col("metadata")["_comment"].alias("comment"), "skipped")
 
 
 _UPSERT = """select chunk_id, content, case when exists_new then 'new' else 'old' end as side from (select chunk_id, content, length(content) % 2 = 0 as exists_new from g_chunks) x"""
@@ -110,9 +115,22 @@ def whole_and_intro(t: Tables):
     return chunking.sections(t.t_markdown).where("level = 0").select("document_id", F.array_join("path", " > ").alias("path"), F.length("content").cast("long").alias("n"))
 
 
-@query("chk4_split_text")
+@query(
+    "chk4_split_text",
+    r"""with recursive p as (select id, unnest(regexp_split_to_array(content, '\n\s*\n')) as p, unnest(range(len(regexp_split_to_array(content, '\n\s*\n')))) as i from t_documents where length(content) > 500),
+       u as (select id, i, unnest(case when length(p) > 500 then string_split(regexp_replace(p, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)) else [p] end) as x,
+         unnest(range(case when length(p) > 500 then len(string_split(regexp_replace(p, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))) else 1 end)) as j, case when length(p) > 500 then ' ' else chr(10) || chr(10) end as gap, length(p) > 500 as long from p),
+       n as (select *, row_number() over (partition by id order by i, j) as k, count(*) over (partition by id) as total from u),
+       r(id, k, open, parts) as (select id, 0::bigint, '', []::varchar[] from (select distinct id from n) z union all
+         select r.id, n.k, case when not (long and j = 0) and length(open) + length(gap) + length(x) <= 500 then case when open <> '' then open || gap || x else x end else x end,
+           case when (not (long and j = 0) and length(open) + length(gap) + length(x) <= 500) or open = '' then parts else list_append(parts, open) end from r join n on n.id = r.id and n.k = r.k + 1),
+       f as (select id, case when open <> '' then list_append(parts, open) else parts end as parts from r join (select distinct id, total from n) t using (id) where r.k = t.total
+         union all select id, [content] from t_documents where length(content) between 1 and 500)
+       select id, unnest(range(len(parts))) as part, unnest(parts) as content from f""",
+)
 def split_text(t: Tables):
-    return t.t_documents.select("id", F.posexplode(chunking.split_text("content")).alias("part", "content"))
+    parts = t.t_documents.select("id", F.posexplode(chunking.split_text("content")).alias("part", "content"))
+    return parts.withColumn("part", F.col("part").cast("long"))
 
 
 @query("chk5_add_overlap", "select document_id, ordinal, case when ordinal = 1 then content else concat(right(lag(content) over (partition by document_id order by ordinal), 10), content) end as content from g_chunks")

@@ -10,13 +10,20 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import vocab
+
+# Documents that hold a passage have its second to sixth word side by side; DuckDB takes all pairs.
+_ANCHORED = """(select distinct item_id, doc_id from (select item_id, xxhash64(array_join(slice(split(text, '[ \\n\\t]+'), 2, 5), ' ')) as w from benchmark) p
+  join (select doc_id, explode(transform(sequence(1, greatest(size(x) - 4, 1)), i -> xxhash64(array_join(slice(x, i, 5), ' ')))) as w from (select doc_id, split(text, '[ \\n\\t]+') as x from documents) y) s on p.w = s.w) a"""
 SPARK = {
+    "anchored": _ANCHORED,
     "text": "string", "day": "date_format({0}, 'yyyy-MM-dd')", "ntz": "timestamp_ntz", "digits": "regexp_extract({0}, '[0-9]+', 0)",
     "ts": "date_format({0}, 'yyyy-MM-dd HH:mm:ss')", "epoch": "cast(unix_micros(cast({0} as timestamp)) / 1000000 as double)", "real": "double",
     "shift": "cast({0} as timestamp_ntz) + make_dt_interval(0, {1}, {2}, 0)", "holds": "contains({0}, {1})",
     "markdown": "array_join(transform(split({0}, '\\n'), (x, i) -> case when (i + 1) % 15 = 0 then concat('# ', x) when (i + 1) % 5 = 0 then concat('## ', x) else x end), '\\n\\n')",
 }
 DUCK = {
+    "anchored": "(select item_id, doc_id from benchmark, documents) a",
     "text": "varchar", "day": "strftime({0}, '%Y-%m-%d')", "ntz": "timestamp", "digits": "regexp_extract({0}, '[0-9]+')",
     "ts": "strftime({0}, '%Y-%m-%d %H:%M:%S')", "epoch": "epoch({0})", "real": "double",
     "shift": "cast({0} as timestamp) + to_hours({1}) + to_minutes({2})", "holds": "contains({0}, {1})",
@@ -46,7 +53,7 @@ VIEWS = {
     "v_vectors": """select cast(vec_id as <text>) as chunk_id, vec_id, vec_id % 5 as user_id, cast(label as <text>) as document_id, embedding from embeddings""",
     "v_queries": """select vec_id as query_id, vec_id % 5 as user_id, embedding from embeddings where vec_id % 20 = 0""",
     "q_queries": """select item_id as query_id, item_id % 5 as user_id, text as query_text from benchmark""",
-    "q_gold": """select b.item_id as case_id, cast(d.doc_id as <text>) as chunk_id from benchmark b join documents d on <holds:d.text, substring(b.text, 1, 60)>""",
+    "q_gold": """select g.item_id as case_id, cast(h.doc_id as <text>) as chunk_id from <anchored> join benchmark g on a.item_id = g.item_id join documents h on a.doc_id = h.doc_id where <holds:h.text, g.text>""",
     "m_messages": """select conv_id * 1000 + turn as id, cast(conv_id as <text>) as conversation_id, conv_id % 5 as user_id, role,
         case when role = 'assistant' then concat(text, ' [', cast(turn % 4 + 1 as <text>), '] [99]') else text end as content,
         <shift:timestamp '2024-01-01 00:00:00', cast(conv_id as int), cast(turn as int)> as created_at, turn from conversations""",
@@ -54,8 +61,7 @@ VIEWS = {
         when 'signup' then 'ready' else 'failed' end as status, event_type, ts, value from events""",
     "r_requests": """select event_id as id, user_id as key, <epoch:ts> as t from events""",
 }
-_TYPES = ("RELATED_TO", "PART_OF", "INSTANCE_OF", "LOCATED_IN", "CAUSES", "PRODUCES", "USES", "OWNS", "WORKS_AT", "COLLABORATES_WITH", "PRECEDES", "OPPOSES")
-_CASES = " ".join(f"when {i} then '{x}'" for i, x in enumerate(_TYPES))
+_CASES = " ".join(f"when {i} then '{x}'" for i, x in enumerate(vocab.RELATION_TYPES))
 
 
 def words(sql: str, dialect: dict[str, str]) -> str:

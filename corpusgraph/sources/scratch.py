@@ -10,10 +10,13 @@ from pyspark.sql import SparkSession
 
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below ``spark.checkpoint.dir``; where the session names no such
-    folder (local runs), below a temporary one, which is then set."""
+    folder, below a temporary one, which is then set; that is an error unless the session
+    runs on this machine alone."""
     context = spark.sparkContext
     at = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not at:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"

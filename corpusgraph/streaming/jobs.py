@@ -68,7 +68,7 @@ def ingest_stream(files: DataFrame, ingest: Callable[[DataFrame, int], None], ch
     return files.writeStream.foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(stream: DataFrame, path: str, mode: str = "append", upsert_key: str | None = None) -> DataFrame:
+def run_once(stream: DataFrame, path: str, mode: str = "append", upsert_key: str | list[str] | None = None) -> DataFrame:
     """Run ``stream`` over all that is there and return the sink's rows. In update mode the
     last row of each ``upsert_key`` (by batch) stays."""
     spark = stream.sparkSession
@@ -80,6 +80,7 @@ def run_once(stream: DataFrame, path: str, mode: str = "append", upsert_key: str
     writer.foreachBatch(put).start().awaitTermination()
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out")
     if upsert_key:
-        last = rows.groupBy(upsert_key).agg(F.max("batch").alias("batch"))
-        rows = rows.join(last, [upsert_key, "batch"], "left_semi")
+        keys = [upsert_key] if isinstance(upsert_key, str) else upsert_key
+        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+        rows = rows.join(last, [*keys, "batch"], "left_semi")
     return rows.select(*stream.columns)
