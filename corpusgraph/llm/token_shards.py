@@ -1,11 +1,14 @@
 """Training-order materialisation of token sequences.
 
-Documents are tokenized once, into a written table, and cut into sequences of at most
-``length`` tokens. All sequences are numbered densely in the order of a digest of id and
-text, so numbers depend on the rows alone: not on partitions, files or lost executors. A keyed Feistel network over the next even power of two, walked until
-it lands below the number of sequences, permutes the numbers into global slots. Slots
-are dealt by range to shards; a shard is a binary file of fixed-stride records in slot
-order, so a reader resumes at any slot by seeking.
+Documents are cut into sequences of at most ``length`` tokens. A digest of a sequence's id,
+text, place and copy puts it into one of many ranges; runs of ranges with about ``shard``
+sequences are a shard, and the shard's sequences, in the order of their digests, are numbered densely. A
+keyed Feistel network over the next even power of two, walked until it lands below
+the shard's number of sequences, permutes the numbers into slots; another one, over the
+ranges, decides which of them meet in a shard. So all slots together are a keyed permutation of
+all sequences that depends on the rows alone, not on partitions, files or lost executors,
+and tokens are shuffled once, straight to their shard. A shard is a binary file of
+fixed-stride records in slot order, so a reader resumes at any slot by seeking.
 """
 
 from __future__ import annotations
@@ -16,19 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import files
-from .scratch import new_path, unit, written
+from .scratch import new_path, small, unit, written
 from .textnum import mix
 from .tokens import documents, encoder
 
 #: Tokens in a record, records in a shard, rounds of the network.
 LENGTH, SHARD, ROUNDS = 512, 32768, 6
 KEY = 0x5EED
-#: The numbering sums up this many ranges of the digest (one number each reaches the driver).
-RANGES = 1 << 16
+#: Ranges of the digests (one number each reaches the driver).
+RANGES = 1 << 18
 
 
 def token_type(tokenizer: str | None) -> str:
@@ -65,117 +68,130 @@ class Permutation:
         return self._walk(slot, self.keys[:ROUNDS][::-1])
 
 
-def tokenized(docs: DataFrame, length: int, tokenizer: str | None) -> DataFrame:
-    """``(range, unit, doc_id, ids, n, copies)`` of ``docs(doc_id, text)``: the ids of each
-    text as bytes and its number of sequences. Copies in id and text that meet in a batch are
-    one row."""
-    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    base = base.select("doc_id", "text", unit("doc_id", "text").alias("unit"))
-    width = token_type(tokenizer)
+def _digest() -> tuple[Column, Column]:
+    """The digest of a row ``(unit, place, copy)`` and its range."""
+    digest = F.xxhash64("unit", "place", "copy")
+    return digest, F.shiftrightunsigned(digest, 64 - (RANGES - 1).bit_length()).cast("int")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first: dict[bytes, int] = {}
-            copies: list[int] = []
-            for row, own in enumerate(batch.column(2).to_pylist()):
-                if own not in first:
-                    first[own] = row
-                    copies.append(0)
-            place = {own: k for k, own in enumerate(first)}
-            for own in batch.column(2).to_pylist():
-                copies[place[own]] += 1
-            some = batch.take(pa.array(list(first.values())))
-            held, at, many = [], 0, 0
-            for row, ids in documents(some.column(1), tokenizer):
-                held.append(ids.astype(width).tobytes())
-                many += len(held[-1])
-                if many > 1 << 23 or row == len(some) - 1:
-                    part = some.slice(at, len(held))
-                    n = [max(1, -(-len(x) // (length * np.dtype(width).itemsize))) for x in held]
-                    ranges = [int.from_bytes(x[:2], "big") for x in part.column(2).to_pylist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ranges, pa.int32()), part.column(2), part.column(0), pa.array(held, pa.binary()), pa.array(n, pa.int64()), pa.array(copies[at : at + len(held)], pa.int64())], names=["range", "unit", "doc_id", "ids", "n", "copies"]
-                    )
-                    held, at, many = [], row + 1, 0
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"range int, unit binary, doc_id {kind}, ids binary, n long, copies long")
+def _turns() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("copy")
 
 
 def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
     """Write the sequences of ``docs(doc_id, text)`` to shards in ``folder``; returns the
-    written index ``slot, shard, file, doc_id, start, n_tokens, ids_crc32``.
+    written index ``slot, shard, file, record, doc_id, start, n_tokens, ids_crc32``.
 
     A record is a little-endian uint32 token count and ``length`` ids of two bytes (four
-    for a larger vocabulary), zeros after the last. A null or empty text is one sequence of the end token. Repeated rows
-    are materialised each; null ids are kept; further columns are ignored; an empty table
-    gives no shards. Slots depend on the key, the length and the rows alone, so a rerun, or one
-    that lost executors, gives every sequence the same slot."""
-    table = written(tokenized(docs, length, tokenizer), "tokens")
-    sums = np.zeros(RANGES + 1, dtype=np.int64)
-    for r in table.groupBy("range").agg(F.sum(F.col("n") * F.col("copies")).alias("s")).collect():
-        sums[r.range + 1] = r.s
-    base, total = np.cumsum(sums), int(sums.sum())
-    sorted_ = table.repartition("range").sortWithinPartitions("range", "unit")
-    order, width = Permutation(total, key), token_type(tokenizer)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    for a larger vocabulary), zeros after the last. A null or empty text is one sequence of the
+    end token. Repeated rows are materialised each; null ids are kept; further columns are
+    ignored; an empty table gives no shards. Slots depend on the key, the two sizes and the
+    rows alone, so a rerun, or one that lost executors, gives every sequence the same slot.
+    Texts are tokenized twice, to count and to write, which costs less than to store tokens in between."""
+    width = token_type(tokenizer)
+    base = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    base = base.select("doc_id", "text", unit("doc_id", "text").alias("unit"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [-(-len(ids) // length) for _, ids in documents(batch.column(1), tokenizer)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["unit", "n"])
+
+    counts = base.select("unit", "text").mapInArrow(count, "unit binary, n long").groupBy("unit").agg(F.max("n").alias("n"), F.count("*").alias("copies"))
+    counts = written(counts, "sequence-counts")
+    spread = counts.select("unit", "n", _turns()).select("unit", "copy", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("place"))
+    found = spread.select(_digest()[1].alias("range")).groupBy("range").agg(F.count("*").alias("n")).toArrow()
+    # ranges in a keyed order, then runs of them as shards
+    order = Permutation(RANGES, key).slot(np.arange(RANGES))
+    sums = np.zeros(RANGES, dtype=np.int64)
+    sums[order[found["range"].to_numpy()]] = found["n"].to_numpy()
+    shard_of = ((np.cumsum(sums) - sums) // shard).astype(np.int32)
+    sizes = np.bincount(shard_of, sums, int(shard_of[-1]) + 1).astype(np.int64)
+    first = np.cumsum(sizes) - sizes
+    shared = docs.sparkSession.sparkContext.broadcast((shard_of[order], sizes, first))
+
+    repeated = counts.where("copies > 1").select("unit", "copies")
+    n_repeated = repeated.count()
+    rows = base.withColumn("copies", F.lit(1).cast("long"))
+    if n_repeated:  # copies in id and text meet as one row that counts them
+        again = small(repeated, n_repeated)
+        one = base.join(again, "unit").groupBy("unit").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("copies").alias("copies"))
+        rows = rows.join(again.select("unit"), "unit", "left_anti").select("doc_id", "text", "unit", "copies").unionByName(one)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "shard", "doc_id", "start", "ids"]
-        step = length * np.dtype(width).itemsize
-        now, number = -1, 0
+        names, step = ["doc_id", "unit", "copies", "place", "ids"], length * np.dtype(width).itemsize
+        for batch in batches:
+            held, places, parts, many = [], [], [], 0
+
+            plain = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3)], names=["doc_id", "unit", "copies"])
+            for row, ids in documents(batch.column(1), tokenizer):
+                raw = ids.astype(width).tobytes()
+                for j in range(-(-len(raw) // step)):
+                    held.append(row)
+                    places.append(j)
+                    parts.append(raw[j * step : (j + 1) * step])
+                many += len(raw)
+                if many > 1 << 22:
+                    yield _taken(plain, held, places, parts, names)
+                    held, places, parts, many = [], [], [], 0
+            if held:
+                yield _taken(plain, held, places, parts, names)
+
+    def to_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges, n, copies = (batch.column(k).to_pylist() for k in (0, 4, 5))
-            rows, starts, numbers, parts, many = [], [], [], [], 0
-
-            def out() -> pa.RecordBatch:
-                slot = order.slot(np.array(numbers, dtype=np.int64))
-                return pa.RecordBatch.from_arrays([pa.array(slot), pa.array((slot // shard).astype(np.int32)), batch.column(2).take(pa.array(rows)), pa.array(starts, pa.int64()), pa.array(parts, pa.binary())], names=names)
-
-            for row, ids in enumerate(batch.column(3)):
-                if ranges[row] != now:
-                    now, number = ranges[row], int(base[ranges[row]])
-                raw = ids.as_py()
-                for _ in range(copies[row]):
-                    for j in range(n[row]):
-                        rows.append(row)
-                        starts.append(j * length)
-                        numbers.append(number)
-                        parts.append(raw[j * step : (j + 1) * step])
-                        number += 1
-                        many += len(parts[-1]) + 64
-                        if many > 1 << 22:
-                            yield out()
-                            rows, starts, numbers, parts, many = [], [], [], [], 0
-            if rows:
-                yield out()
+            yield batch.set_column(0, "shard", pa.array(shared.value[0][batch.column(0).to_numpy()], pa.int32()))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, now, name, place = None, None, None, 0
-        for batch in batches:
-            slots, shards, starts, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
-            names, counts, sums = [], [], []
-            for k, (slot, own) in enumerate(zip(slots, shards, strict=True)):
-                if own != now:
-                    if stream:
-                        stream.close()
-                    (name, stream), now, place = files.create(folder, ".tokens"), own, own * shard
-                if slot != place:
-                    raise ValueError(f"slot {place} is missing")
-                raw = ids[k].as_py()
+        _, sizes, first = shared.value
+        size = stride(length, width)
+        now, held = -1, []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            if len(t) != sizes[now]:
+                raise ValueError(f"shard {now} has {len(t)} sequences, not {sizes[now]}")
+            places = Permutation(len(t), key + 1 + now).slot(np.arange(len(t)))
+            records, counts, sums = np.zeros((len(t), size), dtype=np.uint8), [], []
+            for at, raw in zip(places.tolist(), t["ids"].to_pylist(), strict=True):
                 values = np.frombuffer(raw, width)
-                stream.write(struct.pack("<I", len(values)) + raw + bytes(values.itemsize * length - len(raw)))
-                names.append(name)
+                records[at, :4] = np.frombuffer(struct.pack("<I", len(values)), np.uint8)
+                records[at, 4 : 4 + len(raw)] = np.frombuffer(raw, np.uint8)
                 counts.append(len(values))
                 sums.append(zlib.crc32(values.astype("<u4").tobytes()))
-                place += 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), batch.column(2), starts, pa.array(counts, pa.int64()), pa.array(sums, pa.int64())], names=["slot", "shard", "file", "doc_id", "start", "n_tokens", "ids_crc32"])
-        if stream:
-            stream.close()
+            name, stream = files.create(folder, ".tokens")
+            with stream:
+                stream.write(records.data)
+            back = pa.array(np.argsort(places))  # rows in slot order, as they will be read
+            own = t.combine_chunks().take(back)
+            n = len(t)
+            columns = [pa.array(first[now] + np.arange(n)), pa.array([now] * n, pa.int32()), pa.array([name] * n), pa.array(np.arange(n)), own["doc_id"].combine_chunks(), pa.array(own["place"].to_numpy().astype(np.int64) * length), pa.array(counts, pa.int64()).take(back), pa.array(sums, pa.int64()).take(back)]
+            return pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "file", "record", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+        for batch in batches:
+            shards = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(batch)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if to > at:
+                    if shards[at] != now and held:
+                        yield out()
+                        held = []
+                    now = int(shards[at])
+                    held.append(batch.slice(at, to - at))
+        if held:
+            yield out()
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    pieces = rows.select("doc_id", "text", "unit", "copies").mapInArrow(cut, f"doc_id {kind}, unit binary, copies long, place int, ids binary")
+    pieces = pieces.select("doc_id", "unit", "place", "ids", _turns())
+    digest, place = _digest()
+    pieces = pieces.select(place.alias("shard"), digest.alias("digest"), "unit", "place", "copy", "doc_id", "ids").mapInArrow(to_shard, f"shard int, digest long, unit binary, place int, copy int, doc_id {kind}, ids binary")
+    dealt = pieces.repartitionById(len(sizes), F.col("shard")).sortWithinPartitions("shard", "digest", "unit", "place", "copy")
+    return written(dealt.select("shard", "place", "doc_id", "ids").mapInArrow(write, f"slot long, shard int, file string, record long, doc_id {kind}, start long, n_tokens long, ids_crc32 long"), "shard-index")
+
 
-    shards = max(1, -(-total // shard))
-    dealt = sorted_.mapInArrow(cut, f"slot long, shard int, doc_id {kind}, start long, ids binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    return written(dealt.mapInArrow(write, f"slot long, shard int, file string, doc_id {kind}, start long, n_tokens long, ids_crc32 long"), "shard-index")
+def _taken(rows: pa.RecordBatch, held: list[int], places: list[int], parts: list[bytes], names: list[str]) -> pa.RecordBatch:
+    some = rows.take(pa.array(held))
+    return pa.RecordBatch.from_arrays([*some.columns, pa.array(places, pa.int32()), pa.array(parts, pa.binary())], names=names)
 
 
 def _ids(record: bytes, width: str) -> np.ndarray:
@@ -195,7 +211,7 @@ def read_slots(folder: str, name: str, first: int, n: int, length: int = LENGTH,
             yield _ids(source.read(stride(length, width)), width)
 
 
-def verified(index: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, tokenizer: str | None = None) -> DataFrame:
+def verified(index: DataFrame, folder: str, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """``index`` with the byte offset of each record, each record having been read from
     its shard again; a record that differs from its digest is an error."""
     width = token_type(tokenizer)
@@ -204,19 +220,18 @@ def verified(index: DataFrame, folder: str, length: int = LENGTH, shard: int = S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, now = None, None
         for batch in batches:
-            slots, names, sums = batch.column(0).to_numpy(), batch.column(2).to_pylist(), batch.column(6).to_pylist()
-            offsets = (slots % shard) * size
-            for name, at, crc in zip(names, offsets.tolist(), sums, strict=True):
+            names, records, sums = batch.column(2).to_pylist(), batch.column(3).to_numpy(), batch.column(7).to_pylist()
+            for name, at, crc in zip(names, (records * size).tolist(), sums, strict=True):
                 if name != now:
                     source, now = files.read(folder, name), name
                 if source.tell() != at:
                     source.seek(at)
                 if zlib.crc32(_ids(source.read(size), width).tobytes()) != crc:
                     raise ValueError(f"a record of {name} differs from its digest")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(offsets)], names=[*batch.schema.names, "byte_offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(records * size)], names=[*batch.schema.names, "byte_offset"])
 
     kind = index.schema["doc_id"].dataType.simpleString()
-    return index.mapInArrow(run, f"slot long, shard int, file string, doc_id {kind}, start long, n_tokens long, ids_crc32 long, byte_offset long")
+    return index.mapInArrow(run, f"slot long, shard int, file string, record long, doc_id {kind}, start long, n_tokens long, ids_crc32 long, byte_offset long")
 
 
 def shards(docs: DataFrame) -> DataFrame:

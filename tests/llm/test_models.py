@@ -149,12 +149,15 @@ def test_shards_round_trip(spark):
     docs = spark.read.parquet(f"{SF01}/documents.parquet").limit(120).unionByName(odd(spark))
     folder = new_path(spark, "shards")
     index = token_shards.materialise(docs, folder, length=64, shard=50)
-    rows = sorted(token_shards.verified(index, folder, length=64, shard=50).collect(), key=lambda r: r.slot)
+    rows = sorted(token_shards.verified(index, folder, length=64).collect(), key=lambda r: r.slot)
     assert [r.slot for r in rows] == list(range(len(rows)))
     held = collections.defaultdict(list)
+    sizes = collections.Counter(r.shard for r in rows)
+    assert len(sizes) > 3 and sum(sizes.values()) == len(rows) and max(sizes.values()) < 100
+    assert [r.doc_id for r in rows] != sorted((r.doc_id for r in rows), key=str)
     for r in rows:
-        ids = next(token_shards.read_slots(folder, r.file, r.slot % 50, 1, 64)).tolist()
-        assert len(ids) == r.n_tokens and r.shard == r.slot // 50 and r.byte_offset == r.slot % 50 * 132
+        ids = next(token_shards.read_slots(folder, r.file, r.record, 1, 64)).tolist()
+        assert len(ids) == r.n_tokens and r.record == r.slot - sum(n for x, n in sizes.items() if x < r.shard) and r.byte_offset == r.record * 132
         held[r.doc_id, r.start].append(ids)
     expect = collections.defaultdict(list)
     for r in docs.collect():
