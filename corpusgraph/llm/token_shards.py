@@ -152,7 +152,8 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
                 raise ValueError(f"shard {now} has {len(t)} sequences, not {sizes[now]}")
             places = Permutation(len(t), key + 1 + now).slot(np.arange(len(t)))
             records, counts, sums = np.zeros((len(t), size), dtype=np.uint8), [], []
-            for at, raw in zip(places.tolist(), t["ids"].to_pylist(), strict=True):
+            for at, value in zip(places.tolist(), t["ids"], strict=True):
+                raw = value.as_py()
                 values = np.frombuffer(raw, width)
                 records[at, :4] = np.frombuffer(struct.pack("<I", len(values)), np.uint8)
                 records[at, 4 : 4 + len(raw)] = np.frombuffer(raw, np.uint8)
@@ -162,8 +163,7 @@ def materialise(docs: DataFrame, folder: str, length: int = LENGTH, shard: int =
             with stream:
                 stream.write(records.data)
             back = pa.array(np.argsort(places))  # rows in slot order, as they will be read
-            own = t.combine_chunks().take(back)
-            n = len(t)
+            n, own = len(t), t.select(["doc_id", "place"]).combine_chunks().take(back)
             columns = [pa.array(first[now] + np.arange(n)), pa.array([now] * n, pa.int32()), pa.array([name] * n), pa.array(np.arange(n)), own["doc_id"].combine_chunks(), pa.array(own["place"].to_numpy().astype(np.int64) * length), pa.array(counts, pa.int64()).take(back), pa.array(sums, pa.int64()).take(back)]
             return pa.RecordBatch.from_arrays(columns, names=["slot", "shard", "file", "record", "doc_id", "start", "n_tokens", "ids_crc32"])
 
