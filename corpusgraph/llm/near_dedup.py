@@ -290,7 +290,9 @@ def relatives(base: DataFrame, heads: DataFrame, width: int) -> DataFrame:
     """``(node, n_shingles, sketch, shingles)`` of ``heads(node, unit, n_shingles, sketch)``
     with the sets of their texts, from ``base(doc_id, unit, text)``."""
     n = heads.count()
-    texts = base.select("unit", "text").join(small(heads.select("node", "unit", "n_shingles", "sketch"), n), "unit").dropDuplicates(["node"])
+    # ids and digests alone may be broadcast; sketches meet the texts by node
+    texts = base.select("unit", "text").join(small(heads.select("node", "unit"), n), "unit").dropDuplicates(["node"])
+    texts = texts.join(heads.select("node", "n_shingles", "sketch").hint("merge"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
