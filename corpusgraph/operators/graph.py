@@ -6,10 +6,11 @@ relations by (user_id, source, target, relation_type).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..sources.scratch import written
 from .ranking import ranked, top
 
 REL = ["user_id", "source", "target", "relation_type"]
@@ -46,10 +47,29 @@ def build_graph(documents: DataFrame, chunks: DataFrame, chunk_entities: DataFra
     }
 
 
+def _grams(low: Column, size: int) -> Column:
+    """All pieces of ``size`` characters; null where there are none."""
+    return F.when(F.length(low) >= size, F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
+
+
+def names_containing(names: DataFrame, terms: DataFrame) -> DataFrame:
+    """``names(user_id, name, ...)`` with each distinct ``term`` of ``terms(user_id, term)`` that
+    the name contains in any case. A term finds its candidates by the rarest of its pieces of
+    three characters (all of a shorter term), so names and terms of a tenant never meet as
+    pairs; candidates are then verified. An empty term is in every name, a null one in none."""
+    low, asked = F.lower("name"), terms.select("user_id", "term").distinct()
+    pieces = F.flatten(F.filter(F.array(F.array(F.lit("")), *(_grams(low, n) for n in (1, 2, 3))), lambda x: x.isNotNull()))
+    parts = asked.select("user_id", "term", F.explode(F.array_distinct(F.coalesce(_grams(F.lower("term"), 3), F.array(F.lower("term"))))).alias("gram"))
+    held = names.select("*", F.explode(F.array_distinct(pieces)).alias("gram")).join(parts.select("user_id", "gram").distinct(), ["user_id", "gram"], "left_semi")
+    counts = held.groupBy("user_id", "gram").agg(F.count("*").alias("n"))
+    rarest = parts.join(counts, ["user_id", "gram"], "left").groupBy("user_id", "term").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
+    return held.join(rarest, ["user_id", "gram"]).where(F.contains(F.lower("name"), F.lower("term"))).drop("gram")
+
+
 def search_entities(entities: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """``(user_id, term, name, type, rank)``: names that contain a term of ``terms(user_id,
     term)`` in any case, by name."""
-    hit = entities.join(terms, "user_id").where(F.contains(F.lower("name"), F.lower("term")))
+    hit = names_containing(entities.select("user_id", "name", "type"), terms)
     return top(hit.select("user_id", "term", "name", "type"), ["user_id", "term"], ["name"], limit)
 
 
@@ -58,16 +78,24 @@ def related_entities(centres: DataFrame, relations: DataFrame, depth: int = 2, l
     in either direction, no edge used twice. Rows ``(user_id, centre, hops, end, types)``,
     at most ``limit`` per centre by (hops, end, types); a centre without edges has one row
     without end. Edges report every type on a path as ``(user_id, source = centre,
-    relation_type, target = end)``."""
+    relation_type, target = end)``.
+
+    Fewer hops come first, so each hop is cut to ``limit`` rows of a centre and a centre that
+    has them all goes no further: a step starts from less than ``limit`` paths of a centre."""
     depth = depth if depth in (1, 2, 3) else 2
     edges = relations.select(*REL).withColumn("edge", F.concat_ws("|", "source", "relation_type", "target"))
     both = edges.select("user_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation_type", "edge").unionByName(edges.where("source <> target").select("user_id", F.col("target").alias("a"), F.col("source").alias("b"), "relation_type", "edge"))
     front = centres.select("user_id", "centre", F.col("centre").alias("a"), F.lit(0).cast("long").alias("hops"), F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<string>)").alias("used"))
     paths = None
-    for _ in range(depth):
+    for hop in range(depth):
         step = front.join(both, ["user_id", "a"]).where(~F.array_contains("used", F.col("edge")))
-        front = step.select("user_id", "centre", F.col("b").alias("a"), (F.col("hops") + 1).alias("hops"), F.concat("types", F.array("relation_type")).alias("types"), F.concat("used", F.array("edge")).alias("used"))
-        paths = front if paths is None else paths.unionByName(front)
+        step = step.select("user_id", "centre", F.col("b").alias("a"), (F.col("hops") + 1).alias("hops"), F.concat("types", F.array("relation_type")).alias("types"), F.concat("used", F.array("edge")).alias("used"))
+        found = top(step, ["user_id", "centre"], ["a", "types", "used"], limit).drop("rank")
+        if hop + 1 < depth:
+            found = written(found, "hop")
+        paths = found if paths is None else paths.unionByName(found)
+        full = paths.groupBy("user_id", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
+        front = found.join(full, ["user_id", "centre"], "left_anti")
     cut = top(paths.withColumnRenamed("a", "end"), ["user_id", "centre"], ["hops", "end", "types", "used"], limit).select("user_id", "centre", "hops", "end", "types")
     rows = centres.select("user_id", "centre").join(cut, ["user_id", "centre"], "left")
     found = cut.select("user_id", F.col("centre").alias("source"), F.explode("types").alias("relation_type"), F.col("end").alias("target")).distinct()
@@ -189,7 +217,7 @@ def final_targets(pairs: DataFrame, rounds: int = 20) -> DataFrame:
         moved = now.join(ahead, ["user_id", "target"], "left")
         if moved.where("next is not null").isEmpty():
             return now
-        now = moved.select("user_id", "source", F.coalesce("next", "target").alias("target")).where("source <> target").persist()
+        now = written(moved.select("user_id", "source", F.coalesce("next", "target").alias("target")).where("source <> target"), "targets")
     return now.join(now.select("user_id", F.col("source").alias("target")), ["user_id", "target"], "left_anti")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import math
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,16 +43,32 @@ def fold(events: Iterable[tuple[str, str | None]], status: str = "pending", erro
 
 def fold_status(events: DataFrame) -> DataFrame:
     """``(doc_id, status, error_message, applied, rejected)`` of ``events(doc_id, id, ts,
-    status, error_message)``, folded in the order of (ts, id) from ``pending``. The order
-    is what makes this sequential: one document's events meet in one task, as small rows."""
+    status, error_message)``, folded in the order of (ts, id; null last) from ``pending``. The
+    order makes this sequential: one document's events meet in one task, where only the state
+    is carried from batch to batch, however many they are."""
     kind = events.schema["doc_id"].dataType.simpleString()
+    ordered = events.select("doc_id", "id", "ts", "status", "error_message").repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("ts"), F.asc_nulls_last("id"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "id"], kind="stable")
-        messages = [None if pd.isna(x) else x for x in part["error_message"]]
-        return pd.DataFrame([(part["doc_id"].iloc[0], *fold(zip(part["status"], messages, strict=True)))], columns=["doc_id", "status", "error_message", "applied", "rejected"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, state, types = None, None, None
 
-    return events.select("doc_id", "id", "ts", "status", "error_message").groupBy("doc_id").applyInPandas(run, f"doc_id {kind}, {STATE}")
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], k) for i, k in enumerate(types)], names=["doc_id", "status", "error_message", "applied", "rejected"])
+
+        for batch in batches:
+            types = [batch.schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.int64()]
+            found = []
+            for doc, target, message in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if state is None or doc != held:
+                    if state is not None:
+                        found.append((held, *state))
+                    held, state = doc, ("pending", None, 0, 0)
+                state = fold([(target, message)], *state)
+            yield rows(found)
+        if state is not None:
+            yield rows([(held, *state)])
+
+    return ordered.mapInArrow(run, f"doc_id {kind}, {STATE}")
 
 
 def fold_status_without_resets(events: DataFrame) -> DataFrame:
@@ -100,12 +117,20 @@ def admit(times: Iterable[float], live: list[float], most: int, window: float) -
 
 def throttle(requests: DataFrame, most: int, window: float) -> DataFrame:
     """``requests(key, id, t)`` with ``allowed`` and ``retry_after``, replayed per key in the
-    order of (t, id)."""
+    order of (t, id; null last). A key's live hits, ``most`` at most, are carried from batch to
+    batch."""
     kind = f"key {requests.schema['key'].dataType.simpleString()}, id {requests.schema['id'].dataType.simpleString()}, t double"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["t", "id"], kind="stable")
-        flags, _ = admit(part["t"].tolist(), [], most, window)
-        return part.assign(allowed=[a for a, _ in flags], retry_after=[r for _, r in flags])
-
-    return requests.select("key", "id", F.col("t").cast("double").alias("t")).groupBy("key").applyInPandas(run, f"{kind}, allowed boolean, retry_after long")
+    ordered = requests.select("key", "id", F.col("t").cast("double").alias("t")).repartition("key").sortWithinPartitions("key", F.asc_nulls_last("t"), F.asc_nulls_last("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, live = None, None
+        for batch in batches:
+            flags = []
+            for key, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if live is None or key != held:
+                    held, live = key, []
+                one, live = admit([math.nan if t is None else t], live, most, window)
+                flags += one
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in flags], pa.bool_()), pa.array([r for _, r in flags], pa.int64())], names=["key", "id", "t", "allowed", "retry_after"])
+
+    return ordered.mapInArrow(run, f"{kind}, allowed boolean, retry_after long")

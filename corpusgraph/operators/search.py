@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..functions import text, vocab
 from .ranking import ranked, top
@@ -199,7 +198,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, index: B
     kept = dedup_queries(valid).select("user_id", "query_id", "variant_no")
     asked = valid.join(kept, ["user_id", "query_id", "variant_no"])
     graph_hits = graph_channel(query_entities, mentions, "auto", top_k) if query_entities is not None else None
-    fused = hybrid(asked, vectors, index, graph_hits=graph_hits).persist(StorageLevel.MEMORY_AND_DISK)
+    fused = hybrid(asked, vectors, index, graph_hits=graph_hits)
     head = asked.where("variant_no = 0")
     best = rerank(fused, head, chunks, top_k, scorer)
     return expand(best, chunks, top_k)
@@ -209,13 +208,13 @@ def graph_query(queries: DataFrame, vectors: DataFrame, mentions: DataFrame, ent
     """Entities of the ``k`` nearest chunks of each query (by name where there are none),
     the first ``names`` of them as centres, and their neighbourhoods. Returns nodes
     ``(query_id, name, role)`` and edges ``(query_id, source, relation_type, target)``."""
-    from .graph import related_entities
+    from .graph import names_containing, related_entities
     from .vectors import vector_search
 
     near = vector_search(queries, vectors, k)
     found = near.join(mentions, ["user_id", "chunk_id"]).select("user_id", "query_id", F.col("entity_name").alias("name")).distinct()
-    missing = queries.join(found.select("user_id", "query_id").distinct(), ["user_id", "query_id"], "left_anti").where("query_text is not null")
-    named = missing.join(entities.select("user_id", "name"), "user_id").where(F.contains(F.lower("name"), F.lower("query_text"))).select("user_id", "query_id", "name")
+    missing = queries.join(found.select("user_id", "query_id").distinct(), ["user_id", "query_id"], "left_anti").where("query_text is not null").select("user_id", "query_id", F.col("query_text").alias("term"))
+    named = names_containing(entities.select("user_id", "name"), missing).join(missing, ["user_id", "term"]).select("user_id", "query_id", "name")
     found = found.unionByName(top(named, ["user_id", "query_id"], ["name"], fallback).drop("rank"))
     centres = top(found, ["user_id", "query_id"], ["name"], names).select("user_id", "query_id", F.col("name").alias("centre"))
     rows, edges = related_entities(centres.select("user_id", "centre").distinct(), relations, depth)

@@ -146,6 +146,42 @@ def test_paths_equal_brute_force(spark, depth):
         assert {(r.hops, r.end, tuple(r.types)) for r in got.where(F.col("centre") == c).collect()} == brute_paths(edges, c, depth if depth < 4 else 2)
 
 
+def test_paths_stop_where_a_centre_has_its_rows(spark):
+    edges = [("H", f"n{i:02}", "USES") for i in range(12)] + [(f"n{i:02}", f"m{i:02}", "OWNS") for i in range(12)] + [("m00", "z", "USES")]
+    relations = spark.createDataFrame([(1, *e) for e in edges], "user_id long, source string, target string, relation_type string")
+    centres = spark.createDataFrame([(1, c) for c in ("H", "m00", "alone")], "user_id long, centre string")
+    for limit in (1, 5, 12, 13, 20):
+        got, _ = graph.related_entities(centres, relations, 3, limit)
+        for c in ("H", "m00"):
+            assert sorted((r.hops, r.end, tuple(r.types)) for r in got.where(F.col("centre") == c).collect()) == sorted(brute_paths(edges, c, 3))[:limit]
+        assert [r.end for r in got.where("centre = 'alone'").collect()] == [None]
+
+
+def test_names_containing_equals_brute_force(spark):
+    names = [(1, "Anna Bell"), (1, "annabel"), (1, "Ünal"), (1, "ab"), (1, ""), (1, None), (2, "Anna Bell"), (1, "知识图谱")]
+    terms = [(1, "ANNA"), (1, "ANNA"), (1, "b"), (1, "ab"), (1, ""), (1, None), (1, "bel"), (1, "zzz"), (2, "nna b"), (3, "a"), (1, "ü"), (1, "图谱"), (1, "annabella")]
+    got = graph.names_containing(spark.createDataFrame(names, "user_id long, name string"), spark.createDataFrame(terms, "user_id long, term string"))
+    want = [(u, n, t) for u, n in names for v, t in set(terms) if u == v and n is not None and t is not None and t.lower() in n.lower()]
+    assert rows(got, "user_id", "name", "term") == sorted(want)
+
+
+def test_status_fold_carries_its_state(spark):
+    rng = random.Random(2)
+    kinds = ["document_created", "indexed", "graphed", "ready", "failed", "pending", "unknown"]
+    events = [(rng.choice([None, 1, 2, 3]), i, rng.randrange(40), rng.choice(kinds), "e") for i in range(500)]
+    frame = spark.createDataFrame(events, "doc_id long, id long, ts long, status string, error_message string").repartition(5)
+    small = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in lifecycle.fold_status(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", small)
+    for doc in (None, 1, 2, 3):
+        own = sorted((x for x in events if x[0] == doc), key=lambda x: (x[2], x[1]))
+        assert got[doc] == lifecycle.fold([(x[3], x[4]) for x in own])
+    assert lifecycle.fold_status(frame.limit(0)).count() == 0
+
+
 def test_build_graph(spark):
     stamped = spark.createDataFrame([(1, "c1", "A", "X", "old", 1), (1, "c2", "A", "Y", None, 2), (1, "c2", "a", None, None, 2)], "user_id long, chunk_id string, name string, type string, description string, updated_at int")
     chunks = spark.createDataFrame([(1, "d", "c1", None, "c2"), (1, "d", "c2", "c1", None)], "user_id long, document_id string, chunk_id string, prev_chunk_id string, next_chunk_id string")
