@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_dedup, packing, pii, quality, token_shards, topk, toxicity, warc
+from . import decontaminate, divergence, langid, merkle, mixing, near_dedup, packing, pii, quality, token_shards, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), when=remainder(7) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_top_k": op2_top_k,
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_contamination": op12_contamination,
+    "op13_merkle": op13_merkle,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -126,5 +141,50 @@ _NEAR = f"""with recursive d as (select doc_id, regexp_extract_all(translate(coa
   c as (select doc_id, min(to_id) as component_id from reach group by 1)
 select s.doc_id, len(x)::bigint as n_shingles, component_id, s.doc_id = component_id as kept from s join c on s.doc_id = c.doc_id"""
 
+_TERMS = r"regexp_extract_all({0}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_DIVERGENCE = f"""with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text from documents),
+  w as (select r, lang, source, unnest({_TERMS.format("text")}) as term from d),
+  t as (select lang, term, count(*) as total from w group by 1, 2 having count(distinct r) >= 3),
+  v as (select g.lang, count(term) as v, coalesce(sum(total), 0)::hugeint as n from (select distinct lang from d) g left join t on t.lang = g.lang group by 1),
+  c as (select w.lang, w.source, w.term, count(*) as n from w join t on t.lang = w.lang and t.term = w.term group by 1, 2, 3),
+  g as (select x.lang, x.source, coalesce(sum(c.n), 0)::hugeint as n from (select distinct lang, source from d) x left join c on c.lang = x.lang and c.source = x.source group by 1, 2),
+  p as (select g.lang, g.source, t.term, coalesce(c.n, 0) as count, (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (g.n + v.v))::bigint as p, (1 + (1000000000::hugeint * (t.total + 1)) // (v.n + v.v))::bigint as q
+    from g join v on v.lang = g.lang join t on t.lang = g.lang left join c on c.lang = g.lang and c.source = g.source and c.term = t.term),
+  pairs as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p)::bigint as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+  every as (select a.lang, a.source, b.source as item from g a join g b on a.lang = b.lang and a.source <> b.source),
+  x as (select e.lang, e.source, 'pair' as part, e.item, coalesce(value, 0) as value from every e left join pairs s on s.lang = e.lang and s.source = e.source and s.item = e.item
+    union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from p where count > 0 and p > q),
+  r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from x)
+select * from r where part = 'pair' or rank <= 200"""
+
+_WINDOWS = r"regexp_extract_all({0}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION = f"""with d as (select row_number() over () as r, doc_id, {_WINDOWS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as ws from documents),
+  i as (select item_id, {_WINDOWS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} as ws from benchmark),
+  g as (select distinct item_id, least(len(ws), 10) as w, unnest(case when len(ws) = 0 then [] else list_transform(range(greatest(len(ws) - 9, 1)), lambda k: array_to_string(ws[k::int + 1 : k::int + 10], ' ')) end) as gram from i),
+  s as (select r, w, unnest(range(1, len(ws) - w + 2)) as pos, unnest(list_transform(range(1, len(ws) - w + 2), lambda k: array_to_string(ws[k::int : k::int + w::int - 1], ' '))) as gram from d, (select distinct w from g) x where len(ws) >= w),
+  found as (select r, pos, s.w, item_id from s join g on s.w = g.w and s.gram = g.gram),
+  hit as (select r, count(distinct pos + k) as n from (select r, pos, unnest(range(w)) as k from (select distinct r, pos, w from found) z) y group by 1),
+  named as (select r, count(distinct item_id) as n, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found group by 1)
+select doc_id, len(ws) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated from d left join hit on hit.r = d.r left join named on named.r = d.r"""
+
+_FIELD = "coalesce(octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar, '-')"
+_LEAF = " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", "text"))
+_CHANGED = _LEAF.replace("n_chars", "(n_chars + 1)")
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: list_concat([ord(c)::bigint], list_transform(range(8), lambda k: -1::bigint))))),
+    lambda x, y: case when y >= 0 then xor(x, y) when x % 2 = 1 then xor(x >> 1, 3988292384) else x >> 1 end), 4294967295)"""
+_MERKLE = f"""with recursive e as (select row_number() over () as r, doc_id, lang, sha256({_LEAF}) as leaf, case when {_CRC32} % 7 = 0 then sha256({_CHANGED}) end as changed from documents),
+  d as (select *, dense_rank() over (order by lang nulls first) - 1 as tree, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos from e),
+  low(tree, lvl, i, n, h) as (select tree, 0, pos, count(*) over (partition by tree), leaf from d
+    union all select tree, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from low where n > 1 group by tree, lvl, i // 2, n),
+  top(lvl, i, n, h) as (select 0, tree, count(*) over (), h from low where n = 1
+    union all select lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' order by i)) from top where n > 1 group by lvl, i // 2, n),
+  steps as (select r, v.lvl, case when s.h is null then '-' when (pos >> v.lvl) % 2 = 1 then 'L' || s.h else 'R' || s.h end as x from d join (select distinct tree, lvl from low where n > 1) v on v.tree = d.tree left join low s on s.tree = d.tree and s.lvl = v.lvl and s.i = xor(pos >> v.lvl, 1)
+    union all select r, 1000 + v.lvl, case when s.h is null then '-' when (tree >> v.lvl) % 2 = 1 then 'L' || s.h else 'R' || s.h end from d, (select distinct lvl from top where n > 1) v left join top s on s.lvl = v.lvl and s.i = xor(tree >> v.lvl, 1)),
+  w as (select r, list(x order by lvl) as xs from steps group by 1),
+  f as (select d.*, low.h as subroot, top.h as root, sha256(coalesce(array_to_string(list_transform(xs, lambda x: substr(x, 2)), ''), '')) as proof_sha256,
+    list_reduce(list_concat([coalesce(changed, leaf)], coalesce(xs, [])), lambda a, x: case when x = '-' then sha256(a) when x[1] = 'L' then sha256(substr(x, 2) || a) else sha256(a || substr(x, 2)) end) as folded_root
+    from d join low on low.tree = d.tree and low.n = 1 join top on top.n = 1 left join w on w.r = d.r)
+select doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root as verified from f"""
+
 #: Tokenization, trained models, span positions and Newton steps are beyond SQL.
-ORACLES: dict[str, str] = {"op2_top_k": _TOP_K, "op4_warc": _WARC, "op5_quality": _QUALITY, "op8_near_duplicates": _NEAR}
+ORACLES: dict[str, str] = {"op2_top_k": _TOP_K, "op4_warc": _WARC, "op5_quality": _QUALITY, "op8_near_duplicates": _NEAR, "op11_divergence": _DIVERGENCE, "op12_contamination": _CONTAMINATION, "op13_merkle": _MERKLE}

@@ -56,10 +56,11 @@ class Block:
         self.buf, self.bounds, self.first = buf, bounds, first
         self.n = len(bounds) - 1
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def words(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends (byte offsets) of all words, and per text the index of
-        its first word (one more entry closes the last text)."""
-        keep = ~_WS[self.buf]
+        its first word (one more entry closes the last text). ``keep`` tells the bytes of
+        words, if they are others than those that aren't white space."""
+        keep = ~_WS[self.buf] if keep is None else keep
         inner = self.bounds[1:-1]
         inner = inner[inner < len(self.buf)]
         before = np.empty_like(keep)
