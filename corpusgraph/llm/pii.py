@@ -31,9 +31,13 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DIGITS = "0123456789"
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AFTER_CUE = re.compile(r"(?:[ _-]?(?:number|no|nr|id|key))?[\x20\t]{0,3}(?:[:=#]|is\b)?[\x20\t]{0,3}[\"']?")
-_ACCOUNT = re.compile(r"[A-Za-z]{0,4}[0-9](?:[\x20./-]?[0-9A-Z]){5,33}(?![0-9A-Za-z])")
-_SECRET = re.compile(r"[A-Za-z0-9+/_=.~!$-]{8,}")
-_URL = re.compile(r"[^\s\"'<>|\\^`{}]+")
+# a token with a digit, then such tokens (a bank's letters may come between), whatever their number
+_ACCOUNT = re.compile(r"[A-Za-z]*+[0-9][0-9A-Za-z]*+(?:[\x20./-](?:[A-Z]{1,4}[\x20./-])?[A-Z]*+[0-9][0-9A-Z]*+(?![a-z]))*+")
+_SECRET = re.compile(r"[^\s\"'`]+")
+_CLOSING = ",;)]}>"
+_URL_END = re.compile(r"[\s\"'<>|\\^`{}]")
+#: Characters after an IBAN's cue that can belong to it: 34, and separators.
+_IBAN_REACH = 70
 
 
 @lru_cache(maxsize=1)
@@ -147,6 +151,81 @@ def _phones(text: str, marks: list[int]) -> Iterator[tuple[int, int]]:
                 yield found.span()
 
 
+def _values(text: str, cues: list[tuple[int, str]], kinds: tuple[str, ...]) -> Iterator[tuple[str, int]]:
+    """Where the values after the cues of ``kinds`` begin; a cue inside a word is none."""
+    for end, cue in cues:
+        if cue in kinds and not (end > len(cue) and text[end - len(cue) - 1].isalnum()):
+            yield cue, _AFTER_CUE.match(text, end).end()
+
+
+def _accounts(text: str, cues: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """Account numbers of six digits or more, to their last token. A cue inside the run that was read last
+    has no value of its own: it is in that span, or the run has too few digits."""
+    done = 0
+    for cue, at in _values(text, cues, ACCOUNT_CUES):
+        if at < done:
+            continue
+        if cue == "iban":  # the longest beginning that ends a token and has valid check digits
+            if value := _ACCOUNT.match(text, at, at + _IBAN_REACH):
+                stop = value.end()
+                ends = [stop, *(k for k in range(stop - 1, at, -1) if text[k] in " ./-")]
+                if stop := next((k for k in ends if iban(text[at:k]) and not text[k : k + 1].isalnum()), 0):
+                    done = stop
+                    yield at, stop
+        elif value := _ACCOUNT.match(text, at):
+            done = value.end()
+            if sum(map(str.isdigit, value.group())) >= 6:
+                yield value.span()
+
+
+def _secrets(text: str, cues: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """Secrets: eight characters or more up to white space or a quote, with a digit among other characters;
+    after an equals sign, a colon or a quote any that isn't a plain word, and in quotes any. A cue
+    inside the run that was read last is its rest."""
+    done = 0
+    for _, at in _values(text, cues, SECRET_CUES):
+        if at < done or not (value := _SECRET.match(text, at)):
+            continue
+        done = stop = value.end()
+        while stop > at and text[stop - 1] in _CLOSING:
+            stop -= 1
+        if stop - at < 8:
+            continue
+        value, quoted = text[at:stop], text[at - 1] in "\"'"
+        mixed = any(map(str.isdigit, value)) and not value.isdigit()
+        if quoted or mixed or (_set(text, at) and not value.rstrip(".!?:").isalpha()):
+            yield at, stop
+
+
+def _set(text: str, at: int) -> bool:
+    """Whether an equals sign or a colon stands before ``at``, perhaps with spaces between."""
+    while at > 0 and text[at - 1] in " \t":
+        at -= 1
+    return at > 0 and text[at - 1] in ":="
+
+
+def _urls(text: str, schemes: list[tuple[int, str]]) -> Iterator[tuple[int, int]]:
+    """URLs with a user in them, and ``tel:`` ones, to the end of their run. A run is measured once, however
+    many schemes it has; a user is looked for between a scheme and the next slash."""
+    done = last = floor = 0  # the end of the run of the last scheme, without closing marks, and the scheme's own
+    for at, cue in schemes:
+        if at >= done:
+            found = _URL_END.search(text, at)
+            done = last = found.start() if found else len(text)
+            while last > at and text[last - 1] in ".,;:!?)":
+                last -= 1
+        start = at
+        if cue == "://":
+            while start > floor and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
+                start -= 1
+            slash = text.find("/", at + 3, done)
+            if text.find("@", at + 3, slash if slash >= 0 else done) < 0:
+                floor = at + 1
+                continue
+        floor = at + 1
+        yield start, max(last, start)
+
+
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """Spans ``(start, end)`` in code points of each kind, by start; a null or empty
     text has none."""
@@ -169,32 +248,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             cues.append((last + 1, cue))
     out["email"] = list(_emails(text, marks))
     out["ip"], out["card"], out["phone"] = list(_addresses(text, dots)), list(_cards(text, digits)), list(_phones(text, pluses))
-    run = (0, 0)  # the last token after a secret's cue: one that starts inside it is its rest
-    for end, cue in cues:
-        if end - len(cue) > 0 and text[end - len(cue) - 1].isalnum():
-            continue
-        lead = _AFTER_CUE.match(text, end)
-        if cue in ACCOUNT_CUES:
-            value = _ACCOUNT.match(text, lead.end())
-            if value:
-                start, stop = value.span()
-                if cue == "iban":  # the longest beginning that ends a token and has valid check digits
-                    ends = [stop, *(k for k in range(stop - 1, start, -1) if text[k] in " ./-")]
-                    stop = next((k for k in ends if iban(text[start:k])), start)
-                if sum(map(str.isdigit, text[start:stop])) >= 6:
-                    out["account"].append((start, stop))
-        elif not run[0] <= lead.end() < run[1] and (value := _SECRET.match(text, lead.end())):
-            run = value.span()
-            if any(map(str.isdigit, value.group())) and not value.group().isdigit():
-                out["secret"].append(value.span())
-    for at, cue in schemes:
-        start = at
-        if cue == "://":
-            while start > 0 and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+.-"):
-                start -= 1
-        found = _URL.match(text, start)
-        if found and (cue == "tel:" or "@" in found.group()[at - start + 3 :].split("/")[0]):
-            out["url"].append((start, start + len(found.group().rstrip(".,;:!?)"))))
+    out["account"], out["secret"], out["url"] = list(_accounts(text, cues)), list(_secrets(text, cues)), list(_urls(text, schemes))
     for kind in KINDS[4:]:
         kept: list[tuple[int, int]] = []
         for span in sorted(set(out[kind])):
