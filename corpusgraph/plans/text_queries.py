@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, vocab
 from ..operators import chunking
 from ..sources import scratch, tables
 from .registry import Tables, query
@@ -115,9 +115,9 @@ def whole_and_intro(t: Tables):
     return chunking.sections(t.t_markdown).where("level = 0").select("document_id", F.array_join("path", " > ").alias("path"), F.length("content").cast("long").alias("n"))
 
 
-@query(
-    "chk4_split_text",
-    r"""with recursive p as (select id, unnest(regexp_split_to_array(content, '\n\s*\n')) as p, unnest(range(len(regexp_split_to_array(content, '\n\s*\n')))) as i from t_documents where length(content) > 500),
+def split_sql(source: str, longer: str) -> str:
+    """Parts ``f(id, parts)`` of the texts ``source(id, content)``: those with ``longer`` are split, the others whole."""
+    return rf"""p as (select id, unnest(regexp_split_to_array(content, '\n\s*\n')) as p, unnest(range(len(regexp_split_to_array(content, '\n\s*\n')))) as i from {source} where {longer}),
        u as (select id, i, unnest(case when length(p) > 500 then string_split(regexp_replace(p, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)) else [p] end) as x,
          unnest(range(case when length(p) > 500 then len(string_split(regexp_replace(p, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1))) else 1 end)) as j, case when length(p) > 500 then ' ' else chr(10) || chr(10) end as gap, length(p) > 500 as long from p),
        n as (select *, row_number() over (partition by id order by i, j) as k, count(*) over (partition by id) as total from u),
@@ -125,11 +125,12 @@ def whole_and_intro(t: Tables):
          select r.id, n.k, case when not (long and j = 0) and length(open) + length(gap) + length(x) <= 500 then case when open <> '' then open || gap || x else x end else x end,
            case when (not (long and j = 0) and length(open) + length(gap) + length(x) <= 500) or open = '' then parts else list_append(parts, open) end from r join n on n.id = r.id and n.k = r.k + 1),
        f as (select id, case when open <> '' then list_append(parts, open) else parts end as parts from r join (select distinct id, total from n) t using (id) where r.k = t.total
-         union all select id, [content] from t_documents where length(content) between 1 and 500)
-       select id, unnest(range(len(parts))) as part, unnest(parts) as content from f""",
-)
+         union all select id, [content] from {source} where not ({longer}) and content <> '')"""
+
+
+@query("chk4_split_text", f"with recursive {split_sql('t_documents', 'length(content) > 500')} select id, unnest(range(len(parts))) as part, unnest(parts) as content from f")
 def split_text(t: Tables):
-    parts = t.t_documents.select("id", F.posexplode(chunking.split_text("content")).alias("part", "content"))
+    parts = t.t_documents.select("id", F.posexplode_outer(chunking.split_text("content")).alias("part", "content")).where("part is not null")
     return parts.withColumn("part", F.col("part").cast("long"))
 
 
@@ -139,9 +140,31 @@ def add_overlap(t: Tables):
     return parts.select("document_id", F.posexplode(chunking.add_overlap(F.col("parts"), 10)).alias("ordinal", "content")).withColumn("ordinal", (F.col("ordinal") + 1).cast("long"))
 
 
-@query("chk6_chunk_documents")
+_TRIM = "trim({0}, ' ' || chr(10))"
+_CHUNKS = f"""with recursive {_HEADS}, cut as (select *, lead(line) over w as next_line, max(case when level = 1 then line end) over (w rows between unbounded preceding and 1 preceding) as p1,
+       arg_max(title, case when level = 1 then line end) over (w rows between unbounded preceding and 1 preceding) as t1 from heads window w as (partition by document_id order by line)),
+     whole as (select user_id, document_id, string_split(content, chr(10)) as ls from t_markdown),
+     sec as (select *, concat(document_id, case kind when 'intro' then ':a' else ':b' end, lpad(start_line::varchar, 9, '0')) as id from (
+       select w.user_id, document_id, line as start_line, coalesce(next_line, len(ls)) - 1 as end_line, level, case when level = 2 and p1 is not null then [t1, title] else [title] end as path, case when level = 2 then p1 end as parent_line, 'section' as kind,
+         {_TRIM.format("array_to_string(ls[line + 1 : coalesce(next_line, len(ls))], chr(10))")} as content from cut join whole w using (document_id)
+       union all select w.user_id, document_id, 0, first - 1, 0, ['Introduction'], null, 'intro', {_TRIM.format("array_to_string(ls[1 : first], chr(10))")} from (select document_id, min(line) as first from heads group by 1 having min(line) > 0) h join whole w using (document_id)
+       union all select user_id, document_id, 0, len(ls) - 1, 0, ['Document'], null, 'document', {_TRIM.format("array_to_string(ls, chr(10))")} from whole where document_id not in (select document_id from heads)) z where content <> ''),
+     {split_sql("sec", "length(content) > 500 and kind <> 'intro'")},
+     b as (select id, len(parts) as n, unnest(range(len(parts))) as part, unnest(parts) as body from f),
+     c as (select s.*, b.n, part, case when part = 0 then body else concat(right(lag(body) over (partition by b.id order by part), {vocab.OVERLAP_CHARS}), body) end as body,
+       case when part > 0 or (kind = 'document' and b.n > 1) then concat(b.id, '_', lpad(part::varchar, 6, '0')) else b.id end as chunk_id from b join sec s on s.id = b.id),
+     e as (select document_id, start_line, arg_max(chunk_id, part) as ancestor from c where kind = 'section' group by 1, 2)
+     select c.user_id, c.document_id, chunk_id, row_number() over w as ordinal, body as content, level, array_to_string(case when part > 0 and kind = 'section' then list_append(path, '[Part ' || (part + 1) || ']') else path end, ' > ') as path,
+       array_to_string(case when part > 0 and kind = 'section' then list_append(path, '[Part ' || (part + 1) || ']') else path end, ',') as hierarchy_path,
+       case when part = 0 or kind <> 'section' then ancestor when part = 1 then c.id else concat(c.id, '_', lpad((part - 1)::varchar, 6, '0')) end as parent_id,
+       lag(chunk_id) over w as prev_chunk_id, lead(chunk_id) over w as next_chunk_id, c.start_line, end_line
+       from c left join e on e.document_id = c.document_id and e.start_line = c.parent_line window w as (partition by c.document_id order by case kind when 'intro' then 0 else 1 end, c.start_line, part)"""
+
+
+@query("chk6_chunk_documents", _CHUNKS)
 def chunk_documents(t: Tables):
-    return chunking.chunk_documents(t.t_markdown).withColumn("path", F.array_join("path", " > "))
+    found = chunking.chunk_documents(t.t_markdown).withColumn("path", F.array_join("path", " > "))
+    return found.withColumns({x: F.col(x).cast("long") for x in ("level", "start_line", "end_line")})
 
 
 @query("chk7_next_links", "select user_id, prev_chunk_id as from_chunk, chunk_id as to_chunk from g_chunks where prev_chunk_id is not null")
