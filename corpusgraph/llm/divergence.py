@@ -197,7 +197,7 @@ def _away(p: str, q: str) -> Column:
 
 class Audit:
     """Terms, groups and cells of ``docs``, each a written table that both reports read.
-    ``groups(lang, source, g, v, p0)``: all groups, numbered in their language, with its number of kept terms and
+    ``groups(lang, source, g, v, p0, ...)``: all groups, numbered in their language, with its number of kept terms and
     the probability of a term that they lack. ``cells(lang, source, g, term, p, q, stripe)``: terms a group has."""
 
     def __init__(self, docs: DataFrame, least: int = 3, text: str = "text", lang: str = "lang", source: str = "source"):
@@ -205,26 +205,29 @@ class Audit:
         counts = written(term_counts(docs, text, lang, source), "counts")
         terms = written(counts.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).where(F.col("docs") >= least).drop("docs"), "terms")
         found = counts.drop("docs").join(terms, ["lang", "term"])
-        sizes = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
         every = written(docs.select(plain(lang, "lang"), plain(source, "source")).distinct(), "groups")
+        # one row per language, counted before it is sent to all: rows are never dealt by language
+        known = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("n_lang"))
+        spread = every.groupBy("lang").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("long").alias("n_blocks"))
+        langs = written(spread.join(known, "lang", "left").fillna(0, ["v", "n_lang"]), "langs")
+        sizes = small(langs, langs.count())
         held = found.groupBy("lang", "source").agg(F.sum("n").alias("n_group"))
-        sized = numbered(every, "lang", ["source"]).join(held, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n_group", "v", "n_lang"])
-        self.groups = written(sized.select("lang", "source", F.col("pos").alias("g"), "v", "n_group", "n_lang", _probability("0", "n_group").alias("p0")), "groups")
+        sized = numbered(every, "lang", ["source"]).join(held, ["lang", "source"], "left").fillna(0, ["n_group"]).join(sizes, "lang")
+        self.groups = written(sized.select("lang", "source", F.col("pos").alias("g"), "v", "n_blocks", "n_group", "n_lang", _probability("0", "n_group").alias("p0")), "groups")
         self.n_groups = self.groups.count()
         self.stripes = F.greatest(F.ceil(F.col("v") / STRIPE), F.lit(1)).cast("long")
         stripe = F.pmod(F.xxhash64("term"), self.stripes).alias("stripe")
         joined = found.join(small(self.groups, self.n_groups), ["lang", "source"])
-        self.cells = written(joined.select("lang", "source", "g", "term", _probability("n", "n_group").alias("p"), _probability("total", "n_lang").alias("q"), stripe), "cells")
-        self.widths = terms.join(sizes.select("lang", "v"), "lang").select("lang", stripe).groupBy("lang", "stripe").agg(F.count("*").alias("columns"))
+        self.cells = written(joined.select("lang", "source", "g", "term", _probability("n", "n_group").alias("p"), _probability("total", "n_lang").alias("q"), stripe, "n_blocks"), "cells")
+        self.widths = terms.join(sizes, "lang").select("lang", stripe).groupBy("lang", "stripe").agg(F.count("*").alias("columns"))
 
     def pairs(self) -> DataFrame:
         """``(lang, source, item, value)``: the divergence of each source from each other one of the
         language, over all its kept terms."""
         none = lambda kind: F.lit(None).cast(kind)
-        sizes = self.groups.groupBy("lang").agg((F.floor((F.count("*") - 1) / ROWS) + 1).cast("long").alias("n_blocks"))
-        heads = self.groups.select("lang", "g", none("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), self.stripes - 1)).alias("stripe"))
+        heads = self.groups.select("lang", "g", "n_blocks", none("string").alias("term"), F.col("p0").alias("p"), F.explode(F.sequence(F.lit(0).cast("long"), self.stripes - 1)).alias("stripe"))
         heads = heads.join(self.widths, ["lang", "stripe"], "left").withColumn("columns", F.coalesce("columns", F.lit(0).cast("long")))
-        rows = self.cells.select("lang", "g", "term", "p", "stripe", none("long").alias("columns")).unionByName(heads).join(sizes, "lang")
+        rows = self.cells.select("lang", "g", "n_blocks", "term", "p", "stripe", none("long").alias("columns")).unionByName(heads)
         own = F.floor(F.col("g") / ROWS).cast("long")
         dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))).withColumn("low", F.least(own, "other")).withColumn("high", F.greatest(own, "other"))
         parts = dealt.select("lang", "low", "high", "stripe", "g", "term", "p", "columns").groupBy("lang", "low", "high", "stripe").applyInArrow(_compare, "lang string, g long, h long, value long")
