@@ -6,7 +6,7 @@ relations by (user_id, source, target, relation_type).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
@@ -80,23 +80,33 @@ def related_entities(centres: DataFrame, relations: DataFrame, depth: int = 2, l
     without end. Edges report every type on a path as ``(user_id, source = centre,
     relation_type, target = end)``.
 
-    Fewer hops come first, so each hop is cut to ``limit`` rows of a centre and a centre that
-    has them all goes no further: a step starts from less than ``limit`` paths of a centre."""
+    A node's edges are first cut to the ``limit`` that come first (and as many as a path may have used
+    already) and kept as one sorted list, so a hub is no larger than any other node and a path goes on
+    along its list. Fewer hops come first, so each hop is cut to what a centre still lacks, and a centre
+    that has all its rows goes no further."""
     depth = depth if depth in (1, 2, 3) else 2
     edges = relations.select(*REL).withColumn("edge", F.concat_ws("|", "source", "relation_type", "target"))
     both = edges.select("user_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation_type", "edge").unionByName(edges.where("source <> target").select("user_id", F.col("target").alias("a"), F.col("source").alias("b"), "relation_type", "edge"))
-    front = centres.select("user_id", "centre", F.col("centre").alias("a"), F.lit(0).cast("long").alias("hops"), F.expr("cast(array() as array<string>)").alias("types"), F.expr("cast(array() as array<string>)").alias("used"))
+    first = top(both, ["user_id", "a"], ["b", "relation_type", "edge"], limit + depth - 1)
+    lists = first.groupBy("user_id", "a").agg(F.array_sort(F.collect_list(F.struct("b", "relation_type", "edge"))).alias("out"))
+    if depth > 1:
+        lists = written(lists, "adjacency")
+    none = F.expr("cast(array() as array<string>)")
+    front = centres.select("user_id", "centre", F.col("centre").alias("a"), none.alias("types"), none.alias("used"), F.lit(0).cast("long").alias("had"))
+    group = Window.partitionBy("user_id", "centre")
     paths = None
-    for hop in range(depth):
-        step = front.join(both, ["user_id", "a"]).where(~F.array_contains("used", F.col("edge")))
-        step = step.select("user_id", "centre", F.col("b").alias("a"), (F.col("hops") + 1).alias("hops"), F.concat("types", F.array("relation_type")).alias("types"), F.concat("used", F.array("edge")).alias("used"))
-        found = top(step, ["user_id", "centre"], ["a", "types", "used"], limit).drop("rank")
-        if hop + 1 < depth:
+    for hop in range(1, depth + 1):
+        step = front.join(lists, ["user_id", "a"])
+        ahead = F.slice(F.filter("out", lambda x: ~F.array_contains("used", x["edge"])), 1, limit)
+        step = step.select("user_id", "centre", "types", "used", "had", F.explode(ahead).alias("x"))
+        step = step.select("user_id", "centre", F.col("x.b").alias("a"), F.concat("types", F.array("x.relation_type")).alias("types"), F.concat("used", F.array("x.edge")).alias("used"), "had")
+        found = top(step, ["user_id", "centre"], ["a", "types", "used"], limit).where(F.col("rank") <= limit - F.col("had"))
+        found = found.withColumn("had", F.col("had") + F.count("*").over(group)).withColumn("hops", F.lit(hop).cast("long")).drop("rank")
+        if hop < depth:
             found = written(found, "hop")
+            front = found.where(F.col("had") < limit).drop("hops")
         paths = found if paths is None else paths.unionByName(found)
-        full = paths.groupBy("user_id", "centre").agg(F.count("*").alias("n")).where(F.col("n") >= limit)
-        front = found.join(full, ["user_id", "centre"], "left_anti")
-    cut = top(paths.withColumnRenamed("a", "end"), ["user_id", "centre"], ["hops", "end", "types", "used"], limit).select("user_id", "centre", "hops", "end", "types")
+    cut = paths.select("user_id", "centre", "hops", F.col("a").alias("end"), "types")
     rows = centres.select("user_id", "centre").join(cut, ["user_id", "centre"], "left")
     found = cut.select("user_id", F.col("centre").alias("source"), F.explode("types").alias("relation_type"), F.col("end").alias("target")).distinct()
     return rows, found
@@ -129,15 +139,78 @@ def doc_entities(entities: DataFrame, mentions: DataFrame, limit: int = 10) -> D
     return top(typed, ["user_id", "document_id"], [F.desc("mentions"), "name"], limit)
 
 
-def related_documents(documents: DataFrame, mentions: DataFrame, limit: int = 5) -> DataFrame:
-    """Other documents of the user with the most distinct entities in common; ties by title
-    (the id where there is none). Each pair is joined once and mirrored."""
+#: An entity in more documents of a user than this is heavy: no pairs are made of its documents.
+HEAVY = 500
+
+
+def related_documents(documents: DataFrame, mentions: DataFrame, limit: int = 5, heavy: int = HEAVY) -> DataFrame:
+    """The ``limit`` other documents of the user with the most distinct entities in common; ties by title
+    (the id where there is none), then id.
+
+    Documents that share an entity of at most ``heavy`` documents are joined as pairs (each once, and mirrored), and
+    their heavy entities compared as sets. Documents that share heavy entities alone are compared
+    by their sets of them, of which only as many documents as a result can hold come into question (see ``_heavy_only``)."""
     facts = mentions.select("user_id", "document_id", "entity_name").distinct()
-    left, right = facts.withColumnRenamed("document_id", "a"), facts.withColumnRenamed("document_id", "b")
-    pairs = left.join(right, ["user_id", "entity_name"]).where("a < b").groupBy("user_id", "a", "b").agg(F.count("*").alias("shared"))
-    both = pairs.select("user_id", F.col("a").alias("document_id"), F.col("b").alias("other_id"), "shared").unionByName(pairs.select("user_id", F.col("b").alias("document_id"), F.col("a").alias("other_id"), "shared"))
     titles = documents.select("user_id", F.col("id").alias("other_id"), F.coalesce(F.nullif("title", F.lit("")), "id").alias("title"))
-    return top(both.join(titles, ["user_id", "other_id"]), ["user_id", "document_id"], [F.desc("shared"), "title", "other_id"], limit)
+    order = [F.desc("shared"), "title", "other_id"]
+    counts = facts.groupBy("user_id", "entity_name").agg(F.count("*").alias("df")).where(F.col("df") > heavy)
+    common = written(counts, "common")
+    if common.isEmpty():
+        both = _pairs(facts).select("user_id", "document_id", "other_id", F.col("light").alias("shared"))
+        return top(both.join(titles, ["user_id", "other_id"]), ["user_id", "document_id"], order, limit)
+    facts = written(facts, "facts")
+    held = facts.join(F.broadcast(common) if common.count() <= 1_000_000 else common, ["user_id", "entity_name"])
+    sets = written(held.groupBy("user_id", "document_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "entity_name"))), lambda x: x["entity_name"]).alias("held")), "sets")
+    light = written(_pairs(facts.join(common.drop("df"), ["user_id", "entity_name"], "left_anti")), "light")
+    own = sets.select("user_id", "document_id", F.col("held").alias("a"))
+    other = sets.select("user_id", F.col("document_id").alias("other_id"), F.col("held").alias("b"))
+    more = F.coalesce(F.size(F.array_intersect("a", "b")), F.lit(0))
+    near = light.join(own, ["user_id", "document_id"], "left").join(other, ["user_id", "other_id"], "left").select("user_id", "document_id", "other_id", (F.col("light") + F.when(F.col("a").isNull() | F.col("b").isNull(), 0).otherwise(more)).alias("shared"))
+    every = near.join(titles, ["user_id", "other_id"]).unionByName(_heavy_only(sets, titles, limit))
+    best = every.where("document_id <> other_id").groupBy("user_id", "document_id", "other_id", "title").agg(F.max("shared").alias("shared"))
+    return top(best, ["user_id", "document_id"], order, limit).select("user_id", "other_id", "document_id", "shared", "title", "rank")
+
+
+def _pairs(facts: DataFrame) -> DataFrame:
+    """Pairs of documents with the number of entities they share, in both directions."""
+    left, right = facts.withColumnRenamed("document_id", "a"), facts.withColumnRenamed("document_id", "b")
+    pairs = left.join(right, ["user_id", "entity_name"]).where("a < b").groupBy("user_id", "a", "b").agg(F.count("*").alias("light"))
+    return pairs.select("user_id", F.col("a").alias("document_id"), F.col("b").alias("other_id"), "light").unionByName(pairs.select("user_id", F.col("b").alias("document_id"), F.col("a").alias("other_id"), "light"))
+
+
+def _heavy_only(sets: DataFrame, titles: DataFrame, limit: int, probe: int = 16, part: int = 1024) -> DataFrame:
+    """``(user_id, document_id, other_id, title, shared)``: for each document at least the ``limit`` others that share
+    the most heavy entities with it, by (shared, title, id).
+
+    Documents with the same set are alike to all others but for their title, so a set is represented by its first
+    ``limit + 1`` documents, and sets are compared instead of documents. A first look at a few large sets of each
+    entity tells how many entities the last of the results shares at least (``least``); a set that
+    shares so many holds one of the first ``size - least + 1`` entities of the other, rarest first, so only
+    those are joined, the sets of an entity in parts of bounded size."""
+    key = ["user_id", "set_id"]
+    named = sets.withColumn("set_id", F.md5(F.to_json("held")))
+    listed = written(named.select(*key, F.col("document_id").alias("other_id")).join(titles, ["user_id", "other_id"]), "listed")
+    first = written(top(listed, key, ["title", "other_id"], limit + 1).drop("rank"), "first")
+    size = listed.groupBy(*key).agg(F.count("*").alias("n"))
+    kinds = written(named.groupBy(*key).agg(F.first("held").alias("held")).join(size, key, "left").fillna(0, ["n"]), "kinds")
+    other = kinds.select("user_id", F.col("set_id").alias("other_set"), F.col("held").alias("b"), F.col("n").alias("m"))
+    entries = written(other.select("user_id", "other_set", "b", "m", F.explode("b").alias("entity_name")), "entries")
+    shared = F.size(F.array_intersect("held", "b")).cast("long").alias("shared")
+    mine = kinds.select(*key, "held", "n", F.explode("held").alias("entity_name"))
+    looked = mine.join(top(entries, ["user_id", "entity_name"], [F.desc("m"), "other_set"], probe).drop("rank"), ["user_id", "entity_name"]).select(*key, "other_set", "m", shared).distinct()
+    looked = looked.unionByName(kinds.select(*key, F.col("set_id").alias("other_set"), F.col("n").alias("m"), F.size("held").cast("long").alias("shared"))).distinct()
+    so_far = F.sum("m").over(Window.partitionBy(*key).orderBy(F.desc("shared"), "other_set"))
+    # the limit + 1 documents so far include the document itself
+    least = looked.withColumn("documents", so_far).where(F.col("documents") > limit).groupBy(*key).agg(F.max("shared").alias("least"))
+    bound = kinds.join(least, key, "left").withColumn("least", F.coalesce("least", F.lit(1).cast("long")))
+    prefix = bound.select(*key, "held", "least", F.explode(F.slice("held", F.lit(1), (F.size("held") - F.col("least") + 1).cast("int"))).alias("entity_name"))
+    parts = written(entries.groupBy("user_id", "entity_name").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "parts")
+    dealt = entries.join(parts, ["user_id", "entity_name"]).withColumn("part", F.pmod(F.xxhash64("other_set"), F.col("parts")))
+    asked = prefix.join(parts, ["user_id", "entity_name"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+    met = asked.join(dealt.select("user_id", "entity_name", F.col("part").cast("long").alias("part"), "other_set", "b"), ["user_id", "entity_name", "part"]).select(*key, "other_set", "least", shared).where("shared >= least").distinct()
+    reps = first.withColumnRenamed("set_id", "other_set")
+    chosen = top(met.join(reps, ["user_id", "other_set"]), key, [F.desc("shared"), "title", "other_id"], limit + 1).select(*key, "other_id", "title", "shared")
+    return named.select(*key, "document_id").join(chosen, key).select("user_id", "document_id", "other_id", "title", "shared")
 
 
 def neighbours(entities: DataFrame, relations: DataFrame, limit: int = 50) -> DataFrame:

@@ -102,19 +102,20 @@ def document_list(documents: DataFrame, tags: DataFrame, offset: int = 0, limit:
 
 
 def document_detail(documents: DataFrame, tags: DataFrame, chunks: DataFrame, entities: DataFrame, mentions: DataFrame, preview: int = 400) -> DataFrame:
-    """Per document: tags, number of chunks, the first three chunks, and how many of its top
-    entities and related documents there are."""
+    """Per document: tags, number of chunks, the first three chunks, its top entities and its
+    related documents by rank (``entities``, ``related``), and how many of them there are."""
     key = ["user_id", "document_id"]
     counts = chunks.groupBy(*key).agg(F.count("*").alias("chunk_count"))
     first = top(chunks, key, ["ordinal"], 3).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", text.clip(F.col("content"), preview).alias("x")))), lambda s: s["x"]).alias("previews"))
     held = tags.withColumn("tag", text.normalize_tag(F.col("tag"))).where("tag is not null").groupBy(*key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    named = doc_entities(entities, mentions).groupBy(*key).agg(F.count("*").alias("top_entities"))
-    near = related_documents(documents, mentions).groupBy(*key).agg(F.count("*").alias("related_documents"))
+    listed = lambda col: F.transform(F.array_sort(F.collect_list(F.struct("rank", col))), lambda s: s[col])
+    named = doc_entities(entities, mentions).groupBy(*key).agg(F.count("*").alias("top_entities"), listed("name").alias("entities"))
+    near = related_documents(documents, mentions).groupBy(*key).agg(F.count("*").alias("related_documents"), listed("other_id").alias("related"))
     out = documents.withColumnRenamed("id", "document_id")
     for t in (counts, first, held, named, near):
         out = out.join(t, key, "left")
     none = F.array().cast("array<string>")
-    return out.fillna(0, ["chunk_count", "top_entities", "related_documents"]).withColumn("tags", F.coalesce("tags", none)).withColumn("previews", F.coalesce("previews", none))
+    return out.fillna(0, ["chunk_count", "top_entities", "related_documents"]).withColumns({x: F.coalesce(x, none) for x in ("tags", "previews", "entities", "related")})
 
 
 def document_chunks(requests: DataFrame, documents: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:

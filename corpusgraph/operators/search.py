@@ -6,33 +6,61 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
+from ..sources.scratch import written
 from .ranking import ranked, top
 
 
+#: Chunks of a bucket of the keyword index, about: a block of a term has no more rows.
+BUCKET = 512
+#: Scores are rounded to six decimals; a bound within this much of the k-th score may still tie with it.
+SLACK = 2e-6
+
+
 @dataclass
 class Bm25Index:
     """``postings(user_id, term, chunk_id, tf, dl)``, ``lengths(user_id, chunk_id, dl)`` of all
     chunks, and what follows from them: ``terms(user_id, term, df, idf)`` and ``corpus(user_id,
-    n, avgdl)``."""
+    n, avgdl)``. A written index has its postings in blocks: ``bucket`` groups about ``BUCKET`` chunks of a user
+    of similar length, and ``blocks(user_id, term, bucket, n, best)`` has the number of a term's postings in a bucket
+    and the largest share of its idf that one of them contributes."""
 
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    blocks: DataFrame | None = None
 
-    def written(self, folder: str) -> Bm25Index:
+    def written(self, folder: str, bucket: int = BUCKET) -> Bm25Index:
         """The index as tables in ``folder``, made once and read by every search."""
-        for name in ("postings", "lengths"):
-            getattr(self, name).write.parquet(f"{folder}/{name}")
         spark = self.postings.sparkSession
-        base = _indexed(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "lengths")))
-        for name in ("terms", "corpus"):
-            getattr(base, name).write.parquet(f"{folder}/{name}")
-        return Bm25Index(base.postings, base.lengths, *(spark.read.parquet(f"{folder}/{name}") for name in ("terms", "corpus")))
+
+        def put(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return spark.read.parquet(f"{folder}/{name}")
+
+        band = F.floor(F.log2(F.col("dl") + 1)).cast("int")
+        raw, lengths = put(self.postings, "raw"), put(self.lengths, "lengths")
+        parts = put(lengths.groupBy("user_id", band.alias("band")).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")), "parts")
+        sized = raw.withColumn("band", band).join(F.broadcast(parts) if parts.count() <= 1_000_000 else parts, ["user_id", "band"])
+        number = F.col("band") * F.lit(1 << 24).cast("long") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
+        base = _indexed(sized.withColumn("bucket", number).drop("band", "parts"), lengths)
+        corpus, terms = put(base.corpus, "corpus"), put(base.terms, "terms")
+        # sorted, so that a search reads few row groups of a term
+        postings = put(base.postings.repartition("user_id", "term", "bucket").sortWithinPartitions("user_id", "term", "bucket"), "postings")
+        best = postings.join(corpus, "user_id").groupBy("user_id", "term", "bucket").agg(F.count("*").alias("n"), F.max(_share()).alias("best"))
+        return Bm25Index(postings, lengths, terms, corpus, put(best, "blocks"))
+
+
+def _share() -> Column:
+    """What a posting contributes, as a multiple of its term's idf."""
+    tf = F.col("tf")
+    return tf * (vocab.BM25_K1 + 1) / (tf + vocab.BM25_K1 * (1 - vocab.BM25_B + vocab.BM25_B * F.col("dl") / F.col("avgdl")))
 
 
 def _indexed(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
@@ -45,22 +73,41 @@ def _indexed(postings: DataFrame, lengths: DataFrame) -> Bm25Index:
 
 
 def _counted(chunks: DataFrame, tokenizer: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
-    tokens = chunks.select("user_id", "chunk_id", tokenizer(F.col("content")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    postings = tokens.select("user_id", "chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("user_id", "term", "chunk_id", "dl").agg(F.count("*").alias("tf"))
-    return postings, tokens.select("user_id", "chunk_id", "dl")
+    """Postings and lengths. Terms are counted within each chunk's own row, without a shuffle."""
+    kind = {x: chunks.schema[x].dataType.simpleString() for x in ("user_id", "chunk_id")}
+    tokens = chunks.select("user_id", "chunk_id", tokenizer(F.col("content")).alias("tokens"))
+
+    @F.arrow_udf("array<struct<term:string,tf:long>>")
+    def counted(column: pa.Array) -> pa.Array:
+        coded = column.values.dictionary_encode()
+        width = max(len(coded.dictionary), 1)
+        ends = np.asarray(column.offsets)
+        row = np.repeat(np.arange(len(column)), np.diff(ends))
+        code = np.asarray(coded.indices, dtype=np.int64)[ends[0] : ends[-1]]
+        cell, times = np.unique(row * width + code, return_counts=True)
+        items = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(cell % width)), pa.array(times.astype(np.int64))], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(cell, np.arange(len(column) + 1) * width).astype(np.int32)), items)
+
+    rows = tokens.select("user_id", "chunk_id", F.size("tokens").alias("dl"), F.explode_outer(counted("tokens")).alias("x")).where("x is not null")
+    postings = rows.select(F.col("user_id").cast(kind["user_id"]).alias("user_id"), F.col("x.term").alias("term"), "chunk_id", "dl", F.col("x.tf").alias("tf"))
+    return postings, tokens.select("user_id", "chunk_id", F.size("tokens").alias("dl"))
 
 
 def bm25_index(chunks: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens) -> Bm25Index:
-    """Index of ``chunks(user_id, chunk_id, content)``. Chunks without tokens count in N
+    """Index of ``chunks(user_id, chunk_id, content)``, one row per chunk. Chunks without tokens count in N
     and the mean length. Raw idf is ln(N - df + 0.5) - ln(df + 0.5); a negative one is
     replaced by epsilon times the user's mean raw idf."""
     return _indexed(*_counted(chunks, tokenizer))
 
 
+def _plain(index: Bm25Index) -> tuple[DataFrame, DataFrame]:
+    return index.postings.select("user_id", "term", "chunk_id", "tf", "dl"), index.lengths
+
+
 def remove_from_index(index: Bm25Index, ids: DataFrame) -> Bm25Index:
     """``index`` without the chunks ``ids(user_id, chunk_id)``; unknown ones change nothing."""
     gone = ids.select("user_id", "chunk_id").distinct()
-    return _indexed(*(x.join(gone, ["user_id", "chunk_id"], "left_anti") for x in (index.postings, index.lengths)))
+    return _indexed(*(x.join(gone, ["user_id", "chunk_id"], "left_anti") for x in _plain(index)))
 
 
 def add_to_index(index: Bm25Index, chunks: DataFrame, tokenizer: Callable[[Column], Column] = text.tokens) -> Bm25Index:
@@ -71,17 +118,44 @@ def add_to_index(index: Bm25Index, chunks: DataFrame, tokenizer: Callable[[Colum
     return _indexed(kept.postings.unionByName(postings), kept.lengths.unionByName(lengths))
 
 
-def bm25_search(queries: DataFrame, index: Bm25Index, k: int = vocab.RECALL, keys: tuple[str, ...] = ("query_id",), tokenizer: Callable[[Column], Column] = text.tokens) -> DataFrame:
+def _scored(hits: DataFrame, index: Bm25Index, keys: list[str]) -> DataFrame:
+    """Scores of chunks from postings with the ``weight`` of their term in a query."""
+    return hits.join(index.corpus, "user_id").groupBy(*keys, "chunk_id").agg(F.round(F.sum(F.col("weight") * _share()), 6).alias("score")).where("score > 0")
+
+
+def bm25_search(queries: DataFrame, index: Bm25Index, k: int = vocab.RECALL, keys: tuple[str, ...] = ("query_id",), tokenizer: Callable[[Column], Column] = text.tokens, first: int = 2) -> DataFrame:
     """``(user_id, *keys, chunk_id, score, rank)`` of the ``k`` best chunks of each query,
     over query tokens with repeats. Only scores above 0; ties by chunk id. Postings of
-    terms that no query has leave before they are scored."""
-    asked = queries.select("user_id", *keys, F.explode(tokenizer(F.col("query_text"))).alias("term")).groupBy("user_id", *keys, "term").agg(F.count("*").alias("repeats"))
-    asked = asked.join(index.terms, ["user_id", "term"])
-    hits = index.postings.join(asked, ["user_id", "term"]).join(index.corpus, "user_id")
-    tf = F.col("tf")
-    part = F.col("repeats") * F.col("idf") * tf * (vocab.BM25_K1 + 1) / (tf + vocab.BM25_K1 * (1 - vocab.BM25_B + vocab.BM25_B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("user_id", *keys, "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top(scored, ["user_id", *keys], [F.desc("score"), "chunk_id"], k)
+    terms that no query has leave before they are scored.
+
+    With a written index, postings are taken block by block: the ``first`` buckets of the highest bounds (the sum
+    over the query's terms of their best contributions there) are scored, which gives a k-th score to reach; then
+    only those whose bound reaches it. A bucket that is skipped holds no result, so results are those of all postings."""
+    own = ["user_id", *keys]
+    asked = queries.select(*own, F.explode(tokenizer(F.col("query_text"))).alias("term")).groupBy(*own, "term").agg(F.count("*").alias("repeats"))
+    asked = asked.join(index.terms, ["user_id", "term"]).select(*own, "term", (F.col("repeats") * F.col("idf")).alias("weight"))
+    if index.blocks is None:
+        return top(_scored(index.postings.join(asked, ["user_id", "term"]), index, own), own, [F.desc("score"), "chunk_id"], k)
+    asked = written(asked, "asked")
+    bounds, scored, rest = _best_blocks(asked, index, k, own, first)
+    return top(scored.unionByName(_of_blocks(asked, rest, index, own)), own, [F.desc("score"), "chunk_id"], k)
+
+
+def _of_blocks(asked: DataFrame, buckets: DataFrame, index: Bm25Index, own: list[str]) -> DataFrame:
+    """Scores of all chunks in some ``buckets`` of each query. Postings meet queries by (user, term, bucket)."""
+    wanted = buckets.select(*own, "bucket").join(asked, own).join(index.blocks.select("user_id", "term", "bucket"), ["user_id", "term", "bucket"])
+    return _scored(index.postings.join(wanted, ["user_id", "term", "bucket"]), index, own)
+
+
+def _best_blocks(asked: DataFrame, index: Bm25Index, k: int, own: list[str], first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bounds of all buckets of each query, the scores in the first ones, and the others that can still
+    hold one of its ``k`` best."""
+    met = index.blocks.join(asked, ["user_id", "term"])
+    bounds = written(ranked(met.groupBy(*own, "bucket").agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"), F.sum("n").alias("postings")), own, [F.desc("bound"), "bucket"]), "bounds")
+    scored = written(_of_blocks(asked, bounds.where(F.col("rank") <= first), index, own), "scored")
+    reached = top(scored, own, [F.desc("score"), "chunk_id"], k).where(F.col("rank") == k).select(*own, F.col("score").alias("reached"))
+    rest = bounds.where(F.col("rank") > first).join(reached, own, "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - SLACK))
+    return bounds, scored, rest
 
 
 def dedup_queries(variants: DataFrame, most: int = vocab.VARIANTS) -> DataFrame:

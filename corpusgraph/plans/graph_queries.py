@@ -122,13 +122,13 @@ def search_entities(t: Tables):
     return graph.search_entities(t.g_entities, terms)
 
 
-_HOPS = """both_ as (select user_id, source as a, target as b, relation_type, concat_ws('|', source, relation_type, target) as edge from g_relations union all select user_id, target, source, relation_type, concat_ws('|', source, relation_type, target) from g_relations),
+HOPS_SQL = """both_ as (select user_id, source as a, target as b, relation_type, concat_ws('|', source, relation_type, target) as edge from g_relations union all select user_id, target, source, relation_type, concat_ws('|', source, relation_type, target) from g_relations),
   one as (select e.user_id, e.name as centre, b as "end", 1 as hops, [relation_type] as types, [edge] as used from g_entities e join both_ s on e.user_id = s.user_id and e.name = s.a),
   two as (select o.user_id, o.centre, s.b as "end", 2 as hops, list_append(o.types, s.relation_type) as types, list_append(o.used, s.edge) as used from one o join both_ s on o.user_id = s.user_id and o."end" = s.a where s.edge <> o.used[1]),
   paths as (select *, row_number() over (partition by user_id, centre order by hops, "end", types, used) as rank from (select * from one union all select * from two) u)"""
 
 
-@query("grf3_related_entities", f"""with {_HOPS} select distinct user_id, centre as source, unnest(types) as relation_type, "end" as target from paths where rank <= 100""")
+@query("grf3_related_entities", f"""with {HOPS_SQL} select distinct user_id, centre as source, unnest(types) as relation_type, "end" as target from paths where rank <= 100""")
 def related_entities(t: Tables):
     centres = t.g_entities.select("user_id", F.col("name").alias("centre")).distinct()
     return graph.related_entities(centres, t.g_relations, 2)[1]
@@ -147,19 +147,19 @@ def entity_mentions(t: Tables):
     return graph.entity_mentions(t.g_entities, t.g_mentions, t.g_chunks)
 
 
-_TOP = "x as (select user_id, document_id, entity_name as name, count(*) as mentions from g_mentions group by 1, 2, 3), y as (select x.*, type, row_number() over (partition by x.user_id, document_id order by mentions desc, name) as rank from x join g_entities using (user_id, name))"
+TOP_SQL = "x as (select user_id, document_id, entity_name as name, count(*) as mentions from g_mentions group by 1, 2, 3), y as (select x.*, type, row_number() over (partition by x.user_id, document_id order by mentions desc, name) as rank from x join g_entities using (user_id, name))"
 
 
-@query("grf6_doc_entities", f"with {_TOP} select user_id, document_id, name, type, mentions, rank from y where rank <= 10")
+@query("grf6_doc_entities", f"with {TOP_SQL} select user_id, document_id, name, type, mentions, rank from y where rank <= 10")
 def doc_entities(t: Tables):
     return graph.doc_entities(t.g_entities, t.g_mentions)
 
 
-_RELATED = """f as (select distinct user_id, document_id, entity_name from g_mentions), p as (select a.user_id, a.document_id, b.document_id as other_id, count(*) as shared from f a join f b on a.user_id = b.user_id and a.entity_name = b.entity_name and a.document_id <> b.document_id group by 1, 2, 3),
+RELATED_SQL = """f as (select distinct user_id, document_id, entity_name from g_mentions), p as (select a.user_id, a.document_id, b.document_id as other_id, count(*) as shared from f a join f b on a.user_id = b.user_id and a.entity_name = b.entity_name and a.document_id <> b.document_id group by 1, 2, 3),
   rd as (select p.user_id, p.document_id, other_id, shared, title, row_number() over (partition by p.user_id, p.document_id order by shared desc, title, other_id) as rank from p join g_documents d on d.id = other_id)"""
 
 
-@query("grf7_related_documents", f"with {_RELATED} select * from rd where rank <= 5")
+@query("grf7_related_documents", f"with {RELATED_SQL} select * from rd where rank <= 5")
 def related_documents(t: Tables):
     return graph.related_documents(t.g_documents, t.g_mentions)
 

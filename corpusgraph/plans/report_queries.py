@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports
+from .graph_queries import RELATED_SQL, TOP_SQL
 from .registry import Tables, query
 
 
@@ -108,13 +109,13 @@ def document_list(t: Tables):
 
 @query(
     "rep11_document_detail",
-    f"""with {_CLEAN}, f as (select distinct user_id, document_id, entity_name from g_mentions), p as (select a.document_id, count(distinct b.document_id) as n from f a join f b on a.user_id = b.user_id and a.entity_name = b.entity_name and a.document_id <> b.document_id group by 1),
-        e as (select document_id, least(count(distinct entity_name), 10) as n from g_mentions group by 1), k as (select document_id, count(*) as n, string_agg(case when ordinal <= 3 then content end, '|' order by ordinal) as x from g_chunks group by 1), t as (select document_id, string_agg(tag, ',' order by tag) as tags from clean group by 1)
-        select d.user_id, d.id as document_id, tags, coalesce(k.n, 0) as chunk_count, coalesce(k.x, '') as previews, coalesce(e.n, 0) as top_entities, least(coalesce(p.n, 0), 5) as related_documents from g_documents d left join k on k.document_id = d.id left join e on e.document_id = d.id left join p on p.document_id = d.id left join t on t.document_id = d.id""",
+    f"""with {_CLEAN}, {RELATED_SQL}, {TOP_SQL}, p0 as (select document_id, count(*) as n, string_agg(other_id, ',' order by rank) as ids from rd where rank <= 5 group by 1),
+        e as (select document_id, count(*) as n, string_agg(name, ',' order by rank) as names from y where rank <= 10 group by 1), k as (select document_id, count(*) as n, string_agg(case when ordinal <= 3 then content end, '|' order by ordinal) as x from g_chunks group by 1), t as (select document_id, string_agg(tag, ',' order by tag) as tags from clean group by 1)
+        select d.user_id, d.id as document_id, tags, coalesce(k.n, 0) as chunk_count, coalesce(k.x, '') as previews, coalesce(e.n, 0) as top_entities, coalesce(e.names, '') as entities, coalesce(p0.n, 0) as related_documents, coalesce(p0.ids, '') as related from g_documents d left join k on k.document_id = d.id left join e on e.document_id = d.id left join p0 on p0.document_id = d.id left join t on t.document_id = d.id""",
 )
 def document_detail(t: Tables):
     found = reports.document_detail(t.g_documents, t.g_tags, t.g_chunks, t.g_entities, t.g_mentions)
-    return found.select("user_id", "document_id", F.array_join("tags", ",").alias("tags"), "chunk_count", F.array_join("previews", "|").alias("previews"), "top_entities", "related_documents")
+    return found.select("user_id", "document_id", F.array_join("tags", ",").alias("tags"), "chunk_count", F.array_join("previews", "|").alias("previews"), "top_entities", F.array_join("entities", ",").alias("entities"), "related_documents", F.array_join("related", ",").alias("related"))
 
 
 @query("rep12_document_chunks", "select document_id, chunk_id, ordinal, replace(hierarchy_path, ',', '/') as path from g_chunks where document_id in (select id from g_documents where file_type = 'O')")

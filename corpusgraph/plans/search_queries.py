@@ -28,15 +28,9 @@ def _chunks(t: Tables):
     return t.t_documents.withColumnRenamed("id", "chunk_id")
 
 
-_written: dict[tuple[str, str], search.Bm25Index] = {}
-
-
 def _index(t: Tables) -> search.Bm25Index:
-    """The keyword index of the documents, made once for an application and a folder."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir)
-    if key not in _written:
-        _written[key] = search.bm25_index(_chunks(t)).written(scratch.new_path(t.spark, "index"))
-    return _written[key]
+    """The keyword index of the documents, built and written for the query that asks."""
+    return search.bm25_index(_chunks(t)).written(scratch.new_path(t.spark, "index"))
 
 
 @query("emb1_cached_embedding")
