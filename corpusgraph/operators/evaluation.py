@@ -66,3 +66,10 @@ def compare_runs(off: DataFrame, on: DataFrame) -> DataFrame:
     """Means of two runs side by side, and their difference."""
     left, right = (summary(x).select("metric", F.col("mean").alias(name)) for x, name in ((off, "off_value"), (on, "on_value")))
     return left.join(right, "metric", "full_outer").withColumn("difference", F.round(F.col("on_value") - F.col("off_value"), 6))
+
+
+def compare_cases(off: DataFrame, on: DataFrame) -> DataFrame:
+    """``(case_id, metric, off_value, on_value, difference)`` of each case of two runs; a case or
+    metric that one run lacks is null there."""
+    left, right = (x.select("case_id", "metric", F.col("value").alias(name)) for x, name in ((off, "off_value"), (on, "on_value")))
+    return left.join(right, ["case_id", "metric"], "full_outer").withColumn("difference", F.round(F.col("on_value") - F.col("off_value"), 6))

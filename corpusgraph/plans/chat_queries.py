@@ -49,10 +49,12 @@ def quality(t: Tables):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", text.quality(F.col("l_discount") * 12).alias("quality"))
 
 
-@query("cht4_citation_coverage", "select id, case when role = 'assistant' then case when turn % 4 + 1 <= 3 then round(1 / 3.0::double, 6) else 0.0 end else 0.0 end::double as coverage from m_messages where not regexp_matches(content, '\\[[0-9]+\\].*\\[[0-9]+\\].*\\[[0-9]+\\]') or role <> 'assistant'")
+@query(
+    "cht4_citation_coverage",
+    """select id, round(least(1.0, len(list_filter(list_distinct(list_transform(regexp_extract_all(content, '\\[([0-9]+)\\]', 1), lambda x: try_cast(x as int))), lambda x: x between 1 and 3)) / 3.0), 6)::double as coverage from m_messages""",
+)
 def citation_coverage(t: Tables):
-    rows = t.m_messages.where((~F.col("content").rlike(r"\[[0-9]+\].*\[[0-9]+\].*\[[0-9]+\]")) | (F.col("role") != "assistant"))
-    return rows.select("id", F.round(text.citation_coverage(F.col("content"), F.lit(3)), 6).alias("coverage"))
+    return t.m_messages.select("id", F.round(text.citation_coverage(F.col("content"), F.lit(3)), 6).alias("coverage"))
 
 
 _FACTS = """r as (select user_id, source as query_id, row_number() over (partition by user_id, source order by target, relation_type) as position, source, relation_type, target from g_relations),

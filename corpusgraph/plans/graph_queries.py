@@ -37,10 +37,16 @@ def rule_entities(t: Tables):
     return extract.rule_entities(t.t_documents.withColumnRenamed("id", "chunk_id")).select("chunk_id", "name", "type", "pattern_no")
 
 
-@query("ext2_parse_extraction", "select chunk_id, case ordinal % 4 when 0 then 2 when 1 then 1 else 0 end::bigint as entities, case ordinal % 4 when 0 then 1 else 0 end::bigint as relations, case when ordinal % 4 = 0 then 'PART_OF' else '' end as types from g_chunks")
+@query(
+    "ext2_parse_extraction",
+    """select chunk_id, case ordinal % 4 when 0 then concat(' ', l_partkey, ':PART:|Supplier:ORG:d') when 1 then concat(' ', l_partkey, ':PART:') else '' end as entities,
+       case when ordinal % 4 = 0 then concat(l_partkey, '>PART_OF>Supplier') else '' end as relations from g_chunks""",
+)
 def parse_extraction(t: Tables):
     parsed = extract.parse_extraction(_answers(t))
-    return parsed.select("chunk_id", F.size("entities").cast("long").alias("entities"), F.size("relations").cast("long").alias("relations"), F.array_join(F.transform("relations", lambda r: r["relation_type"]), ",").alias("types"))
+    entity = lambda e: F.concat(e["name"], F.lit(":"), e["type"], F.lit(":"), F.coalesce(e["description"], F.lit("")))
+    relation = lambda r: F.concat_ws(">", r["source"], r["relation_type"], r["target"])
+    return parsed.select("chunk_id", F.array_join(F.transform("entities", entity), "|").alias("entities"), F.array_join(F.transform("relations", relation), "|").alias("relations"))
 
 
 _LABEL = "case ordinal % 6 when 0 then 'is part of' when 1 then 'works-at' when 2 then 'USES' when 3 then '位于' when 4 then 'betrays' else '' end"
@@ -113,12 +119,13 @@ def build_graph(t: Tables):
     return _rows(g, {"owns": ("document_id",), "contains": ("document_id", "chunk_id"), "next": ("from_chunk", "to_chunk"), "mentions": ("chunk_id", "entity_name"), "entities": ("name", "type"), "relations": ("source", "relation_type", "target")})
 
 
-_TERMS = "terms as (select distinct user_id, substring(name, 1, 2) as term from g_entities)"
+_TERMS = "terms as (select distinct user_id, unnest([substring(name, 1, 2), substring(name, 2, 3), name, concat(name, '0')]) as term from g_entities)"
 
 
 @query("grf2_search_entities", f"with {_TERMS}, h as (select t.user_id, term, name, type, row_number() over (partition by t.user_id, term order by name) as rank from g_entities e join terms t on e.user_id = t.user_id where contains(lower(name), lower(term))) select * from h where rank <= 20")
 def search_entities(t: Tables):
-    terms = t.g_entities.select("user_id", F.substring("name", 1, 2).alias("term")).distinct()
+    name = F.col("name")
+    terms = t.g_entities.select("user_id", F.explode(F.array(F.substring(name, 1, 2), F.substring(name, 2, 3), name, F.concat(name, F.lit("0")))).alias("term")).distinct()
     return graph.search_entities(t.g_entities, terms)
 
 
@@ -186,11 +193,14 @@ def neighbours(t: Tables):
 
 @query(
     "grf9_graph_view",
-    """with n as (select user_id, name, row_number() over (partition by user_id order by name) as rank from g_entities), e as (select *, row_number() over (partition by user_id order by source, target, relation_type) as rank from g_relations)
-       select user_id, source, target, relation_type, rank from e where rank <= 2000 and (user_id, source) in (select (user_id, name) from n where rank <= 500) and (user_id, target) in (select (user_id, name) from n where rank <= 500)""",
+    """with n as (select user_id, name, type, row_number() over (partition by user_id order by name) as rank from g_entities), e as (select *, row_number() over (partition by user_id order by source, target, relation_type) as rank from g_relations)
+       select 'edge' as part, user_id, source as name, relation_type as type, target, rank from e where rank <= 2000 and (user_id, source) in (select (user_id, name) from n where rank <= 500) and (user_id, target) in (select (user_id, name) from n where rank <= 500)
+       union all select 'node', user_id, name, type, null, rank from n where rank <= 500""",
 )
 def graph_view(t: Tables):
-    return graph.graph_view(t.g_entities, t.g_relations)[1]
+    nodes, edges = graph.graph_view(t.g_entities, t.g_relations)
+    edges = edges.select(F.lit("edge").alias("part"), "user_id", F.col("source").alias("name"), F.col("relation_type").alias("type"), "target", "rank")
+    return edges.unionByName(nodes.select(F.lit("node").alias("part"), "user_id", "name", "type", F.lit(None).cast("string").alias("target"), "rank"))
 
 
 _CATEGORY = "case " + " ".join("when " + " or ".join(f"contains(lower(type), '{w}')" for w in words) + f" then '{name}'" for name, words in vocab.CATEGORIES.items()) + " else 'other' end"
@@ -274,9 +284,24 @@ def delete_documents(t: Tables):
     return _rows(out, {"documents": ("id",), "chunks": ("document_id", "chunk_id"), "mentions": ("chunk_id", "entity_name"), "orphans": ("name",), "entities": ("name", "type"), "relations": ("source", "relation_type", "target")})
 
 
-@query("grf15_purge_users", "select what, user_id, n from (select 'documents' as what, user_id, count(*) as n from g_documents group by 2 union all select 'mentions', user_id, count(*) from g_mentions group by 2 union all select 'relations', user_id, count(*) from g_relations group by 2) x where user_id in (select c_nationkey from customer where c_acctbal < 0)")
+_GONE = "select c_nationkey from customer where c_acctbal < 0"
+
+
+@query(
+    "grf15_purge_users",
+    f"""with x as (select 'documents' as what, user_id, id as key, null as a, null as b from g_documents union all select 'mentions', user_id, chunk_id, entity_name, null from g_mentions union all select 'relations', user_id, source, relation_type, target from g_relations)
+        select 'kept ' || what as what, user_id, key, a, b, 1 as n from x where user_id not in ({_GONE}) union all select 'gone ' || what, user_id, null, null, null, count(*) from x where user_id in ({_GONE}) group by 1, 2""",
+)
 def purge_users(t: Tables):
+    """The rows that stay, and of those that go how many each user has."""
     users = t.customer.where("c_acctbal < 0").select(F.col("c_nationkey").cast("long").alias("user_id")).distinct()
-    out = graph.purge_users(users, {"documents": t.g_documents, "mentions": t.g_mentions, "relations": t.g_relations}, dry_run=True)
-    parts = [x.select(F.lit(k).alias("what"), "user_id", "n") for k, x in out.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    tables = {"documents": t.g_documents.select("user_id", "id"), "mentions": t.g_mentions.select("user_id", "chunk_id", "entity_name"), "relations": t.g_relations.select("user_id", "source", "relation_type", "target")}
+    none = F.lit(None).cast("string")
+    out = None
+    for name, kept in graph.purge_users(users, tables).items():
+        cols = [*map(F.col, kept.columns[1:]), none, none][:3]
+        rows = kept.select(F.lit(f"kept {name}").alias("what"), "user_id", *(c.alias(x) for c, x in zip(cols, ("key", "a", "b"), strict=True)), F.lit(1).cast("long").alias("n"))
+        out = rows if out is None else out.unionByName(rows)
+    for name, gone in graph.purge_users(users, tables, dry_run=True).items():
+        out = out.unionByName(gone.select(F.lit(f"gone {name}").alias("what"), "user_id", *(none.alias(x) for x in ("key", "a", "b")), "n"))
+    return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluation, search, vectors
 from ..sources import scratch
+from .graph_queries import HOPS_SQL
 from .registry import Tables, query
 
 _TOKENS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]{{2,}}')"
@@ -114,12 +115,11 @@ def dedup_queries(t: Tables):
     return search.dedup_queries(_variants(t)).select("query_id", "query_text", F.col("variant_no").cast("long").alias("variant_no"), "position")
 
 
-_ASKED = "asked as (select user_id, document_id as query_id, entity_name as name from g_mentions where document_id in (select id from g_documents where file_type = 'F'))"
+_ASKED = "asked as (select user_id, document_id as query_id, entity_name as name from g_mentions)"
 
 
 def _asked(t: Tables):
-    some = t.g_documents.where("file_type = 'F'").select(F.col("id").alias("document_id"))
-    return t.g_mentions.join(some, "document_id", "left_semi").select("user_id", F.col("document_id").alias("query_id"), F.col("entity_name").alias("name"))
+    return t.g_mentions.select("user_id", F.col("document_id").alias("query_id"), F.col("entity_name").alias("name"))
 
 
 @query(
@@ -181,7 +181,7 @@ def section_siblings(t: Tables):
 
 @query(
     "ret8_expand",
-    """with k as (select *, replace(hierarchy_path, ',[Part 2]', '') as section from g_chunks), seeds as (select * from k where ordinal <= 2),
+    """with k as (select *, replace(hierarchy_path, ',[Part 2]', '') as section from g_chunks), seeds as (select * from k),
        p as (select a.document_id, a.chunk_id, a.ordinal as seed, b.chunk_id as sibling_id, b.ordinal, length(b.content) as chars from seeds a join k b on a.document_id = b.document_id and a.section = b.section and a.chunk_id <> b.chunk_id),
        r as (select *, row_number() over (partition by chunk_id order by ordinal) as position, sum(chars) over (partition by chunk_id order by ordinal rows unbounded preceding) as used from p),
        u as (select document_id, chunk_id, ordinal * 1000000 as o from seeds
@@ -191,15 +191,30 @@ def section_siblings(t: Tables):
        select document_id as query_id, chunk_id, rank from z where rank <= 8""",
 )
 def expand(t: Tables):
-    seeds = t.g_chunks.where("ordinal <= 2").select("user_id", F.col("document_id").alias("query_id"), "chunk_id", F.col("ordinal").alias("rank"))
+    seeds = t.g_chunks.select("user_id", F.col("document_id").alias("query_id"), "chunk_id", F.col("ordinal").alias("rank"))
     return search.expand(seeds, t.g_chunks).select("query_id", "chunk_id", "rank")
 
 
-@query("ret9_enrich", "select user_id, document_id as query_id, entity_name as name, type from (select distinct user_id, document_id, entity_name from g_mentions) m join (select distinct user_id as u, name, type from g_entities) e on m.user_id = e.u and m.entity_name = e.name")
+_ENRICHED = f"""with {HOPS_SQL}, typed as (select distinct m.user_id, m.document_id as query_id, m.entity_name as name, e.type from g_mentions m join g_entities e on m.user_id = e.user_id and m.entity_name = e.name),
+  c as (select * from (select user_id, query_id, name, row_number() over (partition by user_id, query_id order by name) as k from typed) x where k <= 3),
+  ed as (select distinct user_id, centre as source, unnest(types) as relation_type, "end" as target from paths where rank <= 100),
+  linked as (select ed.user_id, c.query_id, source, relation_type, target from ed join c on c.user_id = ed.user_id and c.name = ed.source)
+  select 'node' as part, user_id, query_id, name, type, null as target from typed
+  union all select distinct 'node', l.user_id, l.query_id, target, 'Related', null from linked l where not exists (select 1 from typed t where t.user_id = l.user_id and t.query_id = l.query_id and t.name = l.target)
+  union all select 'edge', user_id, query_id, source, relation_type, target from linked"""
+
+
+@query("ret9_enrich", _ENRICHED)
 def enrich(t: Tables):
     hits = t.g_chunks.select("user_id", F.col("document_id").alias("query_id"), "chunk_id")
-    found, _ = search.enrich(hits, t.g_mentions.drop("document_id"), t.g_entities, t.g_relations)
-    return found.where("type <> 'Related'")
+    nodes, edges = search.enrich(hits, t.g_mentions.drop("document_id"), t.g_entities, t.g_relations)
+    return _graph_rows(nodes, edges, "type")
+
+
+def _graph_rows(nodes, edges, kind: str):
+    """Nodes and edges as rows of one table."""
+    edges = edges.select(F.lit("edge").alias("part"), "user_id", "query_id", F.col("source").alias("name"), F.col("relation_type").alias(kind), "target")
+    return edges.unionByName(nodes.select(F.lit("node").alias("part"), "user_id", "query_id", "name", kind, F.lit(None).cast("string").alias("target")))
 
 
 def _vector_queries(t: Tables):
@@ -217,13 +232,23 @@ def retrieve(t: Tables):
     return search.retrieve(_vector_queries(t), chunks, t.v_vectors, search.bm25_index(chunks))
 
 
-@query("ret11_graph_query")
+_AROUND = f"""with {_DENSE}, f as (select distinct d.user_id, query_id, v.document_id as name from dense d join v_vectors v on v.user_id = d.user_id and v.chunk_id = d.chunk_id where rank <= 10),
+  c as (select user_id, query_id, name as centre from (select *, row_number() over (partition by user_id, query_id order by name) as k from f) x where k <= 10),
+  rel as (select distinct user_id, document_id as source, 'RELATED_TO' as relation_type, cast((cast(document_id as int) + 1) % 10 as varchar) as target from v_vectors),
+  {HOPS_SQL.replace("from g_relations", "from rel").replace("g_entities e", "(select distinct user_id, centre as name from c) e").replace("select user_id, target, source, relation_type, concat_ws('|', source, relation_type, target) from rel", "select user_id, target, source, relation_type, concat_ws('|', source, relation_type, target) from rel where source <> target")},
+  ed as (select distinct user_id, centre as source, unnest(types) as relation_type, "end" as target from paths where rank <= 100)
+  select 'node' as part, user_id, query_id, centre as name, 'centre' as role, null as target from c
+  union all select distinct 'node', c.user_id, c.query_id, p."end", 'related', null from c join paths p on p.user_id = c.user_id and p.centre = c.centre where p.rank <= 100 and not exists (select 1 from c o where o.user_id = c.user_id and o.query_id = c.query_id and o.centre = p."end")
+  union all select distinct 'edge', c.user_id, c.query_id, source, relation_type, target from c join ed on ed.user_id = c.user_id and ed.source = c.centre"""
+
+
+@query("ret11_graph_query", _AROUND)
 def graph_query(t: Tables):
     mentions = t.v_vectors.select("user_id", "chunk_id", F.col("document_id").alias("entity_name"))
     entities = mentions.select("user_id", F.col("entity_name").alias("name")).distinct().withColumn("type", F.lit("LABEL"))
     relations = t.v_vectors.select("user_id", F.col("document_id").alias("source"), F.lit("RELATED_TO").alias("relation_type"), ((F.col("document_id").cast("int") + 1) % 10).cast("string").alias("target")).distinct()
-    nodes, _ = search.graph_query(_vector_queries(t), t.v_vectors, mentions, entities, relations)
-    return nodes
+    nodes, edges = search.graph_query(_vector_queries(t), t.v_vectors, mentions, entities, relations)
+    return _graph_rows(nodes, edges, "role")
 
 
 _RUNS = f"{_BM25}, runs as (select query_id as case_id, rank, chunk_id from bm25 where rank <= 25), gold as (select distinct case_id, chunk_id from q_gold), hits as (select r.case_id, r.rank, r.chunk_id from runs r join gold g on r.case_id = g.case_id and r.chunk_id = g.chunk_id), sizes as (select case_id, count(*) as n from gold group by 1)"
@@ -284,8 +309,15 @@ def evaluate(t: Tables):
     return evaluation.summary(evaluation.evaluate(_runs(t), cases))
 
 
-@query("evl6_compare_runs", f"{_ALL}, a as (select metric, round(avg(value), 6) as v from m group by 1), b as (select metric, round(avg(round(value / 2, 6)), 6) as v from m group by 1) select a.metric, b.v as off_value, a.v as on_value, round(a.v - b.v, 6) as difference from a join b on a.metric = b.metric")
-def compare_runs(t: Tables):
-    m = evaluation.retrieval_metrics(_runs(t), t.q_gold)
-    return evaluation.compare_runs(m.withColumn("value", F.round(F.col("value") / 2, 6)), m)
+_COMPARED = f"""{_ALL}, a as (select metric, round(avg(value), 6) as v from m group by 1), b as (select metric, round(avg(round(value / 2, 6)), 6) as v from m group by 1)
+  select null as case_id, a.metric, b.v as off_value, a.v as on_value, round(a.v - b.v, 6) as difference from a join b on a.metric = b.metric
+  union all select case_id, metric, case when metric <> 'mrr' then round(value / 2, 6) end, value, case when metric <> 'mrr' then round(value - round(value / 2, 6), 6) end from m"""
 
+
+@query("evl6_compare_runs", _COMPARED)
+def compare_runs(t: Tables):
+    """Means of both runs, and each case of them; the first run has no reciprocal ranks by case."""
+    m = scratch.written(evaluation.retrieval_metrics(_runs(t), t.q_gold), "metrics")
+    off = m.withColumn("value", F.round(F.col("value") / 2, 6))
+    means = evaluation.compare_runs(off, m).withColumn("case_id", F.lit(None).cast(m.schema["case_id"].dataType))
+    return means.unionByName(evaluation.compare_cases(off.where("metric <> 'mrr'"), m))
