@@ -58,7 +58,9 @@ def names_containing(names: DataFrame, terms: DataFrame) -> DataFrame:
     three characters (all of a shorter term), so names and terms of a tenant never meet as
     pairs; candidates are then verified. An empty term is in every name, a null one in none."""
     low, asked = F.lower("name"), terms.select("user_id", "term").distinct()
-    pieces = F.flatten(F.filter(F.array(F.array(F.lit("")), *(_grams(low, n) for n in (1, 2, 3))), lambda x: x.isNotNull()))
+    # names are cut into pieces of those sizes only that a term has
+    sizes = sorted(r[0] for r in asked.where("term is not null").select(F.least(F.length(F.lower("term")), F.lit(3))).distinct().collect())
+    pieces = F.flatten(F.filter(F.array(*(_grams(low, n) if n else F.array(F.lit("")) for n in sizes or [0])), lambda x: x.isNotNull()))
     parts = asked.select("user_id", "term", F.explode(F.array_distinct(F.coalesce(_grams(F.lower("term"), 3), F.array(F.lower("term"))))).alias("gram"))
     held = names.select("*", F.explode(F.array_distinct(pieces)).alias("gram")).join(parts.select("user_id", "gram").distinct(), ["user_id", "gram"], "left_semi")
     counts = held.groupBy("user_id", "gram").agg(F.count("*").alias("n"))
@@ -206,7 +208,7 @@ def _heavy_only(sets: DataFrame, titles: DataFrame, limit: int, probe: int = 16,
     prefix = bound.select(*key, "held", "least", F.explode(F.slice("held", F.lit(1), (F.size("held") - F.col("least") + 1).cast("int"))).alias("entity_name"))
     parts = written(entries.groupBy("user_id", "entity_name").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")), "parts")
     dealt = entries.join(parts, ["user_id", "entity_name"]).withColumn("part", F.pmod(F.xxhash64("other_set"), F.col("parts")))
-    asked = prefix.join(parts, ["user_id", "entity_name"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long"))
+    asked = prefix.join(parts, ["user_id", "entity_name"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
     met = asked.join(dealt.select("user_id", "entity_name", F.col("part").cast("long").alias("part"), "other_set", "b"), ["user_id", "entity_name", "part"]).select(*key, "other_set", "least", shared).where("shared >= least").distinct()
     reps = first.withColumnRenamed("set_id", "other_set")
     chosen = top(met.join(reps, ["user_id", "other_set"]), key, [F.desc("shared"), "title", "other_id"], limit + 1).select(*key, "other_id", "title", "shared")

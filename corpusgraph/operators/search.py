@@ -130,32 +130,49 @@ def bm25_search(queries: DataFrame, index: Bm25Index, k: int = vocab.RECALL, key
 
     With a written index, postings are taken block by block: the ``first`` buckets of the highest bounds (the sum
     over the query's terms of their best contributions there) are scored, which gives a k-th score to reach; then
-    only those whose bound reaches it. A bucket that is skipped holds no result, so results are those of all postings."""
+    only those whose bound reaches it. Of these, terms that even together can't reach that score (stop words
+    above all) are only looked up for chunks that have another term of the query. What is skipped holds no result, so
+    results are those of all postings."""
     own = ["user_id", *keys]
     asked = queries.select(*own, F.explode(tokenizer(F.col("query_text"))).alias("term")).groupBy(*own, "term").agg(F.count("*").alias("repeats"))
     asked = asked.join(index.terms, ["user_id", "term"]).select(*own, "term", (F.col("repeats") * F.col("idf")).alias("weight"))
     if index.blocks is None:
         return top(_scored(index.postings.join(asked, ["user_id", "term"]), index, own), own, [F.desc("score"), "chunk_id"], k)
     asked = written(asked, "asked")
-    bounds, scored, rest = _best_blocks(asked, index, k, own, first)
-    return top(scored.unionByName(_of_blocks(asked, rest, index, own)), own, [F.desc("score"), "chunk_id"], k)
+    bounds = _bounds(asked, index, own)
+    scored = written(_scored(_hits(asked.withColumn("essential", F.lit(True)), bounds.where(F.col("rank") <= first), index, own), index, own), "scored")
+    rest, needed = _remaining(asked, bounds, scored, index, k, own, first)
+    return top(scored.unionByName(_scored(_hits(needed, rest, index, own), index, own)), own, [F.desc("score"), "chunk_id"], k)
 
 
-def _of_blocks(asked: DataFrame, buckets: DataFrame, index: Bm25Index, own: list[str]) -> DataFrame:
-    """Scores of all chunks in some ``buckets`` of each query. Postings meet queries by (user, term, bucket)."""
-    wanted = buckets.select(*own, "bucket").join(asked, own).join(index.blocks.select("user_id", "term", "bucket"), ["user_id", "term", "bucket"])
-    return _scored(index.postings.join(wanted, ["user_id", "term", "bucket"]), index, own)
-
-
-def _best_blocks(asked: DataFrame, index: Bm25Index, k: int, own: list[str], first: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Bounds of all buckets of each query, the scores in the first ones, and the others that can still
-    hold one of its ``k`` best."""
+def _bounds(asked: DataFrame, index: Bm25Index, own: list[str]) -> DataFrame:
+    """For each query its buckets with the most that a chunk there can score, in that order."""
     met = index.blocks.join(asked, ["user_id", "term"])
-    bounds = written(ranked(met.groupBy(*own, "bucket").agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"), F.sum("n").alias("postings")), own, [F.desc("bound"), "bucket"]), "bounds")
-    scored = written(_of_blocks(asked, bounds.where(F.col("rank") <= first), index, own), "scored")
-    reached = top(scored, own, [F.desc("score"), "chunk_id"], k).where(F.col("rank") == k).select(*own, F.col("score").alias("reached"))
-    rest = bounds.where(F.col("rank") > first).join(reached, own, "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached") - SLACK))
-    return bounds, scored, rest
+    summed = met.groupBy(*own, "bucket").agg(F.sum(F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))).alias("bound"), F.sum("n").alias("postings"))
+    return written(ranked(summed, own, [F.desc("bound"), "bucket"]), "bounds")
+
+
+def _remaining(asked: DataFrame, bounds: DataFrame, scored: DataFrame, index: Bm25Index, k: int, own: list[str], first: int) -> tuple[DataFrame, DataFrame]:
+    """The buckets that can still hold one of the ``k`` best of a query, and its terms with ``essential``: without one
+    of these no chunk is among them."""
+    reached = written(top(scored, own, [F.desc("score"), "chunk_id"], k).where(F.col("rank") == k).select(*own, (F.col("score") - SLACK).alias("reached")), "reached")
+    rest = bounds.where(F.col("rank") > first).join(reached, own, "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached")))
+    most = index.blocks.join(asked.select("user_id", "term").distinct(), ["user_id", "term"]).groupBy("user_id", "term").agg(F.max("best").alias("best"))
+    gain = F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))
+    so_far = F.sum("gain").over(Window.partitionBy(*own).orderBy("gain", "term"))
+    needed = asked.join(most, ["user_id", "term"]).withColumn("gain", gain).withColumn("so_far", so_far).join(reached, own, "left")
+    return rest, needed.select(*own, "term", "weight", (F.col("reached").isNull() | (F.col("so_far") >= F.col("reached"))).alias("essential"))
+
+
+def _hits(asked: DataFrame, buckets: DataFrame, index: Bm25Index, own: list[str]) -> DataFrame:
+    """The postings to score in some ``buckets`` of each query, with the ``weight`` of their term there: all of essential
+    terms, and those of other terms for the same chunks. Postings meet queries by (user, term, bucket)."""
+    some = buckets.select(*own, "bucket").join(asked, own)
+    cols = [*own, "bucket", "chunk_id", "weight", "tf", "dl"]
+    wanted = some.where("essential").join(index.blocks.select("user_id", "term", "bucket"), ["user_id", "term", "bucket"])
+    hits = index.postings.join(wanted, ["user_id", "term", "bucket"]).select(*cols)
+    looked = hits.select(*own, "bucket", "chunk_id").distinct().join(asked.where("not essential"), own)
+    return hits.unionByName(index.postings.join(looked, ["user_id", "term", "bucket", "chunk_id"]).select(*cols))
 
 
 def dedup_queries(variants: DataFrame, most: int = vocab.VARIANTS) -> DataFrame:

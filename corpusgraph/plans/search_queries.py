@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, search, vectors
+from ..operators import ann, evaluation, search, vectors
 from ..sources import scratch
 from .graph_queries import HOPS_SQL
 from .registry import Tables, query
@@ -46,6 +46,11 @@ def vector_search(t: Tables):
     return vectors.vector_search(t.v_queries, t.v_vectors, 10)
 
 
+@query("emb2_approximate_search")
+def approximate_search(t: Tables):
+    return ann.approximate_search(t.v_queries, ann.build_index(t.v_vectors), 10, probes=40, refine=20)
+
+
 @query("emb3_chunks_by_ids", "select id as request_id, ordinal - 1 as position, c.chunk_id, content from g_documents d join g_chunks c on d.id = c.document_id")
 def chunks_by_ids(t: Tables):
     wanted = t.g_chunks.groupBy("user_id", F.col("document_id").alias("request_id")).agg(F.concat(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id"))), lambda x: x["chunk_id"]), F.array(F.lit("nowhere"))).alias("ids"))

@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocab
 
-# Documents that hold a passage have its second to sixth word side by side; DuckDB takes all pairs.
-_ANCHORED = """(select distinct item_id, doc_id from (select item_id, xxhash64(array_join(slice(split(text, '[ \\n\\t]+'), 2, 5), ' ')) as w from benchmark) p
-  join (select doc_id, explode(transform(sequence(1, greatest(size(x) - 4, 1)), i -> xxhash64(array_join(slice(x, i, 5), ' ')))) as w from (select doc_id, split(text, '[ \\n\\t]+') as x from documents) y) s on p.w = s.w) a"""
+# Documents that hold a passage have its inner words (five of them, from the second on) side by side, as only the
+# first and the last may be parts of words there; passages without inner words meet all documents. DuckDB takes all pairs.
+_PASSAGES = """(select item_id, least(size(x) - 2, 5) as n, xxhash64(array_join(slice(x, 2, least(size(x) - 2, 5)), ' ')) as w from (select item_id, split(text, '[ \\n\\t]+') as x from benchmark) z where size(x) > 2)"""
+_ANCHORED = f"""(select distinct item_id, doc_id from {_PASSAGES} p
+  join (select doc_id, n, explode(transform(sequence(1, size(x) - n + 1), i -> xxhash64(array_join(slice(x, i, n), ' ')))) as w from (select doc_id, split(text, '[ \\n\\t]+') as x from documents) y join (select distinct n from {_PASSAGES} q) v on size(x) >= n) s on p.n = s.n and p.w = s.w
+  union all select item_id, doc_id from benchmark join documents on size(split(benchmark.text, '[ \\n\\t]+')) <= 2) a"""
 SPARK = {
     "anchored": _ANCHORED,
     "text": "string", "day": "date_format({0}, 'yyyy-MM-dd')", "ntz": "timestamp_ntz", "digits": "regexp_extract({0}, '[0-9]+', 0)",

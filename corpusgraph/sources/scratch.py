@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder, so that it is neither computed again
     nor lost with an executor."""
@@ -27,4 +30,17 @@ def new_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(context.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete all working folders that this application made, once its results have been read (results
+    are lazy and read them); returns their number."""
+    context = spark.sparkContext
+    made = _made.pop(context.applicationId, [])
+    for path in made:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    return len(made)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..operators.ranking import latest
+from ..operators.ranking import latest, unused
 
 SCHEMAS = {
     "users": "id long, username string, created_at timestamp",
@@ -89,9 +89,10 @@ def read_gold(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def upsert_chunks(new: DataFrame, existing: DataFrame, keep: str = "new", order: str = "updated_at") -> DataFrame:
     """One row per chunk id: the newest (``keep="new"``) or the oldest row."""
-    rows = existing.withColumn("__side", F.lit(0)).unionByName(new.withColumn("__side", F.lit(1)), allowMissingColumns=True)
+    side = unused(existing.select("*", *(F.lit(0).alias(x) for x in new.columns if x not in existing.columns)), "side")
+    rows = existing.withColumn(side, F.lit(0)).unionByName(new.withColumn(side, F.lit(1)), allowMissingColumns=True)
     newest = keep == "new"
-    return latest(rows, ["chunk_id"], [F.desc("__side"), F.desc(order)] if newest else [F.asc("__side"), F.asc(order)]).drop("__side")
+    return latest(rows, ["chunk_id"], [F.desc(side), F.desc(order)] if newest else [F.asc(side), F.asc(order)]).drop(side)
 
 
 def rebuild_vectors(chunks: DataFrame, cache: DataFrame, model: str, store: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

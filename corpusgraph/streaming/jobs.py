@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -214,6 +214,5 @@ def run_once(stream: DataFrame, path: str, mode: str = "append", upsert_key: str
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{path}/out")
     if upsert_key:
         keys = [upsert_key] if isinstance(upsert_key, str) else upsert_key
-        last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
-        rows = rows.join(last, [*keys, "batch"], "left_semi")
+        rows = rows.withColumn("last", F.max("batch").over(Window.partitionBy(*keys))).where("batch = last")
     return rows.select(*stream.columns)

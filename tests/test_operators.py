@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from corpusgraph.operators import chat, graph, lifecycle, reports, search, vectors
+from corpusgraph.operators import ann, chat, graph, lifecycle, reports, search, vectors
 from corpusgraph.plans import catalog
 from corpusgraph.streaming import jobs
 
@@ -73,7 +73,8 @@ def test_vector_search_keeps_users_apart(spark):
     held = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", [0.0, 1.0]), (2, "c", [1.0, 0.0]), (1, "n", None)], "user_id long, chunk_id string, embedding array<double>")
     asked = spark.createDataFrame([(1, 7, [1.0, 0.1])], "user_id long, query_id long, embedding array<double>")
     assert rows(vectors.vector_search(asked, held, 5), "chunk_id", "rank") == [("a", 1), ("b", 2)]
-    assert rows(vectors.lsh_neighbours(asked, held.where("embedding is not null"), 1), "chunk_id") == [("a",)]
+    near = ann.approximate_search(asked, ann.build_index(held, cells=2, groups=2), 1, probes=2)
+    assert rows(near, "user_id", "chunk_id") == [(1, "a")]
 
 
 def test_embedding_cache(spark):

@@ -42,10 +42,10 @@ def test_status_fold_of_shuffled_batches(spark, tmp_path):
 
 def test_what_the_watermark_has_passed_is_final(spark, tmp_path):
     at = lambda i, s, what: (1, i, float(s), what, None)
-    parts = [[at(1, 100, "indexed")], [at(2, 50, "document_created"), at(3, 9000, "graphed")], [at(4, 60, "failed")], [at(5, 8990, "failed")]]
+    parts = [[at(1, 100, "indexed")], [at(2, 50, "document_created"), at(3, 9000, "graphed")], [at(5, 8990, "failed")], [at(4, 60, "failed")]]
     stream = streamed(spark, tmp_path, parts, EVENTS)
     got = jobs.run_once(jobs.fold_status_stream(stream, "10 minutes"), f"{tmp_path}/w", "update", "doc_id").collect()
-    # the event of second 60 comes when the watermark is at 8400: too late; that of 8990 is before the one of 9000
+    # the event of second 60 comes a batch after the watermark has reached 8400: too late; that of 8990 is before the one of 9000
     assert [(r.status, r.applied, r.rejected) for r in got] == [("failed", 3, 1)]
 
 
@@ -75,13 +75,14 @@ def test_silent_documents(spark, tmp_path):
     docs = spark.createDataFrame([(1, None, None), (2, "indexed", None), (3, "ready", None), (4, "graphed", None), (5, "failed", "x"), (6, "pending", None)], "id long, status string, error_message string")
     minute = 60.0
     parts = [
-        [(1, 0 * minute), (2, 0 * minute), (3, 0.0), (9, 1.0)],
-        [(1, 20 * minute), (None, 100 * minute)],  # the watermark passes both documents' half hours
-        [(2, 95 * minute), (None, 110 * minute)],  # 2 is alive after all
-        [(2, 96 * minute), (6, 96 * minute), (None, 126 * minute + 5.000001)],
+        [(1, 0.0), (2, 0.0), (3, 0.0), (9, 1.0)],
+        [(1, 20 * minute), (None, 100 * minute)],
+        [(None, 101 * minute)],  # the watermark is at 80 minutes: 1, 2, 4 and 6 have failed
+        [(2, 95 * minute), (6, 96 * minute), (None, 110 * minute)],  # 2 and 6 are alive after all
+        [(2, 96 * minute), (None, 146 * minute + 0.000001)],
     ]
     stream = streamed(spark, tmp_path, parts, "doc_id long, s double")
-    got = jobs.run_once(jobs.reconcile_stream(docs, stream, 30, "5 seconds"), f"{tmp_path}/w", "update", "id")
+    got = jobs.run_once(jobs.reconcile_stream(docs, stream, 30, "20 minutes"), f"{tmp_path}/w", "update", "id")
     now = F.timestamp_micros(F.lit(int((126 * minute) * 1_000_000)))
     progress = stamped(spark, [x for part in parts for x in part if x[0]], "doc_id long, s double")
     want = lifecycle.reconcile(docs, progress, now)
