@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import vocab
 from ..operators import ann, evaluation, search, vectors
 from ..sources import scratch
 from .graph_queries import HOPS_SQL
@@ -231,10 +232,25 @@ def _vector_chunks(t: Tables):
     return t.v_vectors.select("user_id", "document_id", "chunk_id", "vec_id", F.concat(F.lit("label "), F.col("chunk_id")).alias("content"), F.lit("A").alias("hierarchy_path")).withColumn("ordinal", place.cast("long"))
 
 
-@query("ret10_retrieve")
+_RETRIEVED = f"""with kk as (select user_id, document_id, chunk_id as id, concat('label ', chunk_id) as content, row_number() over (partition by user_id, document_id order by vec_id) as ordinal from v_vectors),
+  qq as (select user_id, query_id, concat('label ', query_id) as query_text from v_queries), {_DENSE},
+  {_BM25.replace("t_documents", "kk").replace("q_queries", "qq")},
+  lists as (select user_id, query_id, 0 as list_no, rank, chunk_id from dense where rank <= {vocab.RECALL} union all select user_id, query_id, 1, rank, chunk_id from bm25 where rank <= {vocab.RECALL}),
+  fused as (select *, row_number() over (partition by user_id, query_id order by score desc, o, chunk_id) as k from (select user_id, query_id, chunk_id, round(sum(1.0::double / ({vocab.RRF_K} + rank)), 9) as score, min(list_no * 1000 + rank) as o from lists group by 1, 2, 3) x),
+  judged as (select f.user_id, f.query_id, f.chunk_id, k, len(list_intersect({_BAG.format("query_text")}, {_BAG.format("content")})) / len({_BAG.format("query_text")})::double as s from fused f join qq on qq.user_id = f.user_id and qq.query_id = f.query_id join kk on kk.id = f.chunk_id where k <= {vocab.FUSED}),
+  seeds as (select x.*, document_id, ordinal from (select *, row_number() over (partition by user_id, query_id order by s desc, k) as rank from judged) x join kk on kk.id = x.chunk_id where rank <= 5),
+  near_ as (select a.user_id, query_id, b.id as chunk_id, a.rank * 1000000 + 100000 + 2 + case when b.ordinal > a.ordinal then 1 else 0 end as o from seeds a join kk b on a.user_id = b.user_id and a.document_id = b.document_id and abs(a.ordinal - b.ordinal) = 1),
+  kin as (select a.user_id, query_id, b.id as chunk_id, a.rank, row_number() over w as position, sum(length(b.content)) over w as used from seeds a join kk b on a.user_id = b.user_id and a.document_id = b.document_id and a.chunk_id <> b.id window w as (partition by a.user_id, query_id, a.chunk_id order by b.ordinal, b.id rows unbounded preceding)),
+  every as (select user_id, query_id, chunk_id, rank * 1000000 as o from seeds union all select * from near_ union all select user_id, query_id, chunk_id, rank * 1000000 + 200000 + position from kin where used <= {vocab.SIBLING_CHARS} and position <= {vocab.SIBLINGS}),
+  cut as (select user_id, query_id, chunk_id, row_number() over (partition by user_id, query_id order by min(o), chunk_id) as rank from every group by 1, 2, 3)
+  select * from cut where rank <= {vocab.CONTEXT}"""
+
+
+@query("ret10_retrieve", _RETRIEVED)
 def retrieve(t: Tables):
     chunks = _vector_chunks(t)
-    return search.retrieve(_vector_queries(t), chunks, t.v_vectors, search.bm25_index(chunks))
+    index = search.bm25_index(chunks).written(scratch.new_path(t.spark, "index"))
+    return search.retrieve(_vector_queries(t), chunks, t.v_vectors, index)
 
 
 _AROUND = f"""with {_DENSE}, f as (select distinct d.user_id, query_id, v.document_id as name from dense d join v_vectors v on v.user_id = d.user_id and v.chunk_id = d.chunk_id where rank <= 10),

@@ -15,9 +15,9 @@ from corpusgraph.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
 COMPARED = [
-    "chk2_sections", "chk5_add_overlap", "cht1_history", "cht2_citation_context", "cht5_graph_facts", "emb2_vector_search", "emb4_chunk_context", "evl3_ndcg", "evl5_evaluate", "ext2_parse_extraction",
-    "grf3_related_entities", "grf7_related_documents", "grf10_entity_categories", "grf13_merge_entities", "grf14_delete_documents", "rep3_entity_timeline", "rep4_visible_curve", "rep6_recent_activity", "rep9_monthly_growth",
-    "ret2_bm25_search", "ret5_rrf_fuse", "ret7_section_siblings", "snk2_rebuild_vectors", "str1_fold_status_stream", "str2_reconcile", "str3_progress", "txt6_clip",
+    "chk2_sections", "chk4_split_text", "chk5_add_overlap", "chk6_chunk_documents", "cht1_history", "cht2_citation_context", "cht5_graph_facts", "emb2_vector_search", "emb4_chunk_context", "evl3_ndcg", "evl5_evaluate", "ext2_parse_extraction",
+    "grf3_related_entities", "grf7_related_documents", "grf10_entity_categories", "grf13_merge_entities", "grf14_delete_documents", "rep3_entity_timeline", "rep4_visible_curve", "rep6_recent_activity", "rep9_monthly_growth", "rep11_document_detail",
+    "ret2_bm25_search", "ret5_rrf_fuse", "ret9_enrich", "ret10_retrieve", "ret11_graph_query", "ret7_section_siblings", "snk2_rebuild_vectors", "str1_fold_status", "str1_fold_status_stream", "str2_reconcile", "str2_reconcile_stream", "str3_progress", "str4_throttle", "str5_ingest_stream", "txt6_clip",
 ]
 
 
@@ -254,3 +254,61 @@ def test_stream_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
     got = jobs.run_once(jobs.fold_status_stream(stream), str(tmp_path / "work"), "update", "doc_id").collect()
     assert [(r.status, r.error_message, r.applied, r.rejected) for r in got] == [("ready", None, 6, 1)]
+
+
+def test_embedding_query_equals_plain_hashing(spark):
+    from corpusgraph.plans.views import view
+
+    texts = {r.id: r.content for r in view(spark, SF, "t_documents").collect()}
+    got = {r.id: (r.dim, r.norm) for r in catalog.QUERIES["emb1_cached_embedding"](spark, SF).collect()}
+    assert set(got) == set(texts)
+    for i, x in texts.items():
+        vector = vectors.feature_hashing([x], 64)[0].astype("float32") if x and x.strip() else [0.0] * 64
+        assert got[i][0] == 64 and got[i][1] == pytest.approx(sum(float(v) ** 2 for v in vector), abs=2e-4)
+
+
+def test_map_equals_a_full_decomposition(spark):
+    import numpy as np
+
+    from corpusgraph.plans.views import view
+
+    held = view(spark, SF, "v_vectors").collect()
+    got = {(r.user_id, r.document_id): (r.x, r.y) for r in catalog.QUERIES["emb6_cluster_map"](spark, SF).collect()}
+    for user in {r.user_id for r in held}:
+        own = [r for r in held if r.user_id == user]
+        m = np.array([r.embedding for r in own], dtype=float)
+        m -= m.mean(axis=0)
+        axes = np.linalg.svd(m, full_matrices=False)[2][:2]
+        axes *= np.sign(axes[np.arange(2), np.abs(axes).argmax(axis=1)])[:, None]
+        points = np.array([got[(user, r.chunk_id)] for r in own])
+        assert np.allclose(points, m @ axes.T, atol=1e-6) and abs(points[:, 0] @ points[:, 1]) < 1e-6
+
+
+def test_gold_of_short_passages(spark):
+    from corpusgraph.plans.views import view
+    from corpusgraph.sources import scratch
+
+    folder = scratch.new_path(spark, "gold")
+    texts = ["one", "two words", "three short words", "a passage of four", "the five words of it", "this one has six words", "and this passage has a few more words"]
+    docs = [(i, f"before{x}after {'filler ' * i}", "en", "src1", 1) for i, x in enumerate(texts)] + [(90, "nothing", "en", "src1", 1), (91, None, "en", "src1", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    got = {(r.case_id, int(r.chunk_id)) for r in view(spark, folder, "q_gold").collect()}
+    assert got == {(i, d[0]) for i, x in enumerate(texts) for d in docs if d[1] and x in d[1]}
+
+
+def test_private_columns_and_clearing(spark):
+    from corpusgraph.sources import scratch, tables
+
+    old = spark.createDataFrame([("a", 1, 1, "x"), ("b", 1, 1, "x")], "chunk_id string, side int, updated_at int, rank string")
+    new = spark.createDataFrame([("a", 2, 0, "y")], old.schema)
+    assert rows(tables.upsert_chunks(new, old), "chunk_id", "side", "rank") == [("a", 2, "y"), ("b", 1, "x")]
+    assert rows(tables.upsert_chunks(new, old, keep="old"), "chunk_id", "side") == [("a", 1), ("b", 1)]
+    kept = dict(scratch._made)
+    scratch._made.clear()
+    path = scratch.new_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert scratch.clear(spark) == 1 and scratch.clear(spark) == 0
+    scratch._made.update(kept)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
