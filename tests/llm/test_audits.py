@@ -29,7 +29,7 @@ def widened(df):
     """Columns that an operator may use itself."""
     names = ["term", "n", "docs", "g", "p", "value", "rank", "pos", "tree", "leaf", "lang_", "part", "__part", "item_id", "block"]
     for x in names:
-        df = df.withColumn(x, df["text"])
+        df = df if x in df.columns else df.withColumn(x, df["text"])
     return df
 
 
