@@ -135,6 +135,13 @@ def apply_tags(tags: DataFrame, documents: DataFrame, adds: DataFrame, removes:
     return clean(tags).join(clean(removes), key, "left_anti").unionByName(owned).distinct()
 
 
+def rejected_tags(adds: DataFrame, documents: DataFrame) -> DataFrame:
+    """The additions that ``apply_tags`` rejects, with the ``reason``: ``blank`` or ``document`` (unknown, or of another user)."""
+    known = documents.select("user_id", F.col("id").alias("document_id")).withColumn("known", F.lit(True))
+    joined = adds.join(known, ["user_id", "document_id"], "left").select("user_id", "document_id", "tag", F.when(text.normalize_tag(F.col("tag")).isNull(), "blank").when(F.col("known").isNull(), "document").alias("reason"))
+    return joined.where("reason is not null").distinct()
+
+
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     """Each conversation with its number of messages and its last one, latest first."""
     last = messages.groupBy("user_id", "conversation_id").agg(F.count("*").alias("messages"), F.max_by("content", F.struct("created_at", "id")).alias("last_message"), F.max("created_at").alias("last_activity"))

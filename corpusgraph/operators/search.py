@@ -45,16 +45,16 @@ class Bm25Index:
             return spark.read.parquet(f"{folder}/{name}")
 
         band = F.floor(F.log2(F.col("dl") + 1)).cast("int")
-        raw, lengths = put(self.postings, "raw"), put(self.lengths, "lengths")
-        parts = put(lengths.groupBy("user_id", band.alias("band")).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts")), "parts")
-        sized = raw.withColumn("band", band).join(F.broadcast(parts) if parts.count() <= 1_000_000 else parts, ["user_id", "band"])
+        lengths = put(self.lengths, "lengths")
+        parts = lengths.groupBy("user_id", band.alias("band")).agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
         number = F.col("band") * F.lit(1 << 24).cast("long") + F.pmod(F.xxhash64("chunk_id"), F.col("parts"))
-        base = _indexed(sized.withColumn("bucket", number).drop("band", "parts"), lengths)
-        corpus, terms = put(base.corpus, "corpus"), put(base.terms, "terms")
+        sized = self.postings.withColumn("band", band).join(parts, ["user_id", "band"]).withColumn("bucket", number).drop("band", "parts")
         # sorted, so that a search reads few row groups of a term
-        postings = put(base.postings.repartition("user_id", "term", "bucket").sortWithinPartitions("user_id", "term", "bucket"), "postings")
+        postings = put(sized.repartition("user_id", "term", "bucket").sortWithinPartitions("user_id", "term", "bucket"), "postings")
+        base = _indexed(postings, lengths)
+        corpus = put(base.corpus, "corpus")
         best = postings.join(corpus, "user_id").groupBy("user_id", "term", "bucket").agg(F.count("*").alias("n"), F.max(_share()).alias("best"))
-        return Bm25Index(postings, lengths, terms, corpus, put(best, "blocks"))
+        return Bm25Index(postings, lengths, put(base.terms, "terms"), corpus, put(best, "blocks"))
 
 
 def _share() -> Column:
@@ -155,7 +155,7 @@ def _bounds(asked: DataFrame, index: Bm25Index, own: list[str]) -> DataFrame:
 def _remaining(asked: DataFrame, bounds: DataFrame, scored: DataFrame, index: Bm25Index, k: int, own: list[str], first: int) -> tuple[DataFrame, DataFrame]:
     """The buckets that can still hold one of the ``k`` best of a query, and its terms with ``essential``: without one
     of these no chunk is among them."""
-    reached = written(top(scored, own, [F.desc("score"), "chunk_id"], k).where(F.col("rank") == k).select(*own, (F.col("score") - SLACK).alias("reached")), "reached")
+    reached = top(scored, own, [F.desc("score"), "chunk_id"], k).where(F.col("rank") == k).select(*own, (F.col("score") - SLACK).alias("reached"))
     rest = bounds.where(F.col("rank") > first).join(reached, own, "left").where(F.col("reached").isNull() | (F.col("bound") >= F.col("reached")))
     most = index.blocks.join(asked.select("user_id", "term").distinct(), ["user_id", "term"]).groupBy("user_id", "term").agg(F.max("best").alias("best"))
     gain = F.greatest(F.col("weight") * F.col("best"), F.lit(0.0))

@@ -39,9 +39,9 @@ def citation_context(t: Tables):
     return chat.citations(_hits(t), t.g_documents)[1].select("query_id", "context")
 
 
-@query("cht2_citation_sources", f"select chunk_id, ordinal as number, replace(hierarchy_path, ',', '/') as path, false as truncated, {_BAND} as quality from g_chunks where ordinal <= 8")
+@query("cht2_citation_sources", f"select chunk_id, document_id, concat('Order ', document_id) as title, content, ordinal as number, replace(hierarchy_path, ',', '/') as path, false as truncated, {_SCORE} as relevance_score, {_BAND} as quality from g_chunks where ordinal <= 8")
 def citation_sources(t: Tables):
-    return chat.citations(_hits(t), t.g_documents)[0].select("chunk_id", "number", F.array_join("path", "/").alias("path"), "truncated", "quality")
+    return chat.citations(_hits(t), t.g_documents)[0].select("chunk_id", "document_id", "title", "content", "number", F.array_join("path", "/").alias("path"), "truncated", "relevance_score", "quality")
 
 
 @query("cht3_quality", "select l_orderkey, l_partkey, l_suppkey, l_linenumber, case when l_discount * 12 > 1 then 'medium' when l_discount * 12 >= 0.7 then 'high' when l_discount * 12 >= 0.4 then 'medium' else 'low' end as quality from lineitem")
@@ -100,9 +100,19 @@ def feedback(t: Tables):
     return chat.message_feedback(rows, t.m_messages).select("message_id", "rating")
 
 
-@query("cht8_delete_conversations", "select id, conversation_id from m_messages where conversation_id not like '%1'")
+@query(
+    "cht8_delete_conversations",
+    """with x as (select * from m_messages where conversation_id not like '%1') select distinct 'conversation' as what, null as id, conversation_id as key from x union all select 'message', id, conversation_id from x
+       union all select 'source', id, concat('c', id) from x union all select 'feedback', id, 'up' from x where role = 'assistant'""",
+)
 def delete_conversations(t: Tables):
-    conversations = t.m_messages.select("user_id", "conversation_id").distinct()
+    """What is left of conversations, messages, sources and feedback; the deletions of others are ignored."""
+    messages = t.m_messages
+    conversations = messages.select("user_id", "conversation_id").distinct()
     ids = conversations.where("conversation_id like '%1'").unionByName(conversations.select((F.col("user_id") + 1).alias("user_id"), "conversation_id"))
-    none = t.m_messages.select(F.col("id").alias("message_id"))
-    return chat.delete_conversations(ids, conversations, t.m_messages, none, none)["messages"].select("id", "conversation_id")
+    sources = messages.select(F.col("id").alias("message_id"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"))
+    feedback = messages.where("role = 'assistant'").select(F.col("id").alias("message_id"), F.lit("up").alias("rating"))
+    out = chat.delete_conversations(ids, conversations, messages, sources, feedback)
+    rows = lambda what, df, i, key: df.select(F.lit(what).alias("what"), i.cast("long").alias("id"), F.col(key).alias("key"))
+    left = rows("conversation", out["conversations"], F.lit(None), "conversation_id").unionByName(rows("message", out["messages"], F.col("id"), "conversation_id"))
+    return left.unionByName(rows("source", out["sources"], F.col("message_id"), "chunk_id")).unionByName(rows("feedback", out["feedback"], F.col("message_id"), "rating"))

@@ -118,18 +118,31 @@ def document_detail(t: Tables):
     return found.select("user_id", "document_id", F.array_join("tags", ",").alias("tags"), "chunk_count", F.array_join("previews", "|").alias("previews"), "top_entities", F.array_join("entities", ",").alias("entities"), "related_documents", F.array_join("related", ",").alias("related"))
 
 
-@query("rep12_document_chunks", "select document_id, chunk_id, ordinal, replace(hierarchy_path, ',', '/') as path from g_chunks where document_id in (select id from g_documents where file_type = 'O')")
+@query(
+    "rep12_document_chunks",
+    """select document_id, chunk_id, ordinal, replace(hierarchy_path, ',', '/') as path, content from g_chunks where document_id in (select id from g_documents where file_type <> 'P')
+       union all select concat('no_', id), null, null, null, null from g_documents where file_type = 'P'""",
+)
 def document_chunks(t: Tables):
-    wanted = t.g_documents.where("file_type = 'O'").select("user_id", F.col("id").alias("document_id"))
-    rows, _ = reports.document_chunks(wanted, t.g_documents, t.g_chunks)
-    return rows.select("document_id", "chunk_id", "ordinal", F.array_join("path", "/").alias("path"))
+    """The chunks of the documents asked for; those that don't exist have a row without a chunk."""
+    wanted = t.g_documents.select("user_id", F.when(F.col("file_type") == "P", F.concat(F.lit("no_"), "id")).otherwise(F.col("id")).alias("document_id"))
+    rows, missing = reports.document_chunks(wanted, t.g_documents, t.g_chunks)
+    found = rows.select("document_id", "chunk_id", "ordinal", F.array_join("path", "/").alias("path"), "content")
+    return found.unionByName(missing.select("document_id"), allowMissingColumns=True)
 
 
-@query("rep13_apply_tags", f"with {_CLEAN} select document_id, tag from clean where tag <> 'f' union select id, 'new' from g_documents")
+@query(
+    "rep13_apply_tags",
+    f"""with {_CLEAN} select user_id, document_id, tag, null as reason from clean where tag <> 'f' union select user_id, id, 'new', null from g_documents
+        union select user_id, id, ' # ', 'blank' from g_documents union select user_id + 1, id, 'x', 'document' from g_documents""",
+)
 def apply_tags(t: Tables):
-    adds = t.g_documents.select("user_id", F.col("id").alias("document_id"), F.lit("## New").alias("tag")).unionByName(t.g_documents.select((F.col("user_id") + 1).alias("user_id"), F.col("id").alias("document_id"), F.lit("x").alias("tag")))
+    """The tags after the edits, and the additions that were rejected."""
+    ids = t.g_documents.select("user_id", F.col("id").alias("document_id"))
+    adds = ids.withColumn("tag", F.lit("## New")).unionByName(ids.withColumn("tag", F.lit(" # "))).unionByName(ids.withColumn("user_id", F.col("user_id") + 1).withColumn("tag", F.lit("x")))
     removes = t.g_tags.withColumn("tag", F.lit("F"))
-    return reports.apply_tags(t.g_tags, t.g_documents, adds, removes).select("document_id", "tag")
+    kept = reports.apply_tags(t.g_tags, t.g_documents, adds, removes).select("user_id", "document_id", "tag", F.lit(None).cast("string").alias("reason"))
+    return kept.unionByName(reports.rejected_tags(adds, t.g_documents))
 
 
 _LISTED = """l as (select user_id, conversation_id, count(*) as messages, arg_max(content, (created_at, id)) as last_message, max(created_at) as last_activity from m_messages group by 1, 2), listed as (select *, row_number() over (partition by user_id order by last_activity desc, conversation_id) as rank from l)"""

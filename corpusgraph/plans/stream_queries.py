@@ -61,16 +61,16 @@ def fold_status_stream(t: Tables):
     return jobs.run_once(jobs.fold_status_stream(events, _DELAY), scratch.new_path(t.spark, "fold"), "update", "doc_id")
 
 
-_NOW = "timestamp '2024-01-20 00:00:00'"
+_NOW = "timestamp '2024-01-31 00:00:00'"
 
 
 @query(
     "str2_reconcile",
-    f"""with l as (select doc_id, max(ts) as last_event from p_progress where event_type = 'view' group by 1), d as (select distinct user_id as id, case user_id % 4 when 0 then 'ready' when 1 then 'indexed' when 2 then null else 'failed' end as status from events)
+    f"""with l as (select doc_id, max(ts) as last_event from p_progress group by 1), d as (select distinct user_id as id, case user_id % 4 when 0 then 'ready' when 1 then 'indexed' when 2 then null else 'failed' end as status from events)
         select id, case when s then 'failed' else status end as status, s as reconciled from (select id, coalesce(status, 'pending') as status, coalesce(status, 'pending') not in ('ready', 'failed') and (last_event is null or last_event < {_NOW} - interval 30 minutes) as s from d left join l on l.doc_id = d.id) x""",
 )
 def reconcile(t: Tables):
-    return lifecycle.reconcile(_known(t), t.p_progress.where("event_type = 'view'"), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")).drop("error_message")
+    return lifecycle.reconcile(_known(t), t.p_progress, F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")).drop("error_message")
 
 
 def _known(t: Tables):
@@ -79,14 +79,14 @@ def _known(t: Tables):
 
 @query(
     "str2_reconcile_stream",
-    f"""with l as (select doc_id, max(ts) as last_event from p_progress where event_type = 'view' and ts <= {_NOW} group by 1), d as (select distinct user_id as id, case user_id % 4 when 0 then 'ready' when 1 then 'indexed' when 2 then null else 'failed' end as status from events)
+    f"""with l as (select doc_id, max(ts) as last_event from p_progress where ts <= {_NOW} group by 1), d as (select distinct user_id as id, case user_id % 4 when 0 then 'ready' when 1 then 'indexed' when 2 then null else 'failed' end as status from events)
         select id, case when s then 'failed' else status end as status, case when s then '{lifecycle.STALE}' end as error_message, s as reconciled from (select id, coalesce(status, 'pending') as status, coalesce(status, 'pending') not in ('ready', 'failed') and (last_event is null or last_event < {_NOW} - interval 30 minutes) as s from d left join l on l.doc_id = d.id) x""",
 )
 def reconcile_stream(t: Tables):
     """Events up to now in shuffled batches, then the sweep's own time as the last row."""
-    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
     path = scratch.new_path(t.spark, "clock")
-    seen = t.p_progress.where("event_type = 'view'").select("id", "doc_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts") <= now)
+    seen = t.p_progress.select("id", "doc_id", F.col("ts").cast("timestamp").alias("ts")).where(F.col("ts") <= now)
     files = max(8, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
     seen.repartition(files, F.xxhash64("id")).write.parquet(f"{path}/a")
     t.spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("doc_id"), (now + F.expr("interval 40 days")).alias("ts")).coalesce(1).write.parquet(f"{path}/b")

@@ -16,6 +16,14 @@ KINDS = ["document_created", "indexed", "graphed", "ready", "failed", "pending",
 EVENTS = "doc_id long, id long, s double, status string, error_message string"
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def stamped(spark, rows, schema):
     return spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros((F.col("s") * 1_000_000).cast("long"))).drop("s")
 
