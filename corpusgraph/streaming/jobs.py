@@ -115,14 +115,21 @@ class Throttle(Ordered):
             yield Row(key=key[0], id=i, t=t, allowed=allowed, retry_after=wait)
 
 
+def _timed(rows: DataFrame, delay: str) -> DataFrame:
+    """``rows`` with ``at``, the microseconds of ``ts``, and a watermark on ``clock``: the same time, but after the
+    epoch, since a stream's first watermark is the epoch and would make what isn't later late."""
+    clock = F.when(F.col("ts").isNotNull(), F.greatest("ts", F.timestamp_millis(F.lit(1))))
+    return rows.withColumn("at", F.unix_micros("ts")).withColumn("clock", clock).withWatermark("clock", delay)
+
+
 def fold_status_stream(events: DataFrame, delay: str = "1 hour", keep_days: float = 30) -> DataFrame:
     """``fold_status`` over a stream, in update mode: each row is the fold of all events that have arrived
     for a document, in the order of (ts, id). Events may be late and out of order by ``delay``; later ones are
     dropped. A document's state ends ``keep_days`` after its last event. Needs the RocksDB state
     store (``run_once`` sets it)."""
     kind = events.schema["doc_id"].dataType.simpleString()
-    rows = events.select("doc_id", F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "status", "error_message").withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
-    return rows.groupBy("doc_id").transformWithState(StatusFold(keep_days * 86_400), f"doc_id {kind}, {STATE}", "update", "eventTime")
+    rows = events.select("doc_id", F.col("id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "status", "error_message")
+    return _timed(rows, delay).groupBy("doc_id").transformWithState(StatusFold(keep_days * 86_400), f"doc_id {kind}, {STATE}", "update", "eventTime")
 
 
 def throttle_stream(requests: DataFrame, most: int, window: float, delay: str = "1 hour") -> DataFrame:
@@ -131,8 +138,8 @@ def throttle_stream(requests: DataFrame, most: int, window: float, delay: str =
     requests within ``delay``; it ends ``window`` after the last one. A request without a time is allowed."""
     kind = requests.schema["key"].dataType.simpleString()
     rows = requests.select("key", F.col("id").cast("long").alias("id"), F.col("t").cast("double").alias("t"))
-    rows = rows.withColumn("at", (F.col("t") * 1_000_000).cast("long")).withColumn("ts", F.timestamp_micros("at")).withWatermark("ts", delay)
-    return rows.groupBy("key").transformWithState(Throttle(most, window), f"key {kind}, id long, t double, allowed boolean, retry_after long", "update", "eventTime")
+    rows = rows.withColumn("ts", F.timestamp_micros((F.col("t") * 1_000_000).cast("long")))
+    return _timed(rows, delay).groupBy("key").transformWithState(Throttle(most, window), f"key {kind}, id long, t double, allowed boolean, retry_after long", "update", "eventTime")
 
 
 class Silence(StatefulProcessor):
@@ -184,8 +191,8 @@ def reconcile_stream(documents: DataFrame, progress: DataFrame, minutes: float =
     is the watermark: where events may pause, feed it rows without a document."""
     kind = documents.schema["id"].dataType.simpleString()
     known = documents.select(F.col("id").alias("doc_id"), "status", "error_message").groupBy("doc_id")
-    rows = progress.select("doc_id", F.col("ts").cast("timestamp").alias("ts")).withColumn("at", F.unix_micros("ts")).withWatermark("ts", delay)
-    return rows.groupBy("doc_id").transformWithState(Silence(minutes), f"id {kind}, status string, error_message string, reconciled boolean", "update", "eventTime", initialState=known)
+    rows = progress.select("doc_id", F.col("ts").cast("timestamp").alias("ts"))
+    return _timed(rows, delay).groupBy("doc_id").transformWithState(Silence(minutes), f"id {kind}, status string, error_message string, reconciled boolean", "update", "eventTime", initialState=known)
 
 
 def upload_volume(documents: DataFrame, length: str = "1 day", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
