@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text, vocab
+from ..functions import segment, text, vocab
 from ..operators import chunking
 from ..sources import scratch, tables
 from .registry import Tables, query
@@ -177,6 +177,16 @@ def tokens(t: Tables):
     return t.t_documents.select("id", text.tokens(F.col("content")).alias("x")).select("id", F.size("x").cast("long").alias("n"), F.md5(F.array_join("x", " ")).alias("digest"))
 
 
+@query("txt1_word_tokens")
+def word_tokens(t: Tables):
+    """Passages without their spaces, cut again into words of the passages."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    counts = t.benchmark.select(F.explode(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = {r.w: r.n for r in counts.limit(segment.MOST_WORDS).collect()}
+    tokens = segment.word_tokens(words or {"a": 1}, run="[a-z]+", least=1)
+    return t.benchmark.select("item_id", F.array_join(tokens(F.regexp_replace(low, "[^a-z]+", "")), " ").alias("words"))
+
+
 @query("txt2_token_set", r"select id, len(list_distinct(regexp_extract_all(lower(content), '[A-Za-z0-9_]+'))) as n from t_documents")
 def token_set(t: Tables):
     return t.t_documents.select("id", F.size(text.token_set(F.col("content"))).cast("long").alias("n"))

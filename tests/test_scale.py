@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import itertools
 import random
+import re
 import time
 
 import numpy as np
@@ -195,3 +196,17 @@ def test_segmented_tokens_and_search(spark):
     assert got == {1: sorted(["rag", "知识", "图谱", "系统", "支持", "问答"]), 2: [], 3: ["文档"], 4: [], 5: sorted(["and", "机器学习", "学习"])}
     asked = spark.createDataFrame([(1, 1, "知识问答")], "user_id long, query_id long, query_text string")
     assert tuples(search.bm25_search(asked, search.bm25_index(frame, tokens), tokenizer=tokens), "chunk_id") == [(1,)]
+
+
+def test_passages_are_cut_into_their_words(spark, sf):
+    from corpusgraph.plans import catalog
+
+    texts = {r.item_id: (r.text or "").lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    words = {w for x in texts.values() for w in re.findall("[a-z]+", x)}
+    got = {r.item_id: r.words for r in catalog.QUERIES["txt1_word_tokens"](spark, sf).collect()}
+    assert set(got) == set(texts)
+    same = 0
+    for i, x in texts.items():
+        assert got[i].replace(" ", "") == "".join(re.findall("[a-z]+", x)) and all(w in words or len(w) == 1 for w in got[i].split())
+        same += got[i].split() == re.findall("[a-z]+", x)
+    assert same >= 0.5 * len(texts)
