@@ -70,7 +70,8 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

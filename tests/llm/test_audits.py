@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -195,6 +196,24 @@ def test_matches_are_the_longest_ones(spark):
     assert {r.doc_id: r.longest for r in decontaminate.contamination(frame, bench).collect()} == {1: 25, 2: 40, 3: 12, 4: 0}
 
 
+@pytest.mark.parametrize("rows", ["own", "odd"])
+def test_contamination_query_equals_its_sql(spark, sf, planted, tmp_path, rows):
+    folder = sf
+    if rows == "odd":
+        docs, items = planted
+        folder = str(tmp_path)
+        texts = [*docs, *((700 + k, t and t[:2000]) for k, t in enumerate(ODD)), (None, "only four words here"), (None, None)]
+        spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([*items, ("É,1", "x x"), ("z", "é"), ("0", "42X7")], ITEMS).write.parquet(f"{folder}/benchmark.parquet")
+    found = queries.QUERIES["op12_contamination"](spark, folder)
+    with duckdb.connect() as duck:
+        for t in ("documents", "benchmark"):
+            duck.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet{'/*.parquet' if rows == 'odd' else ''}')")
+        expect = duck.sql(queries.ORACLES["op12_contamination"])
+        assert found.columns == expect.columns
+        same(found, expect.fetchall())
+
+
 def test_suffixes_are_in_order():
     rng = np.random.default_rng(1)
     words = pa.array([f"w{k}" for k in rng.integers(0, 3, 400)], pa.large_string())
