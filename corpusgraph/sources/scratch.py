@@ -6,7 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of a few numbers or names that are safe to broadcast.
+BROADCAST_ROWS = 1_000_000
 
 _made: dict[str, list[str]] = {}
 
@@ -19,6 +22,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """The written table ``df`` with a broadcast hint if it has at most ``most`` rows, so that the
+    other side of a join stays where it lies; a larger one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """An unused path below ``spark.checkpoint.dir``; where the session names no such
     folder, below a temporary one, which is then set; that is an error unless the session
