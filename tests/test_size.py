@@ -32,6 +32,6 @@ def left(spark, name, folder):
     return sum(size(x.removeprefix("file:")) for x in made), df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ret2_bm25_search"])
+@pytest.mark.parametrize("name", ["ret2_bm25_search", "ret5_rrf_fuse"])
 def test_a_search_stores_less_than_its_texts(spark, sf, nothing_small, name):
     assert left(spark, name, sf)[0] < size(f"{sf}/documents.parquet")
