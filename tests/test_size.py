@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 from corpusgraph.plans import catalog
+from corpusgraph.plans.registry import Tables
 from corpusgraph.sources import scratch
 
 
@@ -32,7 +33,7 @@ def left(spark, name, folder):
     return sum(size(x.removeprefix("file:")) for x in made), df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ret2_bm25_search", "ret5_rrf_fuse", "ret6_rerank"])
+@pytest.mark.parametrize("name", ["ret2_bm25_search", "ret5_rrf_fuse", "ret6_rerank", "evl1_hit_precision_recall"])
 def test_a_search_stores_less_than_its_texts(spark, sf, nothing_small, name):
     assert left(spark, name, sf)[0] < size(f"{sf}/documents.parquet")
 
@@ -40,3 +41,9 @@ def test_a_search_stores_less_than_its_texts(spark, sf, nothing_small, name):
 @pytest.mark.parametrize("name", ["ret6_rerank", "evl4_keyword_coverage"])
 def test_texts_stay_where_they_lie(spark, sf, nothing_small, name):
     assert "SortMergeJoin" not in left(spark, name, sf)[1]
+
+
+def test_gold_moves_no_text(spark, sf, nothing_small):
+    gold = Tables(spark, sf).q_gold
+    stored = [x for x in scratch._made[spark.sparkContext.applicationId] if "/gold-" in x]
+    assert gold.count() and stored and "SortMergeJoin" not in gold._jdf.queryExecution().executedPlan().toString()
