@@ -33,12 +33,12 @@ def left(spark, name, folder):
     return sum(size(x.removeprefix("file:")) for x in made), df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["ret2_bm25_search", "ret5_rrf_fuse", "ret6_rerank", "evl1_hit_precision_recall", "evl2_mrr", "evl3_ndcg", "evl5_evaluate"])
+@pytest.mark.parametrize("name", ["ret2_bm25_search", "ret5_rrf_fuse", "ret6_rerank", "evl1_hit_precision_recall", "evl2_mrr", "evl3_ndcg", "evl5_evaluate", "evl6_compare_runs"])
 def test_a_search_stores_less_than_its_texts(spark, sf, nothing_small, name):
     assert left(spark, name, sf)[0] < size(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["ret6_rerank", "evl4_keyword_coverage", "evl2_mrr", "evl3_ndcg", "evl5_evaluate"])
+@pytest.mark.parametrize("name", ["ret6_rerank", "evl4_keyword_coverage", "evl2_mrr", "evl3_ndcg", "evl5_evaluate", "evl6_compare_runs"])
 def test_texts_stay_where_they_lie(spark, sf, nothing_small, name):
     assert "SortMergeJoin" not in left(spark, name, sf)[1]
 
