@@ -52,27 +52,47 @@ def _grams(low: Column, size: int) -> Column:
     return F.when(F.length(low) >= size, F.transform(F.sequence(F.lit(1), F.length(low) - size + 1), lambda i: F.substring(low, i, F.lit(size))))
 
 
-def names_containing(names: DataFrame, terms: DataFrame) -> DataFrame:
+def names_containing(names: DataFrame, terms: DataFrame, size: int = 3) -> DataFrame:
     """``names(user_id, name, ...)`` with each distinct ``term`` of ``terms(user_id, term)`` that
     the name contains in any case. A term finds its candidates by the rarest of its pieces of
-    three characters (all of a shorter term), so names and terms of a tenant never meet as
+    ``size`` characters (all of a shorter term), so names and terms of a tenant never meet as
     pairs; candidates are then verified. An empty term is in every name, a null one in none."""
     low, asked = F.lower("name"), terms.select("user_id", "term").distinct()
     # names are cut into pieces of those sizes only that a term has
-    sizes = sorted(r[0] for r in asked.where("term is not null").select(F.least(F.length(F.lower("term")), F.lit(3))).distinct().collect())
+    sizes = sorted(r[0] for r in asked.where("term is not null").select(F.least(F.length(F.lower("term")), F.lit(size))).distinct().collect())
     pieces = F.flatten(F.filter(F.array(*(_grams(low, n) if n else F.array(F.lit("")) for n in sizes or [0])), lambda x: x.isNotNull()))
-    parts = asked.select("user_id", "term", F.explode(F.array_distinct(F.coalesce(_grams(F.lower("term"), 3), F.array(F.lower("term"))))).alias("gram"))
+    parts = asked.select("user_id", "term", F.explode(F.array_distinct(F.coalesce(_grams(F.lower("term"), size), F.array(F.lower("term"))))).alias("gram"))
     held = names.select("*", F.explode(F.array_distinct(pieces)).alias("gram")).join(parts.select("user_id", "gram").distinct(), ["user_id", "gram"], "left_semi")
     counts = held.groupBy("user_id", "gram").agg(F.count("*").alias("n"))
     rarest = parts.join(counts, ["user_id", "gram"], "left").groupBy("user_id", "term").agg(F.min_by("gram", F.coalesce("n", F.lit(0))).alias("gram"))
     return held.join(rarest, ["user_id", "gram"]).where(F.contains(F.lower("name"), F.lower("term"))).drop("gram")
 
 
+#: Terms of at most so many characters are equal to a piece of each name that contains them.
+PIECE = 8
+
+
 def search_entities(entities: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """``(user_id, term, name, type, rank)``: names that contain a term of ``terms(user_id,
-    term)`` in any case, by name."""
-    hit = names_containing(entities.select("user_id", "name", "type"), terms)
-    return top(hit.select("user_id", "term", "name", "type"), ["user_id", "term"], ["name"], limit)
+    term)`` in any case, by name.
+
+    Names are cut into pieces of the lengths that terms have, and each piece keeps its first ``limit`` names, in each
+    range of names before any shuffle; terms meet pieces by equality. Terms of more than ``PIECE`` characters
+    find their names by their rarest piece of that length (``names_containing``)."""
+    low, length = F.lower("name"), F.length(F.lower("term"))
+    names = entities.select("user_id", "name", "type")
+    asked = terms.where("term is not null").select("user_id", "term")
+    sizes = sorted(r[0] for r in asked.select(F.least(length, F.lit(PIECE + 1))).distinct().collect())
+    places = names.repartitionByRange("user_id", "name").select("*", F.explode(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))).alias("at"))
+    cut = places.select("*", F.explode(F.array(*[F.lit(n) for n in sizes if n <= PIECE]).cast("array<int>")).alias("n")).where(F.col("at") + F.col("n") - 1 <= F.length(low))
+    # of equal pieces of a name the first one counts
+    pieces = cut.withColumn("gram", F.substring(low, F.col("at"), F.col("n"))).where(F.expr("locate(gram, lower(name)) = at")).select("user_id", "name", "type", "gram")
+    cut = top(pieces, ["user_id", "gram"], ["name"], limit)
+    cols = ["user_id", "term", "name", "type", "rank"]
+    found = cut.join(asked.where(length <= PIECE).distinct().withColumn("gram", F.lower("term")), ["user_id", "gram"]).select(*cols)
+    if sizes and sizes[-1] > PIECE:
+        found = found.unionByName(top(names_containing(names, asked.where(length > PIECE), PIECE), ["user_id", "term"], ["name"], limit).select(*cols))
+    return found
 
 
 def related_entities(centres: DataFrame, relations: DataFrame, depth: int = 2, limit: int = 100) -> tuple[DataFrame, DataFrame]:

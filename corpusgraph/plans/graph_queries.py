@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vocab
 from ..operators import extract, graph
+from ..sources import scratch
 from .registry import Tables, query
 
 _TYPES = "('" + "','".join(vocab.ENTITY_TYPES) + "')"
@@ -124,9 +125,9 @@ _TERMS = "terms as (select distinct user_id, unnest([substring(name, 1, 2), subs
 
 @query("grf2_search_entities", f"with {_TERMS}, h as (select t.user_id, term, name, type, row_number() over (partition by t.user_id, term order by name) as rank from g_entities e join terms t on e.user_id = t.user_id where contains(lower(name), lower(term))) select * from h where rank <= 20")
 def search_entities(t: Tables):
-    name = F.col("name")
-    terms = t.g_entities.select("user_id", F.explode(F.array(F.substring(name, 1, 2), F.substring(name, 2, 3), name, F.concat(name, F.lit("0")))).alias("term")).distinct()
-    return graph.search_entities(t.g_entities, terms)
+    name, entities = F.col("name"), scratch.written(t.g_entities, "entities")
+    terms = entities.select("user_id", F.explode(F.array(F.substring(name, 1, 2), F.substring(name, 2, 3), name, F.concat(name, F.lit("0")))).alias("term"))
+    return graph.search_entities(entities, terms)
 
 
 HOPS_SQL = """both_ as (select user_id, source as a, target as b, relation_type, concat_ws('|', source, relation_type, target) as edge from g_relations union all select user_id, target, source, relation_type, concat_ws('|', source, relation_type, target) from g_relations),

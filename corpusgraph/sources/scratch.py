@@ -19,6 +19,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     nor lost with an executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    # Spark removes the shuffle files behind it, which nothing reads any more, when the driver's garbage is collected
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
