@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vocab
-from ..sources.scratch import written
+from ..sources.scratch import few, written
 from .ranking import ranked, top
 
 REL = ["user_id", "source", "target", "relation_type"]
@@ -107,6 +107,10 @@ def related_entities(centres: DataFrame, relations: DataFrame, depth: int = 2, l
     along its list. Fewer hops come first, so each hop is cut to what a centre still lacks, and a centre
     that has all its rows goes no further."""
     depth = depth if depth in (1, 2, 3) else 2
+    if depth == 2:
+        cut = _two_hops(centres, relations, limit)
+        found = cut.select("user_id", F.col("centre").alias("source"), F.explode("types").alias("relation_type"), F.col("end").alias("target")).distinct()
+        return centres.select("user_id", "centre").join(cut, ["user_id", "centre"], "left"), found
     edges = relations.select(*REL).withColumn("edge", F.concat_ws("|", "source", "relation_type", "target"))
     both = edges.select("user_id", F.col("source").alias("a"), F.col("target").alias("b"), "relation_type", "edge").unionByName(edges.where("source <> target").select("user_id", F.col("target").alias("a"), F.col("source").alias("b"), "relation_type", "edge"))
     first = top(both, ["user_id", "a"], ["b", "relation_type", "edge"], limit + depth - 1)
@@ -134,6 +138,34 @@ def related_entities(centres: DataFrame, relations: DataFrame, depth: int = 2, l
     return rows, found
 
 
+def _two_hops(centres: DataFrame, relations: DataFrame, limit: int) -> DataFrame:
+    """The paths of ``related_entities`` of depth 2, one shuffle of lists instead of one of paths for each hop.
+
+    A node sends its list along its edges, each time without that edge, and to itself; what reaches a centre is
+    all it needs. Lists of up to ``limit`` edges are whole, so their own edges tell where they go; hubs' edges are read
+    again. A node with ``limit`` edges has all its rows and is sent nothing."""
+    edges = relations.select(*REL)
+    # an edge of a node is known by its other end, its type and its direction
+    side = lambda a, b, ahead: edges.where(ahead | (F.col("source") != F.col("target"))).select("user_id", F.col(a).alias("a"), F.struct(F.col(b).alias("b"), "relation_type", ahead.alias("ahead")).alias("x"))
+    both = written(side("source", "target", F.lit(True)).unionByName(side("target", "source", F.lit(False))), "edges")
+    lists = written(top(both, ["user_id", "a"], ["x"], limit + 1).groupBy("user_id", "a").agg(F.sort_array(F.collect_list("x")).alias("out")), "adjacency")
+    hubs = written(lists.where(F.size("out") >= limit), "hubs")
+    more = few(hubs.where(F.size("out") > limit), 10_000)
+    whole = lists.where(F.size("out") <= limit).select("user_id", "out", F.explode("out").alias("x"))
+    sent = whole.unionByName(both.join(more, ["user_id", "a"]).select("user_id", "out", "x"))
+    full = few(hubs.select("user_id", F.col("a").alias("centre")))
+    plain = lambda col: F.transform(col, lambda x: F.struct(x["b"].alias("end"), x["relation_type"].alias("type")))
+    others = F.slice(F.filter("out", lambda y: ~y.eqNullSafe(F.col("x"))), 1, limit)
+    second = sent.select("user_id", F.col("x.b").alias("centre"), F.lit(2).alias("hops"), F.col("x.relation_type").alias("via"), plain(others).alias("items")).where(F.size("items") > 0)
+    second = second.join(full, ["user_id", "centre"], "left_anti")
+    first = lists.select("user_id", F.col("a").alias("centre"), F.lit(1).alias("hops"), F.lit(None).cast("string").alias("via"), plain(F.slice("out", 1, limit)).alias("items"))
+    reached = first.unionByName(second).join(centres.select("user_id", "centre").distinct(), ["user_id", "centre"], "left_semi")
+    types = lambda y: F.when(F.col("hops") == 1, F.array(y["type"])).otherwise(F.array("via", y["type"]))
+    paths = F.transform("items", lambda y: F.struct(F.col("hops").cast("long").alias("hops"), y["end"].alias("end"), types(y).alias("types")))
+    every = reached.select("user_id", "centre", paths.alias("p")).groupBy("user_id", "centre").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, limit).alias("p"))
+    return every.select("user_id", "centre", F.explode("p").alias("p")).select("user_id", "centre", "p.hops", "p.end", "p.types")
+
+
 def entities_from_chunks(ids: DataFrame, mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """Distinct entities that ``ids(user_id, chunk_id)`` mention; a null description is
     empty."""

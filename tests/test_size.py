@@ -66,3 +66,12 @@ def test_names_of_many_terms_meet_as_equal_pieces(spark):
     for term in {x for n in held for x in (n, n[:8], n[2:6].upper(), "aAa", n + "c", "")}:
         want |= {(term, n, k) for k, n in enumerate([n for n in held if term.lower() in n.lower()][:3], 1)}
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["grf3_related_entities"])
+def test_paths_of_two_hops_are_not_stored(spark, sf, name):
+    scratch.new_path(spark, "start")
+    before = len(scratch._made[spark.sparkContext.applicationId])
+    catalog.QUERIES[name](spark, sf)
+    made = [x.rsplit("/", 1)[1].split("-")[0] for x in scratch._made[spark.sparkContext.applicationId][before:]]
+    assert "adjacency" in made and "hop" not in made
