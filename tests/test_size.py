@@ -68,7 +68,7 @@ def test_names_of_many_terms_meet_as_equal_pieces(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("name", ["grf3_related_entities"])
+@pytest.mark.parametrize("name", ["grf3_related_entities", "ret9_enrich"])
 def test_paths_of_two_hops_are_not_stored(spark, sf, name):
     scratch.new_path(spark, "start")
     before = len(scratch._made[spark.sparkContext.applicationId])
